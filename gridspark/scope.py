@@ -8,9 +8,10 @@ groups. Operators use it in three ways:
 * ``with_rank``  ranks inside a group. A plain window when the largest group was measured and fits
                  one task; otherwise a range-partitioned distributed sort.
 * ``quantiles``  exact linear quantiles per group, with the same two ways.
+* ``with_group`` sums, minima and means on every row: unordered windows for measured small groups,
+                 else partial aggregates (map-side combined) joined back with ``attach``.
 
-Sums, minima and means never use a window over the group: they are partial aggregates (map-side
-combined) joined back with ``attach``.
+The default scope is unmeasured, so every operator takes the distributed way unless its caller measured.
 """
 
 from __future__ import annotations
@@ -81,9 +82,28 @@ def group_agg(df: DataFrame, scope: Scope, *aggs: Column) -> DataFrame:
     return df.groupBy(*scope.keys).agg(*aggs)
 
 
-def with_group(df: DataFrame, scope: Scope, *aggs: Column) -> DataFrame:
-    """Group aggregates on every row of the group."""
-    return attach(df, group_agg(df, scope, *aggs), scope)
+def with_group(df: DataFrame, scope: Scope, aggs: Mapping[str, Column]) -> DataFrame:
+    """Group aggregates on every row of the group.
+
+    Measured small groups: unordered windows, so a chain of steps shares one shuffle by the keys.
+    Otherwise: partial aggregates joined back.
+    """
+    if scope.small_groups:
+        w = Window.partitionBy(*scope.keys)
+        return df.withColumns({n: a.over(w) for n, a in aggs.items()})
+    return attach(df, group_agg(df, scope, *[a.alias(n) for n, a in aggs.items()]), scope)
+
+
+def stage(df: DataFrame, scope: Scope) -> DataFrame:
+    """End of a step whose result feeds both an aggregate and a join.
+
+    Windows over small groups need nothing. On the other path the rows are written to the checkpoint
+    folder, so a chain of steps costs one pass per step instead of doubling with each of them.
+    """
+    if scope.small_groups:
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def _sort_cols(order: Sequence[tuple[str, bool]]) -> list[Column]:
@@ -207,6 +227,15 @@ def quantiles(df: DataFrame, scope: Scope, wanted: Mapping[str, tuple[Column | s
     return df.select(*keys).distinct().join(wide, keys, "left")  # groups whose values are all null stay
 
 
+def with_quantiles(df: DataFrame, scope: Scope, wanted: Mapping[str, tuple[Column | str, float]]) -> DataFrame:
+    """Group quantiles on every row of the group."""
+    if scope.small_groups:
+        w = Window.partitionBy(*scope.keys)
+        as_col = lambda c: F.col(c) if isinstance(c, str) else c
+        return df.withColumns({n: F.percentile(as_col(c).cast("double"), F.lit(q)).over(w) for n, (c, q) in wanted.items()})
+    return attach(df, quantiles(df, scope, wanted), scope)
+
+
 def top_k(df: DataFrame, scope: Scope, order: Sequence[tuple[str, bool]], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per group (small k) without sorting a group in one task.
 
