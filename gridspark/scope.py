@@ -171,6 +171,7 @@ def with_rank(
     if method == "row":
         return running_totals(df, scope.keys, order, F.lit(1)).withColumnRenamed("_pos", name).drop("_before")
     column = order[0][0]
+    df = stage(df, scope)  # the values are joined back on equality: both sides must read the same doubles
     values = df.groupBy(*scope.keys, column).agg(F.count(F.lit(1)).alias("_m"))
     placed = running_totals(values, scope.keys, order, F.col("_m"))
     rank = {

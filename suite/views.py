@@ -113,7 +113,9 @@ MEMBERS = 9
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
     """Nine raw member predictions per cell around its building area."""
-    factor = 1.0 + (F.pmod(F.col("cell_no") * 31 + F.col("m") * 17, F.lit(21)) - 10) / 100.0
+    # the spread differs per cell, so that no two cells tie up to rounding
+    spread = 1.0 + (F.col("cell_no") % 9973) / 20000.0
+    factor = 1.0 + (F.pmod(F.col("cell_no") * 31 + F.col("m") * 17, F.lit(21)) - 10) / 100.0 * spread
     return (
         cells(spark, sf)
         .withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(MEMBERS))))
@@ -205,7 +207,7 @@ SQL: dict[str, str] = {
     "case when internal_support_score >= 0.6 then 'strong' else 'mixed' end district_support_flag "
     "from (select *, (40 + (area_id * 7) % 55)::double completeness_score, (area_id % 5) * 0.2::double internal_support_score from totals)",
     "members": f"select area_id, cell_id, latitude, longitude, 'member_0' || m member_id, "
-    f"(building_area + 1) * (1 + (((cell_no * 31 + m * 17) % 21) - 10) / 100.0::double) pred from cells, generate_series(1, {MEMBERS}) g(m)",
+    f"(building_area + 1) * (1 + (((cell_no * 31 + m * 17) % 21) - 10) / 100.0::double * (1 + (cell_no % 9973) / 20000.0::double)) pred from cells, generate_series(1, {MEMBERS}) g(m)",
     "cal": "select members.*, official_total, pred / sum(pred) over (partition by area_id, member_id) * official_total pc from members join totals using (area_id)",
     "summ": "select area_id, cell_id, latitude, longitude, any_value(official_total) official_total, count(*) member_count, "
     "quantile_cont(pc, 0.1) q10, quantile_cont(pc, 0.5) q50, quantile_cont(pc, 0.9) q90 from cal group by 1, 2, 3, 4",
