@@ -34,6 +34,11 @@ def box_planes(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _next(ring: Column, i: Column) -> Column:
     """Vertex after position i (0-based), wrapping round."""
     return F.element_at(ring, F.when(i + 1 < F.size(ring), i + 2).otherwise(F.lit(1)).cast("int"))
@@ -44,25 +49,31 @@ def _prev(ring: Column, i: Column) -> Column:
 
 
 def signed_area(ring: Column) -> Column:
+    return let(ring, _signed_area)
+
+
+def _signed_area(ring: Column) -> Column:
     cross = F.transform(ring, lambda p, i: p["x"] * _next(ring, i)["y"] - _next(ring, i)["x"] * p["y"])
     return F.aggregate(cross, F.lit(0.0), lambda acc, v: acc + v) / 2.0
 
 
 def ring_area(ring: Column) -> Column:
-    return F.when(F.size(ring) >= 3, F.abs(signed_area(ring))).otherwise(F.lit(0.0))
+    return let(ring, lambda r: F.when(F.size(r) >= 3, F.abs(_signed_area(r))).otherwise(F.lit(0.0)))
 
 
 def ring_planes(ring: Column) -> Column:
     """Half planes of a convex ring (either orientation)."""
-    s = F.when(signed_area(ring) >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return F.transform(
-        ring,
-        lambda p, i: half_plane(
-            (_next(ring, i)["y"] - p["y"]) * s,
-            (p["x"] - _next(ring, i)["x"]) * s,
-            ((_next(ring, i)["y"] - p["y"]) * p["x"] + (p["x"] - _next(ring, i)["x"]) * p["y"]) * s,
-        ),
-    )
+    sign = F.when(signed_area(ring) >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+
+    def edge(r, s, p, i):
+        return let(
+            _next(r, i),
+            lambda q: half_plane(
+                (q["y"] - p["y"]) * s, (p["x"] - q["x"]) * s, ((q["y"] - p["y"]) * p["x"] + (p["x"] - q["x"]) * p["y"]) * s
+            ),
+        )
+
+    return let(ring, lambda r: let(sign, lambda s: F.transform(r, lambda p, i: edge(r, s, p, i))))
 
 
 def clip_ring(ring: Column, planes: Column) -> Column:
@@ -71,20 +82,23 @@ def clip_ring(ring: Column, planes: Column) -> Column:
     def room(p, h):
         return h["c"] - h["a"] * p["x"] - h["b"] * p["y"]
 
+    def corner(p, q, dp, dq):
+        inside_p, inside_q = dp >= 0, dq >= 0
+        t = F.try_divide(dq, dq - dp)
+        cross = pt(q["x"] + t * (p["x"] - q["x"]), q["y"] + t * (p["y"] - q["y"]))
+        return (
+            F.when(inside_p & inside_q, F.array(p))
+            .when(inside_p, F.array(cross, p))
+            .when(inside_q, F.array(cross))
+            .otherwise(F.slice(F.array(p), 1, 0))
+        )
+
     def cut(r, h):
-        def corner(p, i):
-            q = _prev(r, i)
-            inside_p, inside_q = room(p, h) >= 0, room(q, h) >= 0
-            t = F.try_divide(room(q, h), room(q, h) - room(p, h))
-            cross = pt(q["x"] + t * (p["x"] - q["x"]), q["y"] + t * (p["y"] - q["y"]))
-            return (
-                F.when(inside_p & inside_q, F.array(p))
-                .when(inside_p, F.array(cross, p))
-                .when(inside_q, F.array(cross))
-                .otherwise(F.slice(F.array(p), 1, 0))
-            )
-
-        return F.flatten(F.transform(r, corner))
+        def at(p, i):
+            return let(_prev(r, i), lambda q: let(F.array(room(p, h), room(q, h)), lambda d: corner(p, q, d[0], d[1])))
+
+        # a ring wholly inside the half plane passes through unchanged
+        return F.when(F.forall(r, lambda p: room(p, h) >= 0), r).otherwise(F.flatten(F.transform(r, at)))
 
     return F.aggregate(planes, ring, cut)
 
@@ -124,7 +138,8 @@ def _segments(path: Column, closed: bool) -> Column:
 def clipped_length(path: Column, planes: Column) -> Column:
     def inside(s):
         share = segment_share(s["x0"], s["y0"], s["x1"], s["y1"], planes)
-        return F.greatest(share["hi"] - share["lo"], F.lit(0.0)) * F.hypot(s["x1"] - s["x0"], s["y1"] - s["y0"])
+        length = F.hypot(s["x1"] - s["x0"], s["y1"] - s["y0"])
+        return let(share, lambda v: F.greatest(v["hi"] - v["lo"], F.lit(0.0)) * length)
 
     return F.aggregate(F.transform(_segments(path, False), inside), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -133,8 +148,7 @@ def path_touches(path: Column, planes: Column, closed: bool = False) -> Column:
     """Does any edge meet the closed clip region?"""
 
     def hit(s):
-        share = segment_share(s["x0"], s["y0"], s["x1"], s["y1"], planes)
-        return share["lo"] <= share["hi"]
+        return let(segment_share(s["x0"], s["y0"], s["x1"], s["y1"], planes), lambda v: v["lo"] <= v["hi"])
 
     return F.exists(_segments(path, closed), hit)
 
@@ -146,8 +160,10 @@ def ring_touches(ring: Column, planes: Column, clipped_area: Column) -> Column:
 
 def ring_centroid(ring: Column) -> Column:
     """Area centroid; falls back to the vertex mean for degenerate rings."""
-    a = signed_area(ring)
+    return let(ring, lambda r: let(_signed_area(r), lambda a: _centroid(r, a)))
 
+
+def _centroid(ring: Column, a: Column) -> Column:
     def moment(axis):
         parts = F.transform(
             ring,
@@ -179,7 +195,10 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 def ring_point(ring: Column) -> Column:
     """A point inside the ring: the centroid when inside, else the middle of the widest chord at mid height."""
-    c = ring_centroid(ring)
+    return let(ring, lambda r: let(ring_centroid(r), lambda c: _inner_point(r, c)))
+
+
+def _inner_point(ring: Column, c: Column) -> Column:
     ys = F.transform(ring, lambda p: p["y"])
     mid = (F.array_min(ys) + F.array_max(ys)) / 2.0
 

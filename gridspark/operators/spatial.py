@@ -1,11 +1,366 @@
-"""Grids, spatial joins, areal interpolation, raster sums, nearest neighbours and components."""
+"""Grids, spatial joins, areal interpolation, raster sums, nearest neighbours and components.
+
+All spatial joins run on grid bins: an object is exploded to the cells its bounding box meets, measured
+against the cell box there, and *pre-aggregated per bin before any join*. A cell that holds a third of
+all objects is therefore summed by map-side combine and never becomes one big join key.
+
+Objects are rows ``area_id, obj_id, layer, kind, geom, tags`` with ``kind`` in polygon / line / point and
+``geom`` an array of points. Areas are rows ``area_id, minx, miny, maxx, maxy`` in metres, with an
+optional ``boundary`` ring; object measures in edge cells are exact for convex boundaries.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.scope import AREA, Scope, with_group
+from gridspark.contracts import CELL_COLUMNS, GRID_FEATURES
+from gridspark.functions import geometry as G
+from gridspark.functions.scalars import clean_tag, direction, slug, to_num
+from gridspark.operators.hotspots import zone_mask
+from gridspark.scope import AREA, Scope, attach, group_agg, stage, top_k, with_group
+from gridspark.session import ensure_checkpoint_dir
+
+CELL_SIZE = 500.0
+METERS_PER_DEGREE = 111_320.0
+
+# Tag values behind each building use.
+RESIDENTIAL = ("apartments", "detached", "dormitory", "farm", "ger", "house", "residential", "semidetached_house", "terrace")
+COMMERCIAL = ("commercial", "industrial", "kiosk", "office", "warehouse")
+RETAIL = ("mall", "retail", "supermarket")
+PUBLIC = ("civic", "college", "government", "hospital", "kindergarten", "public", "school", "train_station", "transportation", "university")
+POI_LAYERS = ("bus_stops", "parks", "schools", "hospitals", "shops")
+
+
+# ------------------------------------------------------------------------------------------------ grid
+
+
+def area_bounds(parts: DataFrame, scope: Scope = AREA) -> DataFrame:
+    """G02. Bounds of all parts of an area (mergeable min / max); the parts stay rows of their own."""
+    b = G.bounds(F.col("geom"))
+    boxed = parts.select(*scope.keys, *[c.alias(n) for n, c in b.items()])
+    return group_agg(
+        boxed, scope, F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy")
+    )
+
+
+def to_metric(areas: DataFrame, ring: str = "boundary") -> DataFrame:
+    """G03. Longitude / latitude ring to metres in the UTM zone of the area's centre; keeps zone and side."""
+    b = G.bounds(F.col(ring))
+    centre = areas.withColumns({"_lon": (b["minx"] + b["maxx"]) / 2.0, "_lat": (b["miny"] + b["maxy"]) / 2.0})
+    zoned = centre.withColumns({"utm_zone": G.utm_zone(F.col("_lon")), "south": F.col("_lat") < 0})
+    moved = F.transform(F.col(ring), lambda p: G.lonlat_to_metric(p["x"], p["y"], F.col("utm_zone"), F.col("south")))
+    return zoned.withColumn(ring, moved).drop("_lon", "_lat")
+
+
+def to_lonlat(df: DataFrame, x: str, y: str) -> DataFrame:
+    """G03 back: adds ``longitude`` and ``latitude`` of a metric point (needs ``utm_zone`` and ``south``)."""
+    p = G.metric_to_lonlat(F.col(x), F.col(y), F.col("utm_zone"), F.col("south"))
+    return df.withColumn("_p", p).withColumns({"longitude": F.col("_p.x"), "latitude": F.col("_p.y")}).drop("_p")
+
+
+def grid_shape(areas: DataFrame, size_m: float) -> DataFrame:
+    if size_m <= 0:
+        raise ValueError("the cell size must be positive")
+    n = lambda hi, lo: F.ceil((F.col(hi) - F.col(lo)) / F.lit(float(size_m))).cast("long")
+    return areas.withColumns({"cell_size": F.lit(float(size_m)), "n_cols": n("maxx", "minx"), "n_rows": n("maxy", "miny")})
+
+
+def make_grid(areas: DataFrame, size_m: float = CELL_SIZE, clip: bool = True, prefix: str = "Z") -> DataFrame:
+    """G01. Cells over the area bounds, column-major, numbered among the kept ones.
+
+    Rows are generated by two explodes. With a boundary ring, cells that miss it are dropped and (``clip``)
+    the geometry is the part inside. Numbering needs no sort of an area: rows are numbered inside their
+    column and columns carry an offset.
+    """
+    if not prefix:
+        raise ValueError("the cell id prefix must not be empty")
+    shaped = grid_shape(areas, size_m)
+    has_boundary = "boundary" in areas.columns
+    one_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cells = (
+        shaped.where((F.col("n_cols") > 0) & (F.col("n_rows") > 0))
+        .withColumn("grid_col", F.explode(one_to("n_cols")))
+        .repartition("area_id", "grid_col")  # columns of a large area spread over tasks before the second explode
+        .withColumn("grid_row", F.explode(one_to("n_rows")))
+        .withColumns({"x0": F.col("minx") + F.col("grid_col") * size_m, "y0": F.col("miny") + F.col("grid_row") * size_m})
+        .withColumns({"x1": F.col("x0") + size_m, "y1": F.col("y0") + size_m})
+    )
+    box = G.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    if not has_boundary:
+        number = F.col("grid_col") * F.col("n_rows") + F.col("grid_row") + 1
+        out = cells.withColumns({"geom": box, "cell_area_m2": F.lit(float(size_m) ** 2)})
+    else:
+        planes = G.box_planes(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+        ring = F.col("boundary")
+        part = lambda p: G.let(
+            G.ring_area(p), lambda a: F.struct(p.alias("_part"), a.alias("_area"), G.ring_touches(ring, planes, a).alias("_hit"))
+        )
+        cut = cells.select("*", F.inline(F.transform(F.array(G.clip_ring(ring, planes)), part)))
+        kept = cut.where("_hit").drop("_hit")
+        per_col = kept.groupBy("area_id", "grid_col").agg(F.count(F.lit(1)).alias("_k"))
+        earlier = Window.partitionBy("area_id").orderBy("grid_col").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = per_col.select("area_id", "grid_col", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_off"))
+        in_col = Window.partitionBy("area_id", "grid_col").orderBy("grid_row")
+        out = kept.join(offsets, ["area_id", "grid_col"]).withColumn("_n", F.row_number().over(in_col))
+        number = F.col("_off") + F.col("_n")
+        geom = F.col("_part") if clip else box
+        out = out.withColumns({"geom": geom, "cell_area_m2": F.col("_area") if clip else F.lit(float(size_m) ** 2)})
+    return out.withColumn("cell_no", number.cast("long")).select(
+        "area_id",
+        F.concat(F.lit(prefix), F.col("cell_no")).alias("cell_id"),
+        "cell_no",
+        "grid_col",
+        "grid_row",
+        "x0",
+        "y0",
+        "x1",
+        "y1",
+        "geom",
+        "cell_area_m2",
+    )
+
+
+def centroids(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("_c", G.ring_centroid(F.col("geom"))).withColumns({"cx": F.col("_c.x"), "cy": F.col("_c.y")}).drop("_c")
+
+
+# ------------------------------------------------------------------------------------ objects per cell
+
+
+def use_flags(objects: DataFrame) -> DataFrame:
+    """G06. Four use flags from tags; they may overlap."""
+    tag = lambda k: clean_tag(F.col("tags"), k)
+    building = tag("building")
+    return objects.withColumns(
+        {
+            "is_residential": building.isin(*RESIDENTIAL),
+            "is_commercial": building.isin(*COMMERCIAL) | (tag("office") != ""),
+            "is_retail": building.isin(*RETAIL) | (tag("shop") != ""),
+            "is_public": building.isin(*PUBLIC) | tag("amenity").isin(*PUBLIC),
+        }
+    )
+
+
+def levels(objects: DataFrame, fallback: float = 1.0) -> DataFrame:
+    """G07. Positive numeric levels or null, and the effective levels for floor area (at least 1)."""
+    n = to_num(F.col("tags")["building:levels"])
+    lv = F.when(n > 0, n)
+    return objects.withColumns(
+        {"levels": lv, "effective_levels": F.greatest(F.coalesce(lv, F.lit(fallback)), F.lit(1.0))}
+    )
+
+
+def bin_objects(objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE, scope: Scope = AREA) -> DataFrame:
+    """Objects exploded to every cell their bounding box meets, with the exact measure in that cell.
+
+    Adds ``grid_col, grid_row, touches, measure`` (area of polygons, length of lines, 0 for points).
+    Nothing is joined but the one-row-per-area grid parameters.
+    """
+    cols = ["minx", "miny", "n_cols", "n_rows"] + (["boundary"] if "boundary" in areas.columns else [])
+    shaped = grid_shape(areas, size_m).select(*scope.keys, *[F.col(c).alias(f"_{c}") for c in cols])
+    b = G.bounds(F.col("geom"))
+    g, kind = F.col("geom"), F.col("kind")
+    boxed = objects.withColumns({f"_b{n}": c for n, c in b.items()})
+    whole = F.when(kind == "polygon", G.ring_area(g)).when(kind == "line", G.path_length(g)).otherwise(F.lit(0.0))
+    extent = (F.col("_bmaxx") - F.col("_bminx")) * (F.col("_bmaxy") - F.col("_bminy"))
+    # size of the whole object, and whether it fills its bounding box: both once per object, before the explode
+    sized = boxed.withColumn("_whole", whole).withColumn(
+        "_rect", (kind == "polygon") & (F.size(g) == 4) & (F.abs(F.col("_whole") - extent) <= 1e-9 * extent)
+    )
+    placed = attach(sized, shaped, scope, "inner")
+
+    def span(lo, hi, origin, n):
+        first = F.greatest(F.ceil((F.col(lo) - F.col(origin)) / size_m) - 1, F.lit(0))
+        last = F.least(F.floor((F.col(hi) - F.col(origin)) / size_m), F.col(n) - 1)
+        return F.when(first <= last, F.sequence(first, last))
+
+    exploded = (
+        placed.withColumn("grid_col", F.explode(span("_bminx", "_bmaxx", "_minx", "_n_cols")))
+        .withColumn("grid_row", F.explode(span("_bminy", "_bmaxy", "_miny", "_n_rows")))
+        .withColumns({"_x0": F.col("_minx") + F.col("grid_col") * size_m, "_y0": F.col("_miny") + F.col("grid_row") * size_m})
+    )
+    x0, y0, x1, y1 = F.col("_x0"), F.col("_y0"), F.col("_x0") + size_m, F.col("_y0") + size_m
+    planes = G.box_planes(x0, y0, x1, y1)
+    open_box = "boundary" not in areas.columns
+    if not open_box:
+        planes = F.concat(planes, G.ring_planes(F.col("_boundary")))
+    inside = F.lit(open_box) & (F.col("_bminx") > x0) & (F.col("_bmaxx") < x1) & (F.col("_bminy") > y0) & (F.col("_bmaxy") < y1)
+    rect = F.lit(open_box) & F.col("_rect")
+    overlap = lambda lo, hi, c0, c1: F.greatest(F.least(F.col(hi), c1) - F.greatest(F.col(lo), c0), F.lit(0.0))
+
+    def size_in(h):
+        return (
+            F.when(inside, F.col("_whole"))
+            .when(rect, overlap("_bminx", "_bmaxx", x0, x1) * overlap("_bminy", "_bmaxy", y0, y1))
+            .when(kind == "point", F.lit(0.0))
+            .when(kind == "line", G.clipped_length(g, h))
+            .otherwise(G.ring_area(G.clip_ring(g, h)))
+        )
+
+    def meets(h, m):
+        within = F.forall(h, lambda e: e["c"] - e["a"] * g[0]["x"] - e["b"] * g[0]["y"] >= 0)
+        return (
+            F.when(inside | rect | (m > 0), F.lit(True))
+            .when(kind == "point", within)
+            .when(kind == "line", G.path_touches(g, h))
+            .otherwise(G.ring_touches(g, h, m))
+        )
+
+    both = lambda h: G.let(size_in(h), lambda m: F.struct(m.alias("measure"), meets(h, m).alias("touches")))
+    # the generator keeps later filters from pushing the geometry down and computing it again
+    measured = exploded.select("*", F.inline(F.transform(F.array(planes), both)))
+    return measured.where("touches").drop(*[c for c in measured.columns if c.startswith("_")])
+
+
+def _on_cells(cells: DataFrame, sums: DataFrame, filled: Sequence[str], scope: Scope = AREA) -> DataFrame:
+    keys = [*scope.keys, "grid_col", "grid_row"]
+    return cells.join(sums, keys, "left").na.fill(0, list(filled))
+
+
+def count_in_cells(cells: DataFrame, objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE, scope: Scope = AREA) -> DataFrame:
+    """G04. Number of objects meeting each cell (closed sets: touching counts)."""
+    bins = bin_objects(objects, areas, size_m, scope)
+    sums = bins.groupBy(*scope.keys, "grid_col", "grid_row").agg(F.count(F.lit(1)).alias("object_count"))
+    return _on_cells(cells, sums, ["object_count"], scope)
+
+
+def measure_in_cells(cells: DataFrame, objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE, scope: Scope = AREA) -> DataFrame:
+    """G05. Summed intersection area (polygons) or length (lines) per cell."""
+    bins = bin_objects(objects, areas, size_m, scope)
+    sums = bins.groupBy(*scope.keys, "grid_col", "grid_row").agg(F.sum("measure").alias("object_measure"))
+    return _on_cells(cells, sums, ["object_measure"], scope)
+
+
+def cell_features(cells: DataFrame, objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE, scope: Scope = AREA) -> DataFrame:
+    """G08. Fifteen features of every cell from one pass over all layers; empty cells get zeros."""
+    bins = levels(use_flags(bin_objects(objects, areas, size_m, scope)))
+    layer = F.col("layer")
+    m = F.col("measure")
+    count = lambda cond: F.count_if(cond).cast("double")
+    total = lambda cond, v=m: F.coalesce(F.sum(F.when(cond, v)), F.lit(0.0))
+    is_b = layer == "buildings"
+    sums = bins.groupBy(*scope.keys, "grid_col", "grid_row").agg(
+        count(is_b).alias("building_count"),
+        total(is_b).alias("building_area"),
+        total(is_b & F.col("is_residential")).alias("residential_area"),
+        total(is_b & F.col("is_commercial")).alias("commercial_area"),
+        total(is_b & F.col("is_retail")).alias("retail_area"),
+        total(is_b & F.col("is_public")).alias("public_area"),
+        total(layer == "roads").alias("road_length"),
+        count(layer == "bus_stops").alias("bus_stop_count"),
+        total(layer == "parks").alias("park_area"),
+        count(is_b & F.col("levels").isNotNull()).alias("building_with_levels_count"),
+        F.coalesce(F.avg(F.when(is_b, F.col("levels"))), F.lit(0.0)).alias("mean_building_levels"),
+        total(is_b, m * F.col("effective_levels")).alias("total_floor_area"),
+        count(layer == "schools").alias("schools_count"),
+        count(layer == "hospitals").alias("hospitals_count"),
+        count(layer.isin("parks", "shops")).alias("parks_shops_count"),
+    )
+    return _on_cells(cells, sums, GRID_FEATURES, scope)
+
+
+# ---------------------------------------------------------------------------------- nearest neighbours
+
+
+def poi_points(objects: DataFrame, layers: Sequence[str] = POI_LAYERS) -> DataFrame:
+    """G09. One interior point per object of the POI layers."""
+    g = F.col("geom")
+    middle = g[F.floor((F.size(g) - 1) / 2.0).cast("int")]
+    p = F.when(F.col("kind") == "polygon", G.ring_point(g)).when(F.col("kind") == "line", middle).otherwise(g[0])
+    return (
+        objects.where(F.col("layer").isin(*layers))
+        .withColumn("_p", p)
+        .select("area_id", "obj_id", "layer", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+    )
+
+
+def knn_access(
+    cells: DataFrame,
+    pois: DataFrame,
+    k: int = 5,
+    epsilon: float = 1.0,
+    base_m: float = CELL_SIZE / 4,
+    levels: int = 4,
+    factor: int = 4,
+    scope: Scope = AREA,
+) -> DataFrame:
+    """G10. ``1 / (mean distance to the min(k, n) nearest POIs + epsilon)``; 0 where an area has none.
+
+    Exact descent through a pyramid of bins. A candidate bin has a nearest and a farthest possible
+    distance to the cell centre; the smallest radius whose fully covered bins already hold k POIs bounds
+    the k-th distance, and bins beyond it are dropped before the next finer level is opened. Points at
+    one place are merged with a multiplicity of at most k, so a dense spot stays a few rows.
+    """
+    keys = list(scope.keys)
+    centre = cells.select(*keys, "cell_id", "cx", "cy")
+    spots = (
+        pois.groupBy(*keys, "x", "y")
+        .agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("m"))
+        .withColumns({"bx": F.floor(F.col("x") / base_m), "by": F.floor(F.col("y") / base_m)})
+    )
+    pyramid = [spots.groupBy(*keys, "bx", "by").agg(F.sum("m").alias("m"))]
+    for _ in range(levels - 1):
+        up = lambda c: F.floor(F.col(c) / factor).alias(c)
+        pyramid.append(pyramid[-1].groupBy(*keys, up("bx"), up("by")).agg(F.sum("m").alias("m")))
+
+    row = [*keys, "cell_id", "cx", "cy"]
+
+    def prune(pairs: DataFrame, size: float) -> DataFrame:
+        """Keep candidate bins that can still hold one of the k nearest."""
+        lo = lambda c, b: F.greatest(F.col(b) * size - F.col(c), F.col(c) - (F.col(b) + 1) * size, F.lit(0.0))
+        hi = lambda c, b: F.greatest(F.abs(F.col(b) * size - F.col(c)), F.abs((F.col(b) + 1) * size - F.col(c)))
+        ranged = pairs.withColumns(
+            {"_near": F.hypot(lo("cx", "bx"), lo("cy", "by")), "_far": F.hypot(hi("cx", "bx"), hi("cy", "by"))}
+        )
+        by_cell = Window.partitionBy(*keys, "cell_id")  # the candidate bins of one cell
+        by_far = by_cell.orderBy("_far").rangeBetween(Window.unboundedPreceding, 0)
+        covered = ranged.withColumn("_have", F.sum("m").over(by_far))
+        radius = F.min(F.when(F.col("_have") >= k, F.col("_far"))).over(by_cell)
+        return (
+            covered.withColumn("_r", radius)
+            .where(F.col("_r").isNull() | (F.col("_near") <= F.col("_r")))
+            .select(*row, "bx", "by")
+        )
+
+    top = pyramid[-1]
+    pairs = centre.join(top, keys)  # whole-area bins: a handful per area
+    for level in range(levels - 1, -1, -1):
+        kept = prune(pairs, base_m * factor**level)
+        if level == 0:
+            break
+        finer = pyramid[level - 1].withColumns(
+            {"_cx": F.col("bx"), "_cy": F.col("by"), "bx": F.floor(F.col("bx") / factor), "by": F.floor(F.col("by") / factor)}
+        )
+        pairs = kept.join(finer, [*keys, "bx", "by"]).select(*row, F.col("_cx").alias("bx"), F.col("_cy").alias("by"), "m")
+    near = kept.join(spots, [*keys, "bx", "by"]).withColumn("_d", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
+    by_cell = Window.partitionBy(*keys, "cell_id").orderBy("_d", "x", "y")
+    before = F.coalesce(F.sum("m").over(by_cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = near.withColumn("_t", F.least(F.col("m"), F.greatest(F.lit(k) - before, F.lit(0))))
+    means = taken.groupBy(*keys, "cell_id").agg((F.sum(F.col("_d") * F.col("_t")) / F.sum("_t")).alias("_mean"))
+    index = F.coalesce(1.0 / (F.col("_mean") + epsilon), F.lit(0.0))
+    return cells.join(means, [*keys, "cell_id"], "left").withColumn("poi_access_index", index).drop("_mean")
+
+
+def feature_output(cells: DataFrame, areas: DataFrame, scope: Scope = AREA) -> DataFrame:
+    """G11. Cell table in contract order, centroid in longitude and latitude when the zone is known."""
+    located = cells if "cx" in cells.columns else centroids(cells)
+    if "utm_zone" in areas.columns:
+        located = to_lonlat(attach(located, areas.select(*scope.keys, "utm_zone", "south"), scope), "cx", "cy")
+    else:
+        located = located.withColumns({"longitude": F.col("cx"), "latitude": F.col("cy")})
+    return located.select(*[c for c in CELL_COLUMNS if c in located.columns])
+
+
+# ------------------------------------------------------------------------------------------- districts
+
+
+def polygonal_only(parts: Column) -> Column:
+    """G13. Rings of the polygon parts of a geometry collection; null when none is left."""
+    rings = F.transform(F.filter(parts, lambda p: p["kind"] == "polygon"), lambda p: p["ring"])
+    return F.when(F.size(rings) > 0, rings)
 
 
 def district_shares(districts: DataFrame, scope: Scope, predicted: str = "predicted_population") -> DataFrame:
@@ -19,3 +374,286 @@ def district_shares(districts: DataFrame, scope: Scope, predicted: str = "predic
             "predicted_share": share(predicted, "_p"),
         }
     ).drop("_o", "_p")
+
+
+def overlap_sums(
+    cells: DataFrame,
+    districts: DataFrame,
+    areas: DataFrame,
+    values: Mapping[str, str],
+    size_m: float = CELL_SIZE,
+    scope: Scope = AREA,
+) -> DataFrame:
+    """Value x overlap area / cell area, summed per district (rows ``area_id, district_name, geom``).
+
+    A district may have several rows, one per polygon part. Each part is exploded to bins; the join with
+    cells is one row per cell and part, on (area, column, row).
+    """
+    parts = districts.select(*scope.keys, "district_name", "geom", F.lit("polygon").alias("kind"))
+    bins = bin_objects(parts, areas, size_m, scope).where("measure > 0")
+    per_bin = bins.groupBy(*scope.keys, "district_name", "grid_col", "grid_row").agg(F.sum("measure").alias("_overlap"))
+    used = cells.where(F.col("cell_area_m2") > 0).select(*scope.keys, "grid_col", "grid_row", "cell_area_m2", *values.values())
+    joined = per_bin.join(used, [*scope.keys, "grid_col", "grid_row"])
+    part = lambda c: F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.col("_overlap") / F.col("cell_area_m2"))
+    return joined.groupBy(*scope.keys, "district_name").agg(
+        F.sum("_overlap").alias("intersection_area"), *[part(c).alias(n) for n, c in values.items()]
+    )
+
+
+def areal_interpolate(
+    cells: DataFrame,
+    districts: DataFrame,
+    areas: DataFrame,
+    value: str = "surface_value",
+    size_m: float = CELL_SIZE,
+    scope: Scope = AREA,
+) -> DataFrame:
+    """G12. Predicted value per district; districts without overlap stay at 0, shares are over all districts."""
+    sums = overlap_sums(cells, districts, areas, {"predicted_population": value}, size_m, scope)
+    base = districts.drop("geom").dropDuplicates([*scope.keys, "district_name"])
+    joined = base.join(sums, [*scope.keys, "district_name"], "left").na.fill(0.0, ["predicted_population", "intersection_area"])
+    return district_shares(joined, scope)
+
+
+def district_intervals(
+    cells: DataFrame, districts: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE, scope: Scope = AREA
+) -> DataFrame:
+    """B06. One interpolation with three sums, then width, relative width and covered flag."""
+    from gridspark.operators.stats import interval_columns
+
+    names = {f"predicted_{p}": p for p in ("p10", "p50", "p90")}
+    sums = overlap_sums(cells, districts, areas, names, size_m, scope)
+    base = districts.drop("geom").dropDuplicates([*scope.keys, "district_name"])
+    joined = base.join(sums, [*scope.keys, "district_name"], "left").na.fill(0.0, list(names))
+    return interval_columns(joined)
+
+
+def match_districts(
+    reference: DataFrame,
+    candidates: DataFrame,
+    cells: DataFrame | None = None,
+    areas: DataFrame | None = None,
+    size_m: float = CELL_SIZE,
+    scope: Scope = AREA,
+) -> tuple[DataFrame, DataFrame]:
+    """G14. Best candidate polygon per reference district, and the districts without one.
+
+    ``reference`` carries ``tokens ARRAY<STRING>`` and ``candidates`` ``names ARRAY<STRING>`` (both
+    normalised), ``cand_id`` and ``geom``. Ties go to the largest overlap with the surface, then area.
+    """
+    keys = list(scope.keys)
+    tokens = reference.select(*keys, "district_name", F.explode("tokens").alias("_token")).where(F.col("_token") != "").distinct()
+    names = candidates.select(*keys, "cand_id", F.explode("names").alias("_token")).distinct()
+    hits = tokens.join(names, [*keys, "_token"]).select(*keys, "district_name", "cand_id").distinct()
+    sized = candidates.withColumn("_area", G.ring_area(F.col("geom"))).select(*keys, "cand_id", "geom", "_area")
+    if cells is not None and areas is not None:
+        named = candidates.select(*keys, F.col("cand_id").alias("district_name"), "geom")
+        overlap = overlap_sums(cells, named, areas, {}, size_m, scope).select(
+            *keys, F.col("district_name").alias("cand_id"), F.col("intersection_area").alias("_overlap")
+        )
+        sized = sized.join(overlap, [*keys, "cand_id"], "left").na.fill(0.0, ["_overlap"])
+    else:
+        sized = sized.withColumn("_overlap", F.lit(0.0))
+    joined = hits.join(sized, [*keys, "cand_id"])
+    best = joined.groupBy(*keys, "district_name").agg(
+        F.max_by(F.struct("cand_id", "geom"), F.struct("_overlap", "_area", "cand_id")).alias("_best")
+    )
+    matched = reference.join(best.select(*keys, "district_name", "_best.*"), [*keys, "district_name"])
+    misses = reference.join(best, [*keys, "district_name"], "left_anti").select(*keys, "district_name")
+    return matched, misses
+
+
+# --------------------------------------------------------------------------------------------- rasters
+
+
+def covers(outer: Mapping[str, Column], inner: Mapping[str, Column], tolerance: float = 1e-9) -> Column:
+    """G16. Does one box cover the other?"""
+    return (
+        (outer["minx"] <= inner["minx"] + tolerance)
+        & (outer["miny"] <= inner["miny"] + tolerance)
+        & (outer["maxx"] >= inner["maxx"] - tolerance)
+        & (outer["maxy"] >= inner["maxy"] - tolerance)
+    )
+
+
+def raster_coverage(areas: DataFrame, rasters: DataFrame, scope: Scope = AREA) -> DataFrame:
+    """G16 over a batch: raster count and whether every raster of an area covers its bounds.
+
+    ``rasters`` has ``area_id, raster_id, minx, miny, maxx, maxy``.
+    """
+    side = lambda p: {n: F.col(f"{p}{n}") for n in ("minx", "miny", "maxx", "maxy")}
+    named = rasters.select(*scope.keys, *[F.col(n).alias(f"r_{n}") for n in ("minx", "miny", "maxx", "maxy")])
+    joined = attach(named, areas.select(*scope.keys, "minx", "miny", "maxx", "maxy"), scope, "inner")
+    return group_agg(
+        joined, scope, F.count(F.lit(1)).alias("raster_count"), F.bool_and(covers(side("r_"), side(""))).alias("coverage_ok")
+    )
+
+
+def zonal_sum(
+    cells: DataFrame,
+    pixels: DataFrame,
+    areas: DataFrame,
+    size_m: float = CELL_SIZE,
+    scope: Scope = AREA,
+    all_touched: bool = True,
+    extra_keys: Sequence[str] = (),
+    out: str = "raster_value",
+) -> DataFrame:
+    """G15. Pixel values per cell; a pixel goes to one cell, the last (highest number) it overlaps.
+
+    ``pixels`` has ``area_id, raster_id, row, col, x0, y0, x1, y1, value`` (value null where masked);
+    negatives and non-finite values count 0 and several rasters add up. With ``all_touched`` off the pixel
+    centre decides.
+    """
+    shaped = grid_shape(areas, size_m).select(*scope.keys, "minx", "miny", "n_cols", "n_rows")
+    v = to_num(F.col("value"))
+    placed = attach(pixels.withColumn("_v", F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0))), shaped, scope, "inner")
+
+    def span(lo, hi, origin, n):
+        if all_touched:
+            first = F.floor((F.col(lo) - F.col(origin)) / size_m)
+            last = F.ceil((F.col(hi) - F.col(origin)) / size_m) - 1
+        else:
+            first = last = F.floor(((F.col(lo) + F.col(hi)) / 2.0 - F.col(origin)) / size_m)
+        first, last = F.greatest(first, F.lit(0)), F.least(last, F.col(n) - 1)
+        return F.when(first <= last, F.sequence(first, last))
+
+    pixel = [*scope.keys, *extra_keys, "raster_id", "row", "col"]
+    binned = (
+        placed.where("_v > 0")
+        .withColumn("grid_col", F.explode(span("x0", "x1", "minx", "n_cols")))
+        .withColumn("grid_row", F.explode(span("y0", "y1", "miny", "n_rows")))
+        .select(*pixel, "grid_col", "grid_row", "_v")
+    )
+    known = cells.select(*scope.keys, "grid_col", "grid_row", "cell_id", "cell_no")
+    owner = (
+        binned.join(known, [*scope.keys, "grid_col", "grid_row"])
+        .groupBy(*pixel)
+        .agg(F.max(F.struct("cell_no", "cell_id", "_v")).alias("_o"))
+    )
+    sums = owner.groupBy(*scope.keys, *extra_keys, F.col("_o.cell_id").alias("cell_id")).agg(F.sum("_o._v").alias(out))
+    if extra_keys:
+        return sums
+    return cells.join(sums, [*scope.keys, "cell_id"], "left").na.fill(0.0, [out])
+
+
+def align_benchmarks(
+    cells: DataFrame, pixels: DataFrame, areas: DataFrame, products: Sequence[str], size_m: float = CELL_SIZE, scope: Scope = AREA
+) -> DataFrame:
+    """G17. One column per benchmark product beside the surface; ``pixels`` carries ``product``."""
+    long = zonal_sum(cells, pixels, areas, size_m, scope, extra_keys=("product",))
+    wide = long.groupBy(*scope.keys, "cell_id").pivot("product", list(products)).agg(F.sum("raster_value"))
+    return cells.join(wide, [*scope.keys, "cell_id"], "left").na.fill(0.0, list(products))
+
+
+# ------------------------------------------------------------------------------------------ components
+
+
+def components(cells: DataFrame, scope: Scope = AREA, max_rounds: int = 64) -> DataFrame:
+    """G18. Label of the connected component (8 neighbours) of every cell: its smallest cell number.
+
+    Min-label propagation along grid edges with pointer jumping, so rounds grow with the logarithm of the
+    component diameter. A node has at most eight edges; the label-to-label join is attached with salting,
+    so one component holding most cells is no hot key. Each round is checkpointed.
+    """
+    ensure_checkpoint_dir(cells.sparkSession)
+    keys = list(scope.keys)
+    node = [*keys, "cell_no"]
+    base = cells.select(*keys, "cell_no", "grid_col", "grid_row")
+    shift = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)])
+    sides = base.withColumn("_s", F.explode(shift)).select(
+        *keys,
+        F.col("cell_no").alias("other"),
+        (F.col("grid_col") + F.col("_s.a")).alias("grid_col"),
+        (F.col("grid_row") + F.col("_s.b")).alias("grid_row"),
+    )
+    edges = base.join(sides, [*keys, "grid_col", "grid_row"]).select(*node, "other").checkpoint()
+    labels = base.select(*node, F.col("cell_no").alias("label")).checkpoint()
+    by_label = Scope((*keys, "label"), ("cell_no",))
+    for _ in range(max_rounds):
+        around = edges.join(labels.select(*keys, F.col("cell_no").alias("other"), F.col("label").alias("_l")), [*keys, "other"])
+        best = around.groupBy(*node).agg(F.min("_l").alias("_m"))
+        stepped = labels.join(best, node, "left").select(
+            *node, F.least(F.col("label"), F.coalesce("_m", F.col("label"))).alias("label"), F.col("label").alias("_old")
+        )
+        stepped = stepped.checkpoint()
+        # pointer jumping: take the label of the node that names my label
+        roots = stepped.select(*keys, F.col("cell_no").alias("label"), F.col("label").alias("_up"))
+        used = roots.join(stepped.select(*keys, "label").distinct(), [*keys, "label"], "left_semi")
+        jumped = attach(stepped, used, by_label).select(*node, F.least("label", F.coalesce("_up", "label")).alias("label"), "_old")
+        labels = jumped.checkpoint()
+        if labels.where(F.col("label") != F.col("_old")).limit(1).count() == 0:
+            return cells.join(labels.select(*node, F.col("label").alias("component")), node)
+        labels = labels.drop("_old")
+    raise RuntimeError("components did not converge; raise max_rounds")
+
+
+COMPONENT_MEANS = ("building_area", "total_floor_area", "road_length", "poi_access_index")
+
+
+def component_summary(
+    surface: DataFrame,
+    zone: str,
+    value: str = "surface_value",
+    scope: Scope = AREA,
+    hot: float = 0.90,
+    cold: float = 0.10,
+    min_cells: int = 3,
+    top: int = 5,
+) -> tuple[DataFrame, DataFrame]:
+    """G19. Ranked components of hot or cold cells, and their members as a long table.
+
+    Hot components rank by total then mean, cold ones by size then (low) mean; ids are ``zone_01``...
+    Members are rows ``(area_id, source_component_id, cell_id)``: a component may be as large as its area,
+    so its ids are never gathered into one value. Needs cell boxes ``x0..y1`` and ``cell_area_m2``.
+    """
+    keys = list(scope.keys)
+    picked = stage(zone_mask(surface, zone, value, scope, hot, cold).where("in_zone"), scope)
+    labelled = components(picked, scope)
+    fine = [*keys, "component"]
+    cx, cy = (F.col("x0") + F.col("x1")) / 2.0, (F.col("y0") + F.col("y1")) / 2.0
+    w = F.col("cell_area_m2")
+    weighted = lambda c: F.try_divide(F.sum(c * w), F.sum(w))
+    box = group_agg(
+        picked, scope, F.min("x0").alias("minx"), F.min("y0").alias("miny"), F.max("x1").alias("maxx"), F.max("y1").alias("maxy")
+    )
+    rows = labelled.groupBy(*fine).agg(
+        F.count(F.lit(1)).alias("cell_count"),
+        F.sum(value).alias("total_value"),
+        F.avg(value).alias("mean_value"),
+        *[F.avg(c).alias(f"{c}_mean") for c in COMPONENT_MEANS if c in surface.columns],
+        weighted(cx).alias("centroid_x"),
+        weighted(cy).alias("centroid_y"),
+        F.max("selection_threshold").alias("selection_threshold"),
+    )
+    big = rows.where(F.col("cell_count") >= min_cells)
+    order = [("total_value", False), ("mean_value", False)] if zone == "hotspot" else [("cell_count", False), ("mean_value", True)]
+    ranked = top_k(big, Scope(scope.keys, ("component",), scope.groups), order, top, "rank_within_zone_type")
+    summary = attach(ranked, box, scope).withColumns(
+        {
+            "zone_type": F.lit(zone),
+            "source_component_id": F.format_string(f"{zone}_%02d", F.col("rank_within_zone_type").cast("int")),
+            "direction_label": direction(
+                F.col("centroid_x"), F.col("centroid_y"), F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")
+            ),
+        }
+    )
+    ids = summary.select(*fine, "source_component_id")
+    members = attach(labelled.select(*fine, "cell_id"), ids, Scope(tuple(fine), ("cell_id",)), "inner")
+    return summary.drop("minx", "miny", "maxx", "maxy", "component"), members.select(*keys, "source_component_id", "cell_id")
+
+
+def spatial_blocks(df: DataFrame, size_m: float = 2000.0, scope: Scope = AREA, name: str | None = "area_name") -> DataFrame:
+    """G20. Block label ``<area slug>__bx<i>_by<j>`` from metres off the area's lowest latitude and longitude."""
+    if size_m <= 0:
+        raise ValueError("the block size must be positive")
+    origin = with_group(
+        df, scope, {"_lat0": F.min("latitude"), "_lon0": F.min("longitude"), "_mean": F.avg("latitude")}
+    )
+    per_lon = F.greatest(METERS_PER_DEGREE * F.cos(F.radians("_mean")), F.lit(1e-6))
+    bx = F.floor((F.col("longitude") - F.col("_lon0")) * per_lon / size_m)
+    by = F.floor((F.col("latitude") - F.col("_lat0")) * METERS_PER_DEGREE / size_m)
+    key = slug(F.col(name)) if name else F.col(scope.keys[0]).cast("string")
+    key = F.replace(key, F.lit("_"), F.lit(" "))
+    label = F.concat(key, F.lit("__bx"), bx.cast("string"), F.lit("_by"), by.cast("string"))
+    return origin.withColumn("block", label).drop("_lat0", "_lon0", "_mean")
