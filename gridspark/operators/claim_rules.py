@@ -1,6 +1,8 @@
 """Claim rules as data: patterns, weights, explanations and safe wording per category and language.
 
 Fixed values throughout: the categories, weights, patterns and phrases define which texts are flagged.
+``needs`` lists literals of which every pattern of the rule contains at least one: a text without any of
+them cannot match, so its regular expressions are skipped.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ class ClaimRule:
     safe_ru: str
     rewrite_en: str
     rewrite_ru: str
+    needs: tuple[str, ...] = ()
 
 
 SEVERITIES = ("none", "low", "medium", "high", "critical")
@@ -48,6 +51,7 @@ CLAIM_RULES: tuple[ClaimRule, ...] = (
         "calibrated proxy population surface",
         "Cell values are proxy estimates, not observed census counts.",
         "Значения ячеек являются proxy estimates, а не наблюдаемыми census counts.",
+        needs=("census", "population", "перепис", "населен"),
     ),
     ClaimRule(
         "TRUE_UNCERTAINTY",
@@ -68,6 +72,7 @@ CLAIM_RULES: tuple[ClaimRule, ...] = (
         "proxy-интервал",
         "P10/P50/P90 describe ensemble spread inside the proxy framework, not true census uncertainty.",
         "P10/P50/P90 описывают ensemble spread внутри proxy framework, а не true census uncertainty.",
+        needs=("uncertainty", "census", "неопредел", "перепис"),
     ),
     ClaimRule(
         "CONFIDENCE_AS_PROBABILITY",
@@ -89,6 +94,7 @@ CLAIM_RULES: tuple[ClaimRule, ...] = (
         "interpretation-confidence score",
         "confidence_score is an interpretation-confidence score, not a probability of correctness.",
         "confidence_score — interpretation-confidence score, а не probability of correctness.",
+        needs=("probability", "chance", "confidence", "вероятност"),
     ),
     ClaimRule(
         "EXTERNAL_PRODUCTS_AS_GROUND_TRUTH",
@@ -105,6 +111,7 @@ CLAIM_RULES: tuple[ClaimRule, ...] = (
         "structural comparator",
         "WorldPop and GHS-POP are structural comparators, not ground truth.",
         "WorldPop и GHS-POP используются как structural comparators, а не ground truth.",
+        needs=("ground", "benchmark", "validated"),
     ),
     ClaimRule(
         "VERIFIED_HOTSPOT_TRUTH",
@@ -127,6 +134,7 @@ CLAIM_RULES: tuple[ClaimRule, ...] = (
         "screening candidate",
         "hotspot_priority_class is a screening/triage class, not verified hotspot truth.",
         "hotspot_priority_class обозначает screening/triage class, а не verified hotspot truth.",
+        needs=("hotspot", "priority"),
     ),
     ClaimRule(
         "LLM_IMPROVES_PREDICTION_ACCURACY",
@@ -147,6 +155,7 @@ CLAIM_RULES: tuple[ClaimRule, ...] = (
         "evidence-linked explanation",
         "The text layer explains frozen outputs and does not change population estimates or prediction accuracy.",
         "Текстовый слой объясняет frozen outputs и не изменяет population estimates или accuracy.",
+        needs=("accura", "chatbot", "llm", "gemini", "чатбот"),
     ),
     ClaimRule(
         "AUTOMATED_POLICY_DECISION",
@@ -167,6 +176,7 @@ CLAIM_RULES: tuple[ClaimRule, ...] = (
         "требует ручной проверки",
         "The result supports preliminary screening and requires manual review.",
         "Результат поддерживает предварительный screening и требует ручной проверки.",
+        needs=("policy", "administrative", "manual", "planning", "проверк", "решен"),
     ),
     ClaimRule(
         "FAKE_PRECISION_OR_OVERCONFIDENCE",
@@ -191,6 +201,7 @@ CLAIM_RULES: tuple[ClaimRule, ...] = (
         "bounded proxy interpretation",
         "Numerical outputs are bounded proxy evidence without a guarantee of cell-level accuracy.",
         "Числа следует интерпретировать как bounded proxy evidence без гарантии cell-level accuracy.",
+        needs=("exact", "definitely", "prove", "guarantee", "accurate", "uncertainty", "точн", "однозначно", "доказывает", "гарантирует", "неопредел"),
     ),
 )
 

@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is full."""
 
-from suite import bench_q, core, hot, qual, space, text  # noqa: F401
+from suite import bench_q, core, fact, hot, qual, space, text  # noqa: F401
 from suite.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
