@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.scalars import norm_question
 from gridspark.operators.textaudit import STORE_VERSION, check_responses
-from gridspark.scope import Scope, top_k
+from gridspark.scope import Scope, materialize, top_k
 
 SIMILARITY = 0.86
 BLOCK_ROWS = 4_000
@@ -118,6 +118,17 @@ def _best_pairs(requests: pd.DataFrame, store: pd.DataFrame, threshold: float) -
     return pd.DataFrame(rows, columns=["request_id", "cache_id", "similarity"])
 
 
+def _asked(requests: DataFrame) -> DataFrame:
+    return requests.select(
+        "request_id",
+        norm_question(F.col("area")).alias("area_norm"),
+        F.lower("mode").alias("mode"),
+        F.lower("language").alias("language"),
+        "evidence_hash",
+        norm_question(F.col("question")).alias("question_norm"),
+    )
+
+
 def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """X09. Best safe stored answer per request in the same area, mode, language and evidence hash.
 
@@ -127,14 +138,9 @@ def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIM
     questions becomes many cells. Identical questions of a context are scored once.
     """
     ctx = list(CONTEXT)
-    req = requests.select(
-        "request_id",
-        norm_question(F.col("area")).alias("area_norm"),
-        F.lower("mode").alias("mode"),
-        F.lower("language").alias("language"),
-        "evidence_hash",
-        norm_question(F.col("question")).alias("question_norm"),
-    )
+    store = materialize(store)  # read by the exact join, the blocks, and the final check
+    req = materialize(_asked(requests))
+
     # entries of the same context and question: the most recent one stands for all
     distinct = store.groupBy(*ctx, "question_norm").agg(F.max_by("cache_id", F.struct("created_at", "cache_id")).alias("cache_id"))
     exact = req.join(distinct, [*ctx, "question_norm"]).select("request_id", "cache_id", F.lit(1.0).alias("similarity"), F.lit("exact").alias("match_type"))
@@ -149,6 +155,7 @@ def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIM
     group = [*ctx, "_len"]
     blocks = lambda df, name: df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias(name))
     # a request meets its own band and both neighbours
+    asked = left = materialize(left)
     near = left.withColumn("_len", F.explode(F.array(*[F.col("_len") + d for d in (-1, 0, 1)])))
     grid = blocks(near, "_nr").join(blocks(right, "_ns"), group)
     by_row = lambda df, row, n: F.pmod(F.xxhash64(row), F.col(n)).cast("int")
@@ -177,7 +184,7 @@ def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIM
     best = scored.groupBy("request_id").agg(F.max_by("cache_id", F.struct("similarity", "cache_id")).alias("cache_id"), F.max("similarity").alias("similarity"))
     similar = (
         open_q.join(
-            asked.withColumnRenamed("request_id", "_ask").join(best.withColumnRenamed("request_id", "_ask"), "_ask"),
+            asked.drop("_len").withColumnRenamed("request_id", "_ask").join(best.withColumnRenamed("request_id", "_ask"), "_ask"),
             [*ctx, "question_norm"],
         )
         .select("request_id", "cache_id", F.round("similarity", 4).alias("similarity"), F.lit("similarity").alias("match_type"))
@@ -188,7 +195,7 @@ def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIM
     fields = ["answer", "evidence_used", "claim_boundary_notes", "missing_artifacts", "structured_sections", "fallback_used"]
     safe = hits.join(body.select("cache_id", *fields), "cache_id")
     found = safe.withColumn("hit", F.lit(True))
-    return requests.select("request_id").join(found, "request_id", "left").withColumns(
+    return req.select("request_id").join(found, "request_id", "left").withColumns(
         {
             "hit": F.coalesce("hit", F.lit(False)),
             "match_type": F.coalesce("match_type", F.lit("none")),

@@ -94,16 +94,19 @@ def with_group(df: DataFrame, scope: Scope, aggs: Mapping[str, Column]) -> DataF
     return attach(df, group_agg(df, scope, *[a.alias(n) for n, a in aggs.items()]), scope)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an input that several branches read to the checkpoint folder, cutting its lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def stage(df: DataFrame, scope: Scope) -> DataFrame:
     """End of a step whose result feeds both an aggregate and a join.
 
     Windows over small groups need nothing. On the other path the rows are written to the checkpoint
     folder, so a chain of steps costs one pass per step instead of doubling with each of them.
     """
-    if scope.small_groups:
-        return df
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return df if scope.small_groups else materialize(df)
 
 
 def _sort_cols(order: Sequence[tuple[str, bool]]) -> list[Column]:
