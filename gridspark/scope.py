@@ -65,6 +65,13 @@ class Scope:
 AREA = Scope()
 
 
+def _row_hash(df: DataFrame, scope: Scope) -> Column:
+    """Deterministic hash of a row for salting: its id, else every column that can be hashed (maps cannot)."""
+    row = [c for c in scope.row_id if c in df.columns]
+    row = row or [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*row)
+
+
 def attach(df: DataFrame, stats: DataFrame, scope: Scope = AREA, how: str = "left") -> DataFrame:
     """Join one-row-per-group ``stats`` onto rows of ``df`` by ``scope.keys``."""
     keys = list(scope.keys)
@@ -72,8 +79,7 @@ def attach(df: DataFrame, stats: DataFrame, scope: Scope = AREA, how: str = "lef
         return df.crossJoin(F.broadcast(stats))  # exactly one row by construction
     if scope.few_groups:
         return df.join(F.broadcast(stats), keys, how)
-    row = [c for c in scope.row_id if c in df.columns] or df.columns
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(SALTS)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(_row_hash(df, scope), F.lit(SALTS)).cast("int"))
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, keys + ["_salt"], how).drop("_salt")
 
@@ -246,13 +252,12 @@ def top_k(df: DataFrame, scope: Scope, order: Sequence[tuple[str, bool]], k: int
     A salted first pass keeps k rows per (group, salt); the second pass sees at most k * SALTS rows.
     """
     order = list(order) + [(c, True) for c in scope.row_id if c not in dict(order)]
-    row = [c for c in scope.row_id if c in df.columns] or df.columns
     first = Window.partitionBy(*scope.keys, "_salt").orderBy(*_sort_cols(order))
     second = Window.partitionBy(*scope.keys).orderBy(*_sort_cols(order))
     pre = df
     if not scope.small_groups:
         pre = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(SALTS * 8)))
+            df.withColumn("_salt", F.pmod(_row_hash(df, scope), F.lit(SALTS * 8)))
             .withColumn("_r", F.row_number().over(first))
             .where(F.col("_r") <= k)
             .drop("_r", "_salt")

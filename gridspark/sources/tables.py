@@ -70,7 +70,7 @@ def parse_total_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_totals_lenient(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """S03 from a file. Line numbers need the whole (small) totals file as one value; the header is dropped."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("_i", "line")).where("_i > 0")
     return parse_total_lines(lines.select((F.col("_i") + 1).alias("line_no"), "line"))
 
