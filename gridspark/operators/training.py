@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -86,28 +87,48 @@ class RidgeModel:
 def fit_ridge(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0) -> RidgeModel:
     """T02 + T03. Median imputation, population scaling, then a solve on the moment matrix.
 
-    Two aggregates bring back medians and second moments (about p * p / 2 numbers); rows stay on executors.
+    One aggregate brings back counts, nulls and means; medians are computed only for columns with nulls.
+    Second moments about the means are summed per Arrow batch and then across partitions, so about
+    ``p * p`` numbers reach the driver whatever the number of rows.
     """
     p = len(features)
-    one = Scope(keys=(), row_id=tuple(features))
-    small = df.select(*features).limit(2_000_001).count() <= 2_000_000
-    meds = quantiles(df, replace(one, max_rows=0) if small else one, {f"_m{i}": (c, 0.5) for i, c in enumerate(features)}).first()
-    median = [float(meds[f"_m{i}"] or 0.0) for i in range(p)]
-    x = [F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in zip(features, median)]
-    aggs = [F.avg(c).alias(f"a{i}") for i, c in enumerate(x)]
-    aggs += [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
-    aggs += [F.covar_pop(x[i], F.col(label)).alias(f"y{i}") for i in range(p)]
-    row = df.agg(*aggs, F.avg(label).alias("ybar"), F.count(F.lit(1)).alias("n")).first()
-    cov = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-    std = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    raw = [F.col(c).cast("double") for c in features]
+    first = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(label).alias("ybar"),
+        *[F.count(c).alias(f"k{i}") for i, c in enumerate(raw)],
+        *[F.sum(c).alias(f"s{i}") for i, c in enumerate(raw)],
+    ).first()
+    n, ybar = first["n"], float(first["ybar"])
+    holes = {f"_m{i}": (c, 0.5) for i, c in enumerate(features) if first[f"k{i}"] < n}
+    median = [0.0] * p
+    if holes:
+        scope = Scope(keys=(), row_id=tuple(features), groups=1, max_rows=n)
+        found = quantiles(df, scope, holes).first()
+        for i in range(p):
+            median[i] = float(found[f"_m{i}"] or 0.0) if f"_m{i}" in holes else 0.0
+    mean = [((first[f"s{i}"] or 0.0) + median[i] * (n - first[f"k{i}"])) / n for i in range(p)]
+    center = np.array([*mean, ybar])
+    filled = [F.coalesce(c, F.lit(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(raw, median))]
+
+    def moments(batches):
+        total = np.zeros((p + 1, p + 1))
+        for batch in batches:
+            z = batch.to_numpy(dtype=float) - center
+            total += z.T @ z
+        i, j = np.triu_indices(p + 1)
+        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+
+    rows = df.select(*filled, F.col(label).cast("double").alias("y")).mapInPandas(moments, "i int, j int, v double")
+    second = np.zeros((p + 1, p + 1))
+    for r in rows.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # (p + 1)(p + 2) / 2 rows
+        second[r["i"], r["j"]] = second[r["j"], r["i"]] = r["v"]
+    std = np.sqrt(np.maximum(np.diag(second)[:p] / n, 0.0))
     std[std == 0] = 1.0
-    gram = row["n"] * cov / np.outer(std, std)
-    moment = row["n"] * np.array([row[f"y{i}"] for i in range(p)]) / std
+    gram = second[:p, :p] / np.outer(std, std)
+    moment = second[:p, p] / std
     w = np.linalg.solve(gram + alpha * np.eye(p), moment)
-    return RidgeModel(tuple(features), median, [row[f"a{i}"] for i in range(p)], std.tolist(), w.tolist(), float(row["ybar"]))
+    return RidgeModel(tuple(features), median, mean, std.tolist(), w.tolist(), ybar)
 
 
 def prep_stages(features: Sequence[str], scale: bool) -> list:
