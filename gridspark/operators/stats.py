@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridspark.contracts import BANDS
 from gridspark.functions.scalars import clip, safe_div, to_bool
 from gridspark.operators.hotspots import stability_detail, stability_summary
-from gridspark.scope import AREA, Scope, attach, group_agg, quantiles, with_group, with_quantiles, with_rank
+from gridspark.scope import AREA, Scope, attach, group_agg, materialize, quantiles, with_group, with_quantiles, with_rank
 
 GLOBAL = Scope(keys=(), row_id=("area_id", "cell_id"))
 
@@ -515,6 +515,8 @@ def validation_package(
     ``held_out`` and ``in_sample`` are cell diagnostics with ``weak_target`` and ``absolute_error_p50``.
     """
     spark = in_sample.sparkSession
+    in_sample = materialize(in_sample)  # every table reads it again
+    held_out = materialize(held_out) if held_out is not None else None
     runs = {"inference_only_proxy_check": in_sample}
     blockers = []
     if held_out is not None:

@@ -182,7 +182,7 @@ def folds_loco(df: DataFrame, scope: Scope = AREA) -> DataFrame:
     return attach(df, numbered, scope).withColumn("fold_group", F.concat_ws("|", *scope.keys))
 
 
-GREEDY_BLOCKS = 1_000_000
+GREEDY_BLOCKS = 100_000
 
 
 def folds_blocks(df: DataFrame, k: int = 5, block: str = "block") -> DataFrame:

@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.operators import hotspots as H
 from gridspark.operators.quality import validate_ranked
-from gridspark.scope import AREA, Scope
+from gridspark.scope import AREA, Scope, materialize
 
 
 def hotspot_package(df: DataFrame, top_n: int = 25, scope: Scope = AREA, strict: bool = False) -> dict[str, DataFrame]:
     """H07. Validate every area, then four tables; failing areas go to ``rejected_areas`` instead.
 
-    The input feeds six branches, so it is persisted (spilling to disk); call ``unpersist`` on the
-    ``input`` entry when the tables are written. ``strict`` raises as soon as an area fails.
+    The input feeds six branches, so it is written to the checkpoint folder once. ``strict`` raises as
+    soon as an area fails.
     """
-    source = df.persist(StorageLevel.MEMORY_AND_DISK)
+    source = materialize(df)
     failures = validate_ranked(source, scope)
     if strict and failures.limit(1).count():
         raise ValueError("hotspot package input failed validation; see validate_ranked")
     bad = failures.select(*scope.keys).distinct()
     good = source.join(bad, list(scope.keys), "left_anti")
     return {
-        "input": source,
         "summary": H.hotspot_summary(good, scope),
         "top": H.top_hotspots(good, top_n, scope),
         "caution": H.caution(good),

@@ -11,7 +11,7 @@ from gridspark.operators import retrieval as R
 from gridspark.operators import stats as B
 from gridspark.operators import textaudit as X
 from gridspark.operators import uncertainty as U
-from gridspark.scope import Scope
+from gridspark.scope import Scope, materialize
 from suite import views as V
 from suite.qual import question_view
 from suite.registry import pick, query, r, rnd, rs
@@ -38,7 +38,7 @@ def support(spark, sf, summary):
 def facts_of(spark, sf):
     """Fact tables of all areas, from one interval surface."""
     scope = V.scope_of(spark, sf)
-    iv = V.interval(spark, sf, scope).persist()
+    iv = materialize(V.interval(spark, sf, scope))
     summary = U.interval_summary(iv, scope)
     sup = support(spark, sf, summary)
     city = L.city_facts(sup, summary.where("area_id % 3 = 0"), _ONE)

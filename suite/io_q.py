@@ -13,7 +13,7 @@ from gridspark.operators import spatial as P
 from gridspark.operators import stats as B
 from gridspark.operators import training as T
 from gridspark.operators import uncertainty as U
-from gridspark.scope import Scope
+from gridspark.scope import Scope, materialize
 from gridspark.sources import tables as S
 from suite import views as V
 from suite.registry import pick, query, r, rnd, rs
@@ -272,7 +272,7 @@ def r04(spark, sf):
 )
 def r01(spark, sf):
     scope = V.scope_of(spark, sf)
-    d = V.diagnostics(spark, sf, scope).persist()
+    d = materialize(V.diagnostics(spark, sf, scope))
     empty_d = d.select("area_id", F.lit(0).alias("n_districts_compared"), F.lit(0.0).alias("mean_absolute_error_p50")).where("false")
     empty_e = d.select("area_id", F.lit("p").alias("benchmark_product"), F.lit(0.0).alias("spearman_disagreement_vs_uncertainty")).where("false")
     tables = R.report_tables(
