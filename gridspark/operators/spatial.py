@@ -326,7 +326,7 @@ def knn_access(
         )
 
     top = pyramid[-1]
-    pairs = attach(centre, top, Scope(scope.keys, ("cell_id",), scope.groups), "inner")  # a handful of top bins per area
+    pairs = attach(centre, top, Scope(scope.keys, ("cell_id",)), "inner")  # salted: an area may hold most cells
     for level in range(levels - 1, -1, -1):
         kept = prune(pairs, base_m * factor**level)
         if level == 0:

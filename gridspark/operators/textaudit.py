@@ -79,7 +79,9 @@ def violations_of(text: Column, language: Column, rules: Sequence[ClaimRule] = C
 def scan_claims(docs: DataFrame, text: str = "text", language: str | None = "language", rules: Sequence[ClaimRule] = CLAIM_RULES) -> DataFrame:
     """X01. Violations, maximum severity, risk score and pass flag per text."""
     lang = F.col(language) if language else F.lit("en")
-    scanned = docs.withColumn("violations", violations_of(F.col(text), lang, rules))
+    # a generator, so that later filters on the verdict do not pull the scan down and run it twice
+    found = F.inline(F.array(F.struct(violations_of(F.col(text), lang, rules).alias("violations"))))
+    scanned = docs.drop("violations").select("*", found)
     v = F.col("violations")
     worst = F.coalesce(F.array_max(F.transform(v, lambda x: _severity_rank(x["severity"]))), F.lit(1))
     risk = F.aggregate(v, F.lit(0), lambda acc, x: acc + x["weight"])
