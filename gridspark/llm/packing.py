@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import id_and_text, texts
-from gridspark.llm.words import WordIds
+from gridspark.llm.words import word_ids
 from gridspark.storage import write_table
 
 LENGTH = 4096
@@ -84,7 +84,7 @@ def _as_bins(columns: list[np.ndarray], sizes: np.ndarray, bins: np.ndarray, cap
 
 def _pack_documents(vocabulary: str, capacity: int, slack: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(vocabulary)
+        encode = word_ids(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
 
         def flush(rows):
@@ -172,7 +172,7 @@ def piece_ids(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFra
     """The real output beside the places: ``doc_id, piece, ids array<int>`` of every piece, to be joined on the first two."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(vocabulary)
+        encode = word_ids(vocabulary)
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.stream(texts(batch)), strict=True):
                 own = np.append(np.frombuffer(ids, "<u4"), END_ID).astype(np.int32)

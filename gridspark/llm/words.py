@@ -2,52 +2,86 @@
 
 from __future__ import annotations
 
+import os
+import sys
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
-import numpy as np
-
-#: Words whose ids a worker keeps, and bytes up to which a word is worth keeping: memory is bounded by their product.
+#: Words whose ids a worker keeps (two generations of that many), and bytes up to which a word is worth keeping:
+#: memory is bounded by their product.
 KEPT_WORDS = 500_000
-KEPT_BYTES = 48
+KEPT_BYTES = 40
 #: Bytes of text whose words are looked up together.
 TOGETHER = 1 << 20
+#: Marks that end a word; behind a letter they are a token of their own to the splitter.
+STOPS = b".,"
+
+
+def _bytes(ids: list[int]) -> bytes:
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
 
 
 class WordIds:
     """Ids of whole texts as little-endian 32-bit numbers.
 
     Texts are cut at 0x20 and 0x09-0x0D, which are white space to the tokenizer as well: it parts words there, drops
-    the space, and neither composes nor merges across it. So a text's ids are its words' ids in a row, and each
-    different word is encoded once per worker as long as it is kept.
+    the space, and neither composes nor merges across it. So a text's ids are its words' ids in a row, and a word is
+    encoded once per worker for as long as it is in use: a word that was met since the last change of generation
+    stays. ASCII words are looked up in small letters, and full stops and commas behind a letter apart, since the
+    normaliser and the splitter do the same.
     """
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.kept: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """ASCII words of small letters alone are what normaliser and splitter would hand to the model, so they go there."""
+        merge, out = self.tokenizer.model.tokenize, {}
+        for w in words:
+            if w.isalpha() and w.islower():
+                out[w] = _bytes([t.id for t in merge(w.decode())])
+        rest = [w for w in words if w not in out]
+        for low in range(0, len(rest), 4096):
+            part = rest[low : low + 4096]
+            for w, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                out[w] = _bytes(found.ids)
+        return [out[w] for w in words]
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        new = list(words)
-        got: dict[bytes, bytes] = {}
-        for low in range(0, len(new), 4096):
-            part = new[low : low + 4096]
-            for word, ids in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                got[word] = np.array(ids.ids, "<u4").tobytes()
-        return got
+    def _known(self, words: set[bytes]) -> set[bytes]:
+        """Words still to be learnt; what the old generation knows is taken over."""
+        missing = words - self.young.keys()
+        again = missing & self.old.keys()
+        self.young.update((w, self.old[w]) for w in again)
+        return missing - again
+
+    def _learn(self, words: set[bytes]) -> None:
+        missing = self._known(words)
+        parted: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in missing:
+            stem = w.rstrip(STOPS).lower()
+            if stem != w and w.isascii() and stem[-1:].isalpha() and b"<" not in stem:
+                parted[w] = (stem, w[len(stem) :])
+        new = list(self._known({x for both in parted.values() for x in both if x}) | (missing - parted.keys()))
+        self.young.update(zip(new, self._encode(new), strict=True))
+        young = self.young
+        young.update((w, young[stem] + (young[tail] if tail else b"")) for w, (stem, tail) in parted.items())
 
     def _together(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [t.split() for t in texts]
-        missing = set().union(*split) - self.kept.keys()
-        if len(self.kept) + len(missing) > KEPT_WORDS:
-            self.kept = {}
-            missing = set().union(*split)
-        got = self._learn(missing)
-        long = {w: got.pop(w) for w in missing if len(w) > KEPT_BYTES}
-        self.kept.update(got)
-        ids = self.kept | long if long else self.kept
+        if len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, {w: ids for w, ids in self.young.items() if len(w) <= KEPT_BYTES}
+        self._learn(set().union(*split))
         for words in split:
-            yield b"".join(map(ids.__getitem__, words))
+            yield b"".join(map(self.young.__getitem__, words))
 
     def stream(self, texts: list[bytes]) -> Iterator[bytes]:
         low, size = 0, 0
@@ -56,3 +90,9 @@ class WordIds:
             if size >= TOGETHER or i == len(texts) - 1:
                 yield from self._together(texts[low : i + 1])
                 low, size = i + 1, 0
+
+
+@lru_cache(maxsize=2)
+def word_ids(vocabulary: str) -> WordIds:
+    """One per worker process: its words serve the tasks that follow, too."""
+    return WordIds(vocabulary)
