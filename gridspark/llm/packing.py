@@ -163,9 +163,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, slack
     rows = id_and_text(docs)
     bins = write_table(rows.mapInArrow(_pack_documents(vocabulary, length, slack), BIN), "bins")
     done = _tree(bins, max(1, rows.rdd.getNumPartitions()), length, slack, node)
-    return done.select(F.monotonically_increasing_id().alias("sequence_id"), F.inline("members")).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
-    )
+    numbered = done.select(F.monotonically_increasing_id().alias("sequence_id"), "members")  # before the bins are taken apart
+    return numbered.select("sequence_id", F.inline("members")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def piece_ids(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
