@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from gridspark.contracts import CELL_COLUMNS, GRID_FEATURES
 from gridspark.functions import geometry as G
 from gridspark.functions.scalars import clean_tag, direction, slug, to_num
+from gridspark.graph import connected_components
 from gridspark.operators.hotspots import zone_mask
 from gridspark.scope import AREA, Scope, attach, group_agg, stage, top_k, with_group
-from gridspark.session import ensure_checkpoint_dir
 
 CELL_SIZE = 500.0
 METERS_PER_DEGREE = 111_320.0
@@ -549,43 +549,23 @@ def align_benchmarks(
 # ------------------------------------------------------------------------------------------ components
 
 
-def components(cells: DataFrame, scope: Scope = AREA, max_rounds: int = 64) -> DataFrame:
+def components(cells: DataFrame, scope: Scope = AREA) -> DataFrame:
     """G18. Label of the connected component (8 neighbours) of every cell: its smallest cell number.
 
-    Min-label propagation along grid edges with pointer jumping, so rounds grow with the logarithm of the
-    component diameter. A node has at most eight edges; the label-to-label join is attached with salting,
-    so one component holding most cells is no hot key. Each round is checkpointed.
+    Neighbours are edges of one graph over all areas, contracted until no edge is left (``connected_components``):
+    rounds grow with the logarithm of the number of cells, whatever the shapes.
     """
-    ensure_checkpoint_dir(cells.sparkSession)
     keys = list(scope.keys)
-    node = [*keys, "cell_no"]
-    base = cells.select(*keys, "cell_no", "grid_col", "grid_row")
-    shift = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)])
-    sides = base.withColumn("_s", F.explode(shift)).select(
-        *keys,
-        F.col("cell_no").alias("other"),
-        (F.col("grid_col") + F.col("_s.a")).alias("grid_col"),
-        (F.col("grid_row") + F.col("_s.b")).alias("grid_row"),
+    node = F.struct(*keys, "cell_no")
+    base = cells.select(*keys, "grid_col", "grid_row", node.alias("src"))
+    # half of the eight directions: the others are the same edges
+    ahead = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    sides = base.withColumn("_s", F.explode(ahead)).select(
+        *keys, F.col("src").alias("dst"), (F.col("grid_col") + F.col("_s.a")).alias("grid_col"), (F.col("grid_row") + F.col("_s.b")).alias("grid_row")
     )
-    edges = base.join(sides, [*keys, "grid_col", "grid_row"]).select(*node, "other").checkpoint()
-    labels = base.select(*node, F.col("cell_no").alias("label")).checkpoint()
-    by_label = Scope((*keys, "label"), ("cell_no",))
-    for _ in range(max_rounds):
-        around = edges.join(labels.select(*keys, F.col("cell_no").alias("other"), F.col("label").alias("_l")), [*keys, "other"])
-        best = around.groupBy(*node).agg(F.min("_l").alias("_m"))
-        stepped = labels.join(best, node, "left").select(
-            *node, F.least(F.col("label"), F.coalesce("_m", F.col("label"))).alias("label"), F.col("label").alias("_old")
-        )
-        stepped = stepped.checkpoint()
-        # pointer jumping: take the label of the node that names my label
-        roots = stepped.select(*keys, F.col("cell_no").alias("label"), F.col("label").alias("_up"))
-        used = roots.join(stepped.select(*keys, "label").distinct(), [*keys, "label"], "left_semi")
-        jumped = attach(stepped, used, by_label).select(*node, F.least("label", F.coalesce("_up", "label")).alias("label"), "_old")
-        labels = jumped.checkpoint()
-        if labels.where(F.col("label") != F.col("_old")).limit(1).count() == 0:
-            return cells.join(labels.select(*node, F.col("label").alias("component")), node)
-        labels = labels.drop("_old")
-    raise RuntimeError("components did not converge; raise max_rounds")
+    edges = base.join(sides, [*keys, "grid_col", "grid_row"]).select("src", "dst")
+    joined = connected_components(edges).select(*[F.col(f"node.{c}").alias(c) for c in [*keys, "cell_no"]], F.col("component.cell_no").alias("_least"))
+    return cells.join(joined, [*keys, "cell_no"], "left").withColumn("component", F.coalesce("_least", "cell_no")).drop("_least")
 
 
 COMPONENT_MEANS = ("building_area", "total_floor_area", "road_length", "poi_access_index")

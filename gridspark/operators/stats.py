@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.contracts import BANDS
 from gridspark.functions.scalars import clip, safe_div, to_bool
 from gridspark.operators.hotspots import stability_detail, stability_summary
-from gridspark.scope import AREA, Scope, attach, group_agg, materialize, quantiles, with_group, with_quantiles, with_rank
+from gridspark.scope import AREA, Scope, all_of, attach, group_agg, materialize, quantiles, running_totals, with_group, with_quantiles, with_rank
 
 GLOBAL = Scope(keys=(), row_id=("area_id", "cell_id"))
 
@@ -29,23 +29,62 @@ def _pearson(a: Column, b: Column) -> Column:
 
 
 def correlations(df: DataFrame, pairs: Mapping[str, tuple[str, str, str]], scope: Scope = AREA) -> DataFrame:
-    """B01. Named correlations per group. ``pairs`` maps a name to ``(column, column, method)``."""
-    work, aggs = df, []
-    for i, (name, (a, b, method)) in enumerate(pairs.items()):
-        x, y = _finite(F.col(a)), _finite(F.col(b))
-        if method == "pearson":
-            aggs.append(_pearson(x, y).alias(name))
-            continue
-        ok = f"_ok{i}"
-        work = work.withColumn(ok, x.isNotNull() & y.isNotNull())
-        for side, column in (("a", x), ("b", y)):
-            work = work.withColumn(f"_v{side}{i}", F.when(F.col(ok), column).otherwise(F.lit(0.0)))
-            ranked_in = scope.finer(ok, factor=2)
-            work = with_rank(work, ranked_in, [(f"_v{side}{i}", True)], f"_r{side}{i}", "average")
-        aggs.append(
-            _pearson(F.when(F.col(ok), F.col(f"_ra{i}")), F.when(F.col(ok), F.col(f"_rb{i}"))).alias(name)
-        )
-    return group_agg(work, scope, *aggs)
+    """B01. Named correlations per group. ``pairs`` maps a name to ``(column, column, method)``.
+
+    A Spearman side is a column seen under a null mask (the rows in which both sides are numbers). Equal sides are
+    ranked once. All sides are rows of one long table ``(group, side, value)`` that holds nothing else, so all of
+    them are ranked in one go, after equal values were counted (a map-side combine); a pair's ranks meet again by
+    its two values, of which equal ones are counted as well.
+    """
+    keys = list(scope.keys)
+    columns = list(dict.fromkeys(c for a, b, _ in pairs.values() for c in (a, b)))
+    number = {c: f"_c{i}" for i, c in enumerate(columns)}
+    work = df.select(*keys, *[_finite(F.col(c)).alias(n) for c, n in number.items()])
+    plain = {n: p for n, p in pairs.items() if p[2] == "pearson"}
+    ranked = {n: p for n, p in pairs.items() if p[2] != "pearson"}
+    out = group_agg(work, scope, F.count(F.lit(1)).alias("_rows"), *[_pearson(F.col(number[a]), F.col(number[b])).alias(n) for n, (a, b, _) in plain.items()])
+    if ranked:
+        wide = _rank_correlations(work, {n: (number[a], number[b]) for n, (a, b, _) in ranked.items()}, scope)
+        out = out.join(wide, keys, "left") if keys else out.crossJoin(F.broadcast(wide))  # without keys both have one row
+    return out.select(*keys, *pairs)
+
+
+def _rank_correlations(work: DataFrame, pairs: Mapping[str, tuple[str, str]], scope: Scope) -> DataFrame:
+    keys = list(scope.keys)
+    sides = {(c, "|".join(sorted(set(p)))): None for p in pairs.values() for c in p}  # column under a mask
+    mask = lambda m: all_of([F.col(c).isNotNull() for c in m.split("|")])
+    side = lambda c, m: F.struct(F.lit(f"{c}@{m}").alias("_side"), F.when(mask(m), F.col(c)).alias("_v"))
+    long = work.select(*keys, F.inline(F.array(*[side(c, m) for c, m in sides]))).where(F.col("_v").isNotNull())
+    values = long.groupBy(*keys, "_side", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    if scope.small_groups:
+        earlier = Window.partitionBy(*keys, "_side").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+        placed = values.withColumn("_before", F.coalesce(F.sum("_m").over(earlier), F.lit(0)))
+    else:
+        placed = running_totals(values, [*keys, "_side"], [("_v", True)], F.col("_m"))
+    before = placed.select(*keys, "_side", "_v", (F.col("_before") + (F.col("_m") + 1) / F.lit(2.0)).alias("_rank"))
+    before = before if scope.small_groups else materialize(before)  # both sides of each pair read it
+    name = lambda n, p: F.struct(
+        F.lit(n).alias("_name"),
+        F.lit(f"{p[0]}@{'|'.join(sorted(set(p)))}").alias("_sa"),
+        F.lit(f"{p[1]}@{'|'.join(sorted(set(p)))}").alias("_sb"),
+        F.when(mask("|".join(p)), F.col(p[0])).alias("_x"),
+        F.when(mask("|".join(p)), F.col(p[1])).alias("_y"),
+    )
+    met = work.select(*keys, F.inline(F.array(*[name(n, p) for n, p in pairs.items()]))).where(F.col("_x").isNotNull())
+    met = met.groupBy(*keys, "_name", "_sa", "_sb", "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
+    as_side = lambda s, v, r: before.select(*keys, F.col("_side").alias(s), F.col("_v").alias(v), F.col("_rank").alias(r))
+    both = met.join(as_side("_sa", "_x", "_ra"), [*keys, "_sa", "_x"]).join(as_side("_sb", "_y", "_rb"), [*keys, "_sb", "_y"])
+    w, a, b = F.col("_w"), F.col("_ra"), F.col("_rb")
+    # ranks have the known mean (n + 1) / 2, so one pass of centred sums is exact enough
+    sums = both.groupBy(*keys, "_name").agg(
+        *[F.sum(x).alias(n) for n, x in {"_n": w, "_sa": w * a, "_sb": w * b, "_saa": w * a * a, "_sbb": w * b * b, "_sab": w * a * b}.items()]
+    )
+    n = F.col("_n")
+    cov = F.col("_sab") - F.col("_sa") * F.col("_sb") / n
+    va, vb = F.col("_saa") - F.col("_sa") * F.col("_sa") / n, F.col("_sbb") - F.col("_sb") * F.col("_sb") / n
+    rho = F.when((n >= 2) & (va > 0) & (vb > 0), F.try_divide(cov, F.sqrt(va) * F.sqrt(vb)))
+    scored = sums.select(*keys, "_name", rho.alias("_rho"))
+    return scored.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_rho"))).alias(n) for n in pairs])
 
 
 def top_set(df: DataFrame, column: str, fraction: float, scope: Scope = AREA, out: str = "in_top") -> DataFrame:

@@ -315,20 +315,34 @@ def request_key(area: Column, mode: Column, language: Column, question: Column,
     return F.substring(F.sha2(F.to_json(identity), 256), 1, 32)
 
 
+#: Strings, braces, and what is between them.
+JSON_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[{}]|[^"{}]++|"'
+
+
 def parse_outputs(df: DataFrame, raw: str = "raw_text") -> DataFrame:
     """X14. JSON object of a model output: plain, fenced, or embedded in text; fields normalised.
 
-    Candidates are tried in order: fenced block, whole text, then the shortest prefix from the first brace
-    that parses (what a streaming decoder would return). Parsing uses the VARIANT type.
+    Candidates are tried in order: fenced block, whole text, then what stands from the first brace to the one that
+    balances it outside of strings (what a streaming decoder would return): found in one pass over the tokens, parsed
+    once. Parsing uses the VARIANT type.
     """
     value = F.trim(F.coalesce(F.col(raw), F.lit("")))
     fenced = F.regexp_extract(value, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    tail = F.substring(value, F.instr(value, "{"), F.length(value))
-    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.substring(value, i, F.lit(1)) == "}")
     start = F.instr(value, "{")
-    prefix = lambda i: F.substring(value, start, i - start + 1)
+    tokens = F.regexp_extract_all(F.substring(value, start, F.length(value)), F.lit(JSON_TOKEN), F.lit(0))
+
+    def step(acc, token):
+        depth = acc["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        open_still = (acc["size"] == 0) | (acc["depth"] > 0)
+        return F.struct(
+            F.when(open_still, depth).otherwise(acc["depth"]).alias("depth"),
+            F.when(open_still, acc["size"] + F.length(token)).otherwise(acc["size"]).alias("size"),
+        )
+
+    walked = F.aggregate(tokens, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size")), step)
     parses = lambda s: F.try_parse_json(s).isNotNull() & F.startswith(F.trim(s), F.lit("{"))
-    embedded = F.try_element_at(F.filter(F.transform(F.filter(ends, lambda i: i > start), prefix), parses), F.lit(1))
+    balanced = F.element_at(F.transform(F.array(walked), lambda w: F.when(w["depth"] == 0, F.substring(value, start, w["size"]))), 1)
+    embedded = F.element_at(F.transform(F.array(balanced), lambda b: F.when(parses(b), b)), 1)
     text = F.coalesce(
         F.when((fenced != "") & parses(fenced), fenced),
         F.when(parses(value), value),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
@@ -38,7 +37,7 @@ class TrainingConfig:
     seed: int = 42
     trees: int = 400
     min_leaf: int = 2
-    max_depth: int = 12
+    max_depth: int | None = None  #: None: 12 for forests, 6 for boosted trees
     alpha: float = 1.0
     log_target: bool = True
     parallel_fits: int = 4
@@ -143,13 +142,13 @@ def prep_stages(features: Sequence[str], scale: bool) -> list:
     return stages
 
 
-def make_estimator(name: str, features: Sequence[str], seed: int = 42, trees: int = 400, min_leaf: int = 2, max_depth: int = 12):
-    """T04, T05, T06. Tree estimators by name; ridge is fitted by ``fit_ridge``."""
-    common = {"featuresCol": "features", "labelCol": "_label", "seed": seed, "maxDepth": max_depth}
+def make_estimator(name: str, features: Sequence[str], seed: int = 42, trees: int = 400, min_leaf: int = 2, max_depth: int | None = None):
+    """T04, T05, T06. Tree estimators by name; ridge is fitted by ``fit_ridge``. A depth that is given is used as it is."""
+    common = {"featuresCol": "features", "labelCol": "_label", "seed": seed, "maxDepth": max_depth or (12 if name == "random_forest" else 6)}
     if name == "random_forest":
         model = RandomForestRegressor(numTrees=trees, minInstancesPerNode=min_leaf, featureSubsetStrategy="all", **common)
     elif name in ("boosted_trees", "catboost"):
-        model = GBTRegressor(maxIter=trees, minInstancesPerNode=min_leaf, **{**common, "maxDepth": min(max_depth, 6)})
+        model = GBTRegressor(maxIter=trees, minInstancesPerNode=min_leaf, **common)
     else:
         raise ValueError(f"unsupported model: {name}")
     return Pipeline(stages=[*prep_stages(features, False), model])
@@ -182,34 +181,47 @@ def folds_loco(df: DataFrame, scope: Scope = AREA) -> DataFrame:
     return attach(df, numbered, scope).withColumn("fold_group", F.concat_ws("|", *scope.keys))
 
 
-GREEDY_BLOCKS = 100_000
+def _greedy_plan(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """Which fold takes the j-th block of each size if blocks go, largest first, to the lightest fold (ties: the first).
+
+    ``sizes`` are ``(size, blocks)``, the largest first. Folds are picked in the order of ``(load + t * size, fold)``
+    over all t, so the picks of one size are a few runs, each a fixed cycle over some folds: rows
+    ``(size, first, last, cycle)``, ``first`` and ``last`` being ranks from 0. At most k runs a size.
+    """
+    load, plan = [0] * (k + 1), []
+    for size, count in sizes:
+        by_level = sorted(range(1, k + 1), key=lambda i: load[i] // size)
+        done, m = 0, 0
+        while done < count:
+            level = load[by_level[m]] // size
+            while m < k and load[by_level[m]] // size == level:
+                m += 1
+            upto = load[by_level[m]] // size if m < k else None
+            cycle = sorted(by_level[:m], key=lambda i: (load[i] % size, i))
+            picks = count - done if upto is None else min(count - done, (upto - level) * m)
+            plan.append((size, done, done + picks - 1, cycle))
+            for n, i in enumerate(cycle):
+                load[i] += size * (picks // m + (n < picks % m))
+            done += picks
+    return plan
 
 
 def folds_blocks(df: DataFrame, k: int = 5, block: str = "block") -> DataFrame:
-    """T08. Group k-fold: blocks by size, each to the lightest fold; k = min(max(2, k), blocks).
+    """T08. Group k-fold: blocks by size (ties by name), each to the lightest fold; k = min(max(2, k), blocks).
 
-    The block table (one row per block) is balanced greedily while it has at most ``GREEDY_BLOCKS`` rows;
-    larger ones deal the size-ranked blocks out in a snake, which balances within one block size.
+    Exactly the greedy result at any number of blocks: the driver sees only how many blocks have each size (n rows make
+    at most sqrt(2 n) different sizes), and a block finds its fold by its rank among the blocks of its size.
     """
     sizes = materialize(df.groupBy(block).agg(F.count(F.lit(1)).alias("_n")))
-    n = sizes.count()
+    counted = sorted(((r["_n"], r["n"]) for r in sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()), reverse=True)
+    n = sum(c for _, c in counted)
     if n < 2:
         raise ValueError("block folds need at least two blocks")
-    k = min(max(2, int(k)), n)
-    if n <= GREEDY_BLOCKS:
-        heap = [(0, i) for i in range(1, k + 1)]
-        rows = []
-        for row in sorted(sizes.toLocalIterator(), key=lambda s: (-s["_n"], s[block])):
-            load, i = heapq.heappop(heap)
-            rows.append((row[block], i))
-            heapq.heappush(heap, (load + row["_n"], i))
-        table = df.sparkSession.createDataFrame(rows, f"{block} string, fold long")
-    else:
-        ranked = with_rank(sizes, Scope(keys=(), row_id=(block,)), [("_n", False)], "_r", "row")
-        step = F.pmod(F.col("_r") - 1, F.lit(2 * k))
-        table = ranked.select(block, F.when(step < k, step + 1).otherwise(2 * k - step).cast("long").alias("fold"))
-    joined = df.join(table, block)
-    return joined.withColumn("fold_group", F.col(block))
+    plan = df.sparkSession.createDataFrame(_greedy_plan(counted, min(max(2, int(k)), n)), "_n long, _first long, _last long, _cycle array<long>")
+    ranked = with_rank(sizes, Scope(keys=("_n",), row_id=(block,)), [(block, True)], "_r", "row").withColumn("_r", F.col("_r") - 1)
+    placed = ranked.join(plan, "_n").where((F.col("_r") >= F.col("_first")) & (F.col("_r") <= F.col("_last")))
+    fold = F.element_at("_cycle", (F.pmod(F.col("_r") - F.col("_first"), F.size("_cycle").cast("long")) + 1).cast("int"))
+    return df.join(placed.select(block, fold.alias("fold")), block).withColumn("fold_group", F.col(block))
 
 
 def with_folds(df: DataFrame, config: TrainingConfig, scope: Scope = AREA) -> tuple[DataFrame, str]:

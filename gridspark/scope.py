@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.session import ensure_checkpoint_dir
+from gridspark.storage import write_table
 
 BROADCAST_GROUPS = 20_000
 WINDOW_ROWS = 2_000_000
@@ -101,20 +101,31 @@ def with_group(df: DataFrame, scope: Scope, aggs: Mapping[str, Column]) -> DataF
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an input that several branches read to the checkpoint folder, cutting its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write an input that several branches read to the shared folder, cutting its lineage."""
+    return write_table(df)
 
 
 def stage(df: DataFrame, scope: Scope) -> DataFrame:
     """End of a step whose result feeds both an aggregate and a join.
 
-    Windows over small groups need nothing. On the other path the rows are written to the checkpoint
+    Windows over small groups need nothing. On the other path the rows are written to the shared
     folder, so a chain of steps costs one pass per step instead of doubling with each of them.
     """
     return df if scope.small_groups else materialize(df)
 
 
+def _is_value(df: DataFrame, column: str) -> Column:
+    """Neither null nor NaN."""
+    c = F.col(column)
+    return c.isNotNull() & ~F.isnan(c) if df.schema[column].dataType.typeName() in ("double", "float") else c.isNotNull()
+
+
+def _number(c: Column | str) -> Column:
+    """As a double; NaN counts as null."""
+    v = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def _sort_cols(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
 
@@ -123,16 +134,15 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str
     """Distributed ``row number`` (``_pos``) and running weight before the row (``_before``) per group.
 
     Rows are range partitioned by (keys, order), so a hot group spreads over many tasks. The partition
-    number is stored with the row and written to the checkpoint folder: the later count and numbering
+    number is stored with the row in a table in the shared folder: the later count and numbering
     steps read the same placement even when executors are lost and tasks run again.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     keys = list(keys)
-    placed = (
+    placed = write_table(
         df.repartitionByRange(*[F.col(k) for k in keys], *_sort_cols(order))
         .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_w", weight.cast("long"))
-        .checkpoint()
+        .withColumn("_w", weight.cast("long")),
+        "placed",
     )
     chunk = keys + ["_pid"]
     sizes = placed.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_cn"), F.sum("_w").alias("_cw"))
@@ -162,7 +172,8 @@ def with_rank(
     """Rank rows inside ``scope``.
 
     ``order`` is a list of ``(column, ascending)``. Methods: ``row`` (ties broken by ``scope.row_id``),
-    ``dense``, ``min`` and ``average`` (ties share a rank; one order column).
+    ``dense``, ``min`` and ``average`` (ties share a rank; one order column). These three rank values: a row whose
+    value is null or NaN has no rank (null) and counts for nobody else's.
     """
     order = list(order)
     if method == "row":
@@ -171,17 +182,20 @@ def with_rank(
         w = Window.partitionBy(*scope.keys).orderBy(*_sort_cols(order))
         if method == "row":
             return df.withColumn(name, F.row_number().over(w).cast("long"))
-        if method == "dense":
-            return df.withColumn(name, F.dense_rank().over(w).cast("long"))
-        if method == "min":
-            return df.withColumn(name, F.rank().over(w).cast("long"))
+        some = _is_value(df, order[0][0])
+        valued = Window.partitionBy(*scope.keys, some).orderBy(*_sort_cols(order))
         ties = Window.partitionBy(*scope.keys, order[0][0])
-        return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0))
+        rank = {
+            "dense": F.dense_rank().over(valued).cast("long"),
+            "min": F.rank().over(valued).cast("long"),
+            "average": F.rank().over(valued) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0),
+        }[method]
+        return df.withColumn(name, F.when(some, rank))
     if method == "row":
         return running_totals(df, scope.keys, order, F.lit(1)).withColumnRenamed("_pos", name).drop("_before")
     column = order[0][0]
     df = stage(df, scope)  # the values are joined back on equality: both sides must read the same doubles
-    values = df.groupBy(*scope.keys, column).agg(F.count(F.lit(1)).alias("_m"))
+    values = df.where(_is_value(df, column)).groupBy(*scope.keys, column).agg(F.count(F.lit(1)).alias("_m"))
     placed = running_totals(values, scope.keys, order, F.col("_m"))
     rank = {
         "dense": F.col("_pos"),
@@ -194,23 +208,20 @@ def with_rank(
 
 
 def quantiles(df: DataFrame, scope: Scope, wanted: Mapping[str, tuple[Column | str, float]]) -> DataFrame:
-    """Exact linear-interpolation quantiles per group; nulls are ignored. One row per group.
+    """Exact linear-interpolation quantiles per group; nulls and NaN are ignored. One row per group.
 
     ``wanted`` maps an output name to ``(column, q)``.
     """
-    as_col = lambda c: F.col(c) if isinstance(c, str) else c
     if scope.small_groups:
-        return group_agg(
-            df, scope, *[F.percentile(as_col(c).cast("double"), F.lit(q)).alias(n) for n, (c, q) in wanted.items()]
-        )
+        return group_agg(df, scope, *[F.percentile(_number(c), F.lit(q)).alias(n) for n, (c, q) in wanted.items()])
     names = list(wanted)
     keys = list(scope.keys)
     long = df.select(
         *keys,
         F.explode(
-            F.array(*[F.struct(F.lit(n).alias("_name"), as_col(c).cast("double").alias("_value")) for n, (c, _) in wanted.items()])
+            F.array(*[F.struct(F.lit(n).alias("_name"), _number(c).alias("_value")) for n, (c, _) in wanted.items()])
         ).alias("_e"),
-    ).select(*keys, "_e.*").where(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    ).select(*keys, "_e.*").where(F.col("_value").isNotNull())
     values = long.groupBy(*keys, "_name", "_value").agg(F.count(F.lit(1)).alias("_m"))
     placed = running_totals(values, [*keys, "_name"], [("_value", True)], F.col("_m"))
     inner = Scope((*keys, "_name"), ("_value",), scope.groups and scope.groups * len(names))
@@ -229,7 +240,7 @@ def quantiles(df: DataFrame, scope: Scope, wanted: Mapping[str, tuple[Column | s
             F.max(F.when(covers(hi), F.col("_value"))).alias("_hi"),
             F.max(F.col("_p") - F.floor("_p")).alias("_f"),
         )
-        .withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
+        .withColumn("_q", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")))
     )
     wide = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in names])
     if not keys:
@@ -241,8 +252,7 @@ def with_quantiles(df: DataFrame, scope: Scope, wanted: Mapping[str, tuple[Colum
     """Group quantiles on every row of the group."""
     if scope.small_groups:
         w = Window.partitionBy(*scope.keys)
-        as_col = lambda c: F.col(c) if isinstance(c, str) else c
-        return df.withColumns({n: F.percentile(as_col(c).cast("double"), F.lit(q)).over(w) for n, (c, q) in wanted.items()})
+        return df.withColumns({n: F.percentile(_number(c), F.lit(q)).over(w) for n, (c, q) in wanted.items()})
     return attach(df, quantiles(df, scope, wanted), scope)
 
 

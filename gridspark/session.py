@@ -1,9 +1,7 @@
-"""Session helpers: a local session for tests, and the shared checkpoint folder."""
+"""A local session for tests and benches."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -22,15 +20,3 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only local masters get a folder of their own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-")
-    sc.setCheckpointDir(shared)

@@ -69,3 +69,43 @@ def test_global_scope_rank(skewed):
     glob = Scope(keys=(), row_id=("area_id", "cell_id"))
     out = with_rank(skewed, glob, [("v", True)], "r", "row").toPandas()
     assert sorted(out.r) == list(range(1, len(out) + 1))
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    nan, inf = float("nan"), float("inf")
+    values = [1.0, nan, 3.0, None, 3.0, inf, -inf, 0.0, -0.0, None, nan]
+    rows = [(a, i, v) for a in (1, 2) for i, v in enumerate(values[a - 1 :])] + [(3, 0, None), (3, 1, nan)]
+    return spark.createDataFrame(rows, "area_id long, cell_id long, v double")
+
+
+@pytest.mark.parametrize("method", ["dense", "min", "average", "row"])
+def test_both_ways_rank_nulls_and_nan_alike(holes, method):
+    out = [{(r.area_id, r.cell_id): r.r for r in with_rank(holes, s, [("v", True)], "r", method).collect()} for s in (Scope.measured(holes), AREA)]
+    assert out[0] == out[1]
+    if method != "row":
+        assert {k for k, r in out[0].items() if r is None} == {(r.area_id, r.cell_id) for r in holes.where("v is null or isnan(v)").collect()}
+
+
+def test_both_ways_take_quantiles_of_numbers_only(spark, holes):
+    for s in (Scope.measured(holes), AREA):
+        got = {r.area_id: (r.m, r.top) for r in quantiles(holes, s, {"m": ("v", 0.5), "top": ("v", 1.0)}).collect()}
+        assert got == {1: (1.0, float("inf")), 2: (1.5, float("inf")), 3: (None, None)}
+    few = spark.createDataFrame([(1, 0, 1.0), (1, 1, float("nan")), (1, 2, 3.0), (1, 3, None)], "area_id long, cell_id long, v double")
+    for s in (Scope.measured(few), AREA):
+        assert quantiles(few, s, {"m": ("v", 0.5)}).first().m == 2.0 and {r.m for r in with_quantiles(few, s, {"m": ("v", 0.5)}).collect()} == {2.0}
+
+
+def test_both_ways_correlate_alike(spark):
+    from gridspark.operators.stats import correlations
+
+    rows = [(a, i, float((i * 7) % 5) if i % 11 else None, float((i * i) % 13) if i % 7 else float("nan"), float(i % 3)) for a in (1, 2) for i in range(60)]
+    df = spark.createDataFrame([*rows, (3, 0, 1.0, 1.0, 1.0)], "area_id long, cell_id long, x double, y double, z double")
+    pairs = {"xy": ("x", "y", "spearman"), "xz": ("x", "z", "spearman"), "p": ("x", "y", "pearson"), "xx": ("x", "x", "spearman")}
+    out = [{r.area_id: tuple(r)[1:] for r in correlations(df, pairs, s).collect()} for s in (Scope.measured(df), AREA)]
+    pdf = df.toPandas()
+    for area, got in out[0].items():
+        own = pdf[pdf.area_id == area]
+        ranked = lambda a, b: own[[a, b]].dropna().rank().corr().iloc[0, 1]  # noqa: B023
+        want = [ranked("x", "y"), ranked("x", "z"), own.x.corr(own.y), 1.0] if area < 3 else [None] * 4
+        assert got == pytest.approx(want, abs=1e-9) and out[1][area] == pytest.approx(want, abs=1e-9)
