@@ -2,7 +2,8 @@
 
 A ring is ``ARRAY<STRUCT<x DOUBLE, y DOUBLE>>`` without a repeated last vertex; a path is the same
 without closure. Clip regions are arrays of half planes ``STRUCT<a, b, c>`` meaning
-``a*x + b*y <= c``; a box is four of them, a convex boundary as many as it has edges.
+``a*x + b*y <= c``; a box is four of them. A region of any shape (parts, holes) is one merged
+counter-clockwise ring, measured by the signed trapezoids under its edges.
 """
 
 from __future__ import annotations
@@ -61,19 +62,125 @@ def ring_area(ring: Column) -> Column:
     return let(ring, lambda r: F.when(F.size(r) >= 3, F.abs(_signed_area(r))).otherwise(F.lit(0.0)))
 
 
-def ring_planes(ring: Column) -> Column:
-    """Half planes of a convex ring (either orientation)."""
-    sign = F.when(signed_area(ring) >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+def oriented_rings(rings: Column) -> Column:
+    """Rings of one area by the even-odd rule: those inside an even number of others run counter-clockwise, holes clockwise."""
 
-    def edge(r, s, p, i):
-        return let(
-            _next(r, i),
-            lambda q: half_plane(
-                (q["y"] - p["y"]) * s, (p["x"] - q["x"]) * s, ((q["y"] - p["y"]) * p["x"] + (p["x"] - q["x"]) * p["y"]) * s
-            ),
-        )
+    def turned(r, i):
+        others = F.filter(rings, lambda o, j: j != i)
+        depth = F.size(F.filter(others, lambda o: point_in_ring(r[0]["x"], r[0]["y"], o)))
+        return F.when((_signed_area(r) >= 0) == (depth % 2 == 0), r).otherwise(F.reverse(r))
+
+    return F.transform(F.filter(rings, lambda r: F.size(r) >= 3), turned)
+
+
+def merged_ring(rings: Column) -> Column:
+    """Oriented rings as one: each is reached from the first one's first vertex and left the same way, so that the ways
+    there and back cancel out in areas and centroids, also after cutting."""
+    whole = lambda rs: F.flatten(F.transform(rs, lambda r: F.concat(r, F.array(r[0], rs[0][0]))))
+    return let(rings, lambda rs: F.when(F.size(rs) > 1, whole(rs)).otherwise(F.coalesce(F.try_element_at(rs, F.lit(1)), F.slice(F.flatten(rs), 1, 0))))
+
+
+def ring_segments(rings: Column) -> Column:
+    return F.flatten(F.transform(rings, lambda r: _segments(r, True)))
+
+
+def segments_in(segments: Column, planes: Column) -> Column:
+    """The parts of segments inside the half planes; a segment that only touches them is a point."""
+
+    def cut(s):
+        at = lambda t: (s["x0"] + t * (s["x1"] - s["x0"]), s["y0"] + t * (s["y1"] - s["y0"]))
+        share = segment_share(s["x0"], s["y0"], s["x1"], s["y1"], planes)
+
+        def part(v):
+            (xa, ya), (xb, yb) = at(v["lo"]), at(v["hi"])
+            return F.when(v["lo"] <= v["hi"], F.struct(xa.alias("x0"), ya.alias("y0"), xb.alias("x1"), yb.alias("y1")))
+
+        return let(share, part)
+
+    return F.array_compact(F.transform(segments, cut))
+
+
+def _trapezoids(region: Column, base: Column) -> Column:
+    """Signed convex parts that make up a counter-clockwise region above ``base``: what lies under each edge."""
+
+    def under(p, i):
+        def made(q):
+            xa, xb = F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])
+            dx, dy = F.abs(p["x"] - q["x"]), F.when(p["x"] < q["x"], q["y"] - p["y"]).otherwise(p["y"] - q["y"])
+            ya = F.when(p["x"] < q["x"], p["y"]).otherwise(q["y"])
+            zero, one = F.lit(0.0), F.lit(1.0)
+            planes = F.array(half_plane(-one, zero, -xa), half_plane(one, zero, xb), half_plane(zero, -one, -base), half_plane(-dy, dx, ya * dx - dy * xa))
+            return F.when(dx > 0, F.struct(F.signum(p["x"] - q["x"]).alias("s"), planes.alias("h")))
+
+        return let(_next(region, i), made)
+
+    return F.array_compact(F.transform(region, under))
+
+
+def overlap_area(ring: Column, region: Column, base: Column) -> Column:
+    """Area of a simple ring inside a region of any shape that lies above ``base`` (counter-clockwise, see ``merged_ring``)."""
+    parts = F.transform(_trapezoids(region, base), lambda t: t["s"] * ring_area(clip_ring(ring, t["h"])))
+    return F.greatest(F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v), F.lit(0.0))
+
+
+def on_segment(x: Column, y: Column, segments: Column) -> Column:
+    def hit(s):
+        dx, dy = s["x1"] - s["x0"], s["y1"] - s["y0"]
+        off = F.abs((x - s["x0"]) * dy - (y - s["y0"]) * dx)
+        along = (x - s["x0"]) * dx + (y - s["y0"]) * dy
+        square = dx * dx + dy * dy
+        close = F.when(square > 0, (off <= EPS * F.sqrt(square)) & (along >= -EPS) & (along <= square + EPS))
+        return F.coalesce(close, F.hypot(x - s["x0"], y - s["y0"]) <= EPS)
+
+    return F.exists(segments, hit)
+
+
+def length_in_region(path: Column, planes: Column, region: Column, edges: Column) -> Column:
+    """Length of a path inside half planes and a region of any shape: each segment is cut where it meets an edge, and a
+    piece counts if its middle lies in the region or on an edge."""
+
+    def one(s):
+        dx, dy = s["x1"] - s["x0"], s["y1"] - s["y0"]
+
+        def meets(e):
+            ex, ey = e["x1"] - e["x0"], e["y1"] - e["y0"]
+            crossing = F.try_divide((e["x0"] - s["x0"]) * ey - (e["y0"] - s["y0"]) * ex, dx * ey - dy * ex)
+            beside = lambda x, y: F.try_divide((e[x] - s["x0"]) * dx + (e[y] - s["y0"]) * dy, dx * dx + dy * dy)
+            return F.array(crossing, beside("x0", "y0"), beside("x1", "y1"))  # ends, too: an edge may run along the segment
+
+        def total(v):
+            cuts = F.filter(F.flatten(F.transform(edges, meets)), lambda t: (t > v["lo"]) & (t < v["hi"]))
+            return let(F.array_sort(F.array_distinct(F.concat(F.array(v["lo"], v["hi"]), cuts))), pieces)
+
+        def pieces(ts):
+            def piece(t, i):
+                to = F.element_at(ts, (i + 2).cast("int"))
+                mid = (t + to) / 2.0
+                x, y = s["x0"] + mid * dx, s["y0"] + mid * dy
+                return F.when(point_in_ring(x, y, region) | on_segment(x, y, edges), to - t).otherwise(F.lit(0.0))
+
+            return F.aggregate(F.transform(F.slice(ts, 1, F.size(ts) - 1), piece), F.lit(0.0), lambda acc, v: acc + v) * F.hypot(dx, dy)
+
+        share = segment_share(s["x0"], s["y0"], s["x1"], s["y1"], planes)
+        return let(share, lambda v: F.when(v["lo"] < v["hi"], total(v)).otherwise(F.lit(0.0)))
+
+    return F.aggregate(F.transform(_segments(path, False), one), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def meets_segments(path: Column, segments: Column, closed: bool) -> Column:
+    """Does any edge of a path meet any of the segments?"""
+    side = lambda ax, ay, bx, by, px, py: F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+
+    def cross(s, e):
+        a = (s["x0"], s["y0"], s["x1"], s["y1"])
+        b = (e["x0"], e["y0"], e["x1"], e["y1"])
+        boxes = (
+            (F.greatest(a[0], a[2]) >= F.least(b[0], b[2])) & (F.greatest(b[0], b[2]) >= F.least(a[0], a[2]))
+            & (F.greatest(a[1], a[3]) >= F.least(b[1], b[3])) & (F.greatest(b[1], b[3]) >= F.least(a[1], a[3]))
+        )
+        return boxes & (side(*a, b[0], b[1]) * side(*a, b[2], b[3]) <= 0) & (side(*b, a[0], a[1]) * side(*b, a[2], a[3]) <= 0)
 
-    return let(ring, lambda r: let(sign, lambda s: F.transform(r, lambda p, i: edge(r, s, p, i))))
+    return F.exists(_segments(path, closed), lambda s: F.exists(segments, lambda e: cross(s, e)))
 
 
 def clip_ring(ring: Column, planes: Column) -> Column:

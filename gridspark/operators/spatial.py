@@ -6,7 +6,7 @@ all objects is therefore summed by map-side combine and never becomes one big jo
 
 Objects are rows ``area_id, obj_id, layer, kind, geom, tags`` with ``kind`` in polygon / line / point and
 ``geom`` an array of points. Areas are rows ``area_id, minx, miny, maxx, maxy`` in metres, with an
-optional ``boundary`` ring; object measures in edge cells are exact for convex boundaries.
+optional ``boundary``: a ring, or an array of rings (parts and holes, told apart by the even-odd rule).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridspark.contracts import CELL_COLUMNS, GRID_FEATURES
 from gridspark.functions import geometry as G
@@ -68,38 +69,65 @@ def grid_shape(areas: DataFrame, size_m: float) -> DataFrame:
     return areas.withColumns({"cell_size": F.lit(float(size_m)), "n_cols": n("maxx", "minx"), "n_rows": n("maxy", "miny")})
 
 
+def _cell_boxes(shaped: DataFrame, size_m: float, has_boundary: bool) -> DataFrame:
+    """Boxes of all cells. A boundary is cut to the column before rows are made: ``_ring`` is its part in the column,
+    ``_edges`` are the edges that meet it; columns that it misses end here."""
+    one_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cols = shaped.where((F.col("n_cols") > 0) & (F.col("n_rows") > 0))
+    if has_boundary:
+        nested = isinstance(shaped.schema["boundary"].dataType.elementType, T.ArrayType)
+        rings = G.oriented_rings(F.col("boundary") if nested else F.array("boundary"))
+        cols = cols.withColumn("_rings", rings)
+        cols = cols.withColumns({"_ring": G.merged_ring(F.col("_rings")), "_edges": G.ring_segments(F.col("_rings"))}).drop("_rings", "boundary")
+    cols = cols.withColumn("grid_col", F.explode(one_to("n_cols"))).withColumn("x0", F.col("minx") + F.col("grid_col") * size_m).withColumn("x1", F.col("x0") + size_m)
+    if has_boundary:
+        one, zero = F.lit(1.0), F.lit(0.0)
+        strip = F.array(G.half_plane(-one, zero, -F.col("x0")), G.half_plane(one, zero, F.col("x1")))
+        near = lambda e: (F.least(e["x0"], e["x1"]) <= F.col("x1")) & (F.greatest(e["x0"], e["x1"]) >= F.col("x0"))
+        cols = cols.withColumns({"_edges": F.filter("_edges", near), "_ring": G.clip_ring(F.col("_ring"), strip)})
+        cols = cols.where((F.size("_ring") > 0) | (F.size("_edges") > 0))
+    # columns of a large area spread over tasks before the second explode
+    rows = cols.repartition("area_id", "grid_col").withColumn("grid_row", F.explode(one_to("n_rows")))
+    return rows.withColumn("y0", F.col("miny") + F.col("grid_row") * size_m).withColumn("y1", F.col("y0") + size_m)
+
+
+def _cut_cells(cells: DataFrame) -> DataFrame:
+    """Cells that meet the boundary's region, with the part inside (``_part``), its ``_area`` and the ``_edges`` in the cell."""
+    planes = G.box_planes(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    level = F.array(G.half_plane(zero, -one, -F.col("y0")), G.half_plane(zero, one, F.col("y1")))
+    made = lambda p: F.struct(p.alias("_part"), G.ring_area(p).alias("_area"), G.segments_in(F.col("_edges"), planes).alias("_in"))
+    cut = cells.select("*", F.inline(F.transform(F.array(G.clip_ring(F.col("_ring"), level)), made)))
+    return cut.where((F.col("_area") > 0) | (F.size("_in") > 0)).drop("_ring", "_edges").withColumnRenamed("_in", "_edges")
+
+
+def boundary_cells(areas: DataFrame, size_m: float = CELL_SIZE) -> DataFrame:
+    """Cells of areas with a boundary: ``_region`` and ``_edges`` are null where the cell lies wholly inside."""
+    cut = _cut_cells(_cell_boxes(grid_shape(areas, size_m), size_m, True))
+    whole = (F.size("_edges") == 0) & (F.col("_area") >= float(size_m) ** 2 * (1 - 1e-12))
+    return cut.select(
+        "area_id", "grid_col", "grid_row", F.when(~whole, F.col("_part")).alias("_region"), F.when(~whole, F.col("_edges")).alias("_edges")
+    )
+
+
 def make_grid(areas: DataFrame, size_m: float = CELL_SIZE, clip: bool = True, prefix: str = "Z") -> DataFrame:
     """G01. Cells over the area bounds, column-major, numbered among the kept ones.
 
-    Rows are generated by two explodes. With a boundary ring, cells that miss it are dropped and (``clip``)
-    the geometry is the part inside. Numbering needs no sort of an area: rows are numbered inside their
+    Rows are generated by two explodes. With a boundary, cells that miss it are dropped and (``clip``)
+    the geometry is the part inside (several pieces or a hole make one ring, joined along edges that cancel out). Numbering needs no sort of an area: rows are numbered inside their
     column and columns carry an offset.
     """
     if not prefix:
         raise ValueError("the cell id prefix must not be empty")
     shaped = grid_shape(areas, size_m)
     has_boundary = "boundary" in areas.columns
-    one_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    cells = (
-        shaped.where((F.col("n_cols") > 0) & (F.col("n_rows") > 0))
-        .withColumn("grid_col", F.explode(one_to("n_cols")))
-        .repartition("area_id", "grid_col")  # columns of a large area spread over tasks before the second explode
-        .withColumn("grid_row", F.explode(one_to("n_rows")))
-        .withColumns({"x0": F.col("minx") + F.col("grid_col") * size_m, "y0": F.col("miny") + F.col("grid_row") * size_m})
-        .withColumns({"x1": F.col("x0") + size_m, "y1": F.col("y0") + size_m})
-    )
+    cells = _cell_boxes(shaped, size_m, has_boundary)
     box = G.box_ring(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     if not has_boundary:
         number = F.col("grid_col") * F.col("n_rows") + F.col("grid_row") + 1
         out = cells.withColumns({"geom": box, "cell_area_m2": F.lit(float(size_m) ** 2)})
     else:
-        planes = G.box_planes(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-        ring = F.col("boundary")
-        part = lambda p: G.let(
-            G.ring_area(p), lambda a: F.struct(p.alias("_part"), a.alias("_area"), G.ring_touches(ring, planes, a).alias("_hit"))
-        )
-        cut = cells.select("*", F.inline(F.transform(F.array(G.clip_ring(ring, planes)), part)))
-        kept = cut.where("_hit").drop("_hit")
+        kept = _cut_cells(cells)
         per_col = kept.groupBy("area_id", "grid_col").agg(F.count(F.lit(1)).alias("_k"))
         earlier = Window.partitionBy("area_id").orderBy("grid_col").rowsBetween(Window.unboundedPreceding, -1)
         offsets = per_col.select("area_id", "grid_col", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_off"))
@@ -157,9 +185,11 @@ def bin_objects(objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE,
     """Objects exploded to every cell their bounding box meets, with the exact measure in that cell.
 
     Adds ``grid_col, grid_row, touches, measure`` (area of polygons, length of lines, 0 for points).
-    Nothing is joined but the one-row-per-area grid parameters.
+    Without a boundary nothing is joined but the one-row-per-area grid parameters. With one, the cells that it meets
+    are joined (salted, so a cell full of objects is no hot key); only in cells that its edge crosses is its part
+    there looked at, and it may have any shape.
     """
-    cols = ["minx", "miny", "n_cols", "n_rows"] + (["boundary"] if "boundary" in areas.columns else [])
+    cols = ["minx", "miny", "n_cols", "n_rows"]
     shaped = grid_shape(areas, size_m).select(*scope.keys, *[F.col(c).alias(f"_{c}") for c in cols])
     b = G.bounds(F.col("geom"))
     g, kind = F.col("geom"), F.col("kind")
@@ -184,11 +214,14 @@ def bin_objects(objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE,
     )
     x0, y0, x1, y1 = F.col("_x0"), F.col("_y0"), F.col("_x0") + size_m, F.col("_y0") + size_m
     planes = G.box_planes(x0, y0, x1, y1)
-    open_box = "boundary" not in areas.columns
-    if not open_box:
-        planes = F.concat(planes, G.ring_planes(F.col("_boundary")))
-    inside = F.lit(open_box) & (F.col("_bminx") > x0) & (F.col("_bmaxx") < x1) & (F.col("_bminy") > y0) & (F.col("_bmaxy") < y1)
-    rect = F.lit(open_box) & F.col("_rect")
+    region, edges = F.lit(None).cast("array<struct<x:double,y:double>>"), F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    if "boundary" in areas.columns:
+        by_cell = Scope((*scope.keys, "grid_col", "grid_row"), tuple(c for c in ("obj_id",) if c in objects.columns))
+        exploded = attach(exploded, boundary_cells(areas, size_m), by_cell, "inner")
+        region, edges = F.col("_region"), F.col("_edges")
+    open_box = region.isNull()
+    inside = open_box & (F.col("_bminx") > x0) & (F.col("_bmaxx") < x1) & (F.col("_bminy") > y0) & (F.col("_bmaxy") < y1)
+    rect = open_box & F.col("_rect")
     overlap = lambda lo, hi, c0, c1: F.greatest(F.least(F.col(hi), c1) - F.greatest(F.col(lo), c0), F.lit(0.0))
 
     def size_in(h):
@@ -196,15 +229,20 @@ def bin_objects(objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE,
             F.when(inside, F.col("_whole"))
             .when(rect, overlap("_bminx", "_bmaxx", x0, x1) * overlap("_bminy", "_bmaxy", y0, y1))
             .when(kind == "point", F.lit(0.0))
-            .when(kind == "line", G.clipped_length(g, h))
-            .otherwise(G.ring_area(G.clip_ring(g, h)))
+            .when((kind == "line") & open_box, G.clipped_length(g, h))
+            .when(kind == "line", G.length_in_region(g, h, region, edges))
+            .when(open_box, G.ring_area(G.clip_ring(g, h)))
+            .otherwise(G.let(G.clip_ring(g, h), lambda r: G.overlap_area(r, region, y0)))
         )
 
     def meets(h, m):
-        within = F.forall(h, lambda e: e["c"] - e["a"] * g[0]["x"] - e["b"] * g[0]["y"] >= 0)
+        px, py = g[0]["x"], g[0]["y"]
+        within = F.forall(h, lambda e: e["c"] - e["a"] * px - e["b"] * py >= 0)
         return (
             F.when(inside | rect | (m > 0), F.lit(True))
-            .when(kind == "point", within)
+            .when((kind == "point") & open_box, within)
+            .when(kind == "point", within & (G.point_in_ring(px, py, region) | G.on_segment(px, py, edges)))
+            .when(~open_box, G.meets_segments(g, edges, closed=False) | ((kind == "polygon") & G.meets_segments(F.array(g[F.size(g) - 1], g[0]), edges, closed=False)))
             .when(kind == "line", G.path_touches(g, h))
             .otherwise(G.ring_touches(g, h, m))
         )

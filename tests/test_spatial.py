@@ -140,3 +140,65 @@ def test_components_of_8x8_surface(spark):
     assert {r.cell_id for r in members.where("source_component_id = 'hotspot_01'").collect()} == {"Z1", "Z2", "Z9", "Z10"}
     cold, _ = P.component_summary(df, "coldspot")
     assert cold.orderBy("rank_within_zone_type").first().mean_value == 0
+
+
+def ring(*points):
+    return [(float(x), float(y)) for x, y in points]
+
+
+L_SHAPE = [ring((0, 0), (2000, 0), (2000, 500), (500, 500), (500, 2000), (0, 2000))]
+TWO_PARTS = [ring((0, 0), (700, 0), (700, 700), (0, 700)), ring((1300, 1300), (1300, 2000), (2000, 2000), (2000, 1300))]
+HOLED = [ring((0, 0), (2000, 0), (2000, 2000), (0, 2000)), ring((450, 450), (1550, 450), (1550, 1550), (450, 1550))]
+ISLAND = [*HOLED, ring((800, 800), (1200, 800), (1200, 1200), (800, 1200))]
+SLANTED = [ring((0, 0), (2000, 300), (1100, 900), (1900, 2000), (700, 1200), (100, 1900))]
+
+
+def area_of(rings):
+    shoelace = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1]))) / 2
+    return sum((1, -1, 1)[i] * shoelace(r) if len(rings) == 3 or rings is HOLED else shoelace(r) for i, r in enumerate(rings))
+
+
+SHAPES = {1: L_SHAPE, 2: TWO_PARTS, 3: HOLED, 4: ISLAND, 5: SLANTED}
+
+
+def inside(rings, x, y):
+    hit = False
+    for r in rings:
+        for (ax, ay), (bx, by) in zip(r, r[1:] + r[:1]):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                hit = not hit
+    return hit
+
+
+def test_any_boundary(spark):
+    """Cells and objects under any boundary: areas and lengths against closed forms, points against the even-odd rule."""
+    a = spark.createDataFrame(
+        [(k, 0.0, 0.0, 2000.0, 2000.0, rings) for k, rings in SHAPES.items()],
+        "area_id long, minx double, miny double, maxx double, maxy double, boundary array<array<struct<x:double,y:double>>>",
+    )
+    cells = P.make_grid(a, 300.0)
+    got = {r.area_id: r.s for r in cells.groupBy("area_id").agg(F.sum("cell_area_m2").alias("s")).collect()}
+    assert got == pytest.approx({k: area_of(rings) for k, rings in SHAPES.items()})
+    schema = "area_id long, obj_id long, layer string, kind string, geom array<struct<x:double,y:double>>, tags map<string,string>"
+    square, line = ring((0, 0), (2000, 0), (2000, 2000), (0, 2000)), ring((10, 1990), (1990, 15))
+    spots = [(37.0 + 91 * i % 2000, 53.0 + 137 * j % 2000) for i in range(20) for j in range(15)]
+    rows = [(k, 0, "square", "polygon", square, {}) for k in SHAPES] + [(k, 1, "line", "line", line, {}) for k in SHAPES]
+    rows += [(k, 2 + n, "spot", "point", [p], {}) for k in SHAPES for n, p in enumerate(spots)]
+    bins = P.bin_objects(spark.createDataFrame(rows, schema), a, 300.0).groupBy("area_id", "grid_col", "grid_row", "layer").agg(F.count("*").alias("n"), F.sum("measure").alias("m")).persist()
+    squares = cells.join(bins.where("layer = 'square'"), ["area_id", "grid_col", "grid_row"], "left").na.fill(0.0, ["m"]).collect()
+    assert [r.m for r in squares] == pytest.approx([r.cell_area_m2 for r in squares], abs=1e-6)
+    sums = {(r.area_id, r.layer): (r.n, r.m) for r in bins.groupBy("area_id", "layer").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()}
+    n, length = 20_000, (1980**2 + 1975**2) ** 0.5
+    for k, rings in SHAPES.items():
+        assert sums[k, "spot"][0] == sum(inside(rings, x, y) for x, y in spots)
+        # inside, a line of many short steps has about the share of its steps whose middles are inside
+        assert sums[k, "line"][1] == pytest.approx(length * sum(inside(rings, 10 + 1980 * (t + 0.5) / n, 1990 - 1975 * (t + 0.5) / n) for t in range(n)) / n, abs=1.0)
+
+
+def test_building_in_the_arm_of_an_l(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0, 2000.0, 2000.0, L_SHAPE[0])], "area_id long, minx double, miny double, maxx double, maxy double, boundary array<struct<x:double,y:double>>")
+    schema = "area_id long, obj_id long, layer string, kind string, geom array<struct<x:double,y:double>>, tags map<string,string>"
+    house = spark.createDataFrame([(1, 0, "buildings", "polygon", ring((1600, 200), (1700, 200), (1700, 300), (1600, 300)), {})], schema)
+    cells = P.make_grid(a, 500.0)
+    assert P.measure_in_cells(cells, house, a, 500.0).agg(F.sum("object_measure")).first()[0] == pytest.approx(10_000.0)
+    assert P.count_in_cells(cells, house, a, 500.0).agg(F.sum("object_count")).first()[0] == 1
