@@ -242,6 +242,10 @@ def _segments(path: Column, closed: bool) -> Column:
     return all_segs if closed else F.slice(all_segs, 1, F.greatest(F.size(path) - 1, F.lit(0)))
 
 
+def path_segments(path: Column) -> Column:
+    return _segments(path, False)
+
+
 def clipped_length(path: Column, planes: Column) -> Column:
     def inside(s):
         share = segment_share(s["x0"], s["y0"], s["x1"], s["y1"], planes)

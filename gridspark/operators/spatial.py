@@ -235,14 +235,20 @@ def bin_objects(objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE,
             .otherwise(G.let(G.clip_ring(g, h), lambda r: G.overlap_area(r, region, y0)))
         )
 
+    # a point on the border of its cell belongs to what lies next to it inside the cell
+    inward = lambda v, low, high: v + ((low + high) / 2.0 - v) * 1e-7
+    in_region = lambda x, y: G.point_in_ring(inward(x, x0, x1), inward(y, y0, y1), region) | G.on_segment(x, y, edges)
+
     def meets(h, m):
         px, py = g[0]["x"], g[0]["y"]
         within = F.forall(h, lambda e: e["c"] - e["a"] * px - e["b"] * py >= 0)
         return (
             F.when(inside | rect | (m > 0), F.lit(True))
             .when((kind == "point") & open_box, within)
-            .when(kind == "point", within & (G.point_in_ring(px, py, region) | G.on_segment(px, py, edges)))
-            .when(~open_box, G.meets_segments(g, edges, closed=False) | ((kind == "polygon") & G.meets_segments(F.array(g[F.size(g) - 1], g[0]), edges, closed=False)))
+            .when(kind == "point", within & in_region(px, py))
+            # what has no measure there may still touch: an edge of the boundary, or the region's closed part of the cell
+            .when(~open_box & (kind == "line"), G.meets_segments(g, edges, closed=False) | F.exists(G.segments_in(G.path_segments(g), h), lambda q: in_region(q["x0"], q["y0"])))
+            .when(~open_box, G.meets_segments(g, edges, closed=True) | F.exists(G.clip_ring(g, h), lambda q: in_region(q["x"], q["y"])))
             .when(kind == "line", G.path_touches(g, h))
             .otherwise(G.ring_touches(g, h, m))
         )
