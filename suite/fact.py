@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridspark.operators import answers as A
@@ -81,10 +82,10 @@ def l02(spark, sf):
     "l03_hotspot_facts",
     V.with_views("iv", extra={"p": "select *, row_number() over (partition by area_id order by hotspot_rank, cell_id) k from iv where hotspot_priority_class <> 'not_priority'"})
     + "select n_nationkey::bigint area_id, (select string_agg(cell_id, ',' order by k) from p where p.area_id = n_nationkey and k <= 5) top_cells, "
-    "(select count(*) from p where p.area_id = n_nationkey and hotspot_priority_class in ('high_value_high_confidence', 'medium_value_high_confidence')) stable_hotspot_cells from nation",
+    "(select count(*) from p where p.area_id = n_nationkey and hotspot_priority_class in ('high_value_high_confidence', 'medium_value_high_confidence')) stable_hotspot_cells from nation union all select unnest([90, 91]), null, 0",
 )
 def l03(spark, sf):
-    f = facts_of(spark, sf)["hot"].where("area_id < 90")
+    f = facts_of(spark, sf)["hot"]
     cells = F.array_join(F.transform("top_hotspots", lambda s: s["cell_id"]), ",")
     return f.select("area_id", F.when(cells != "", cells).alias("top_cells"), "stable_hotspot_cells")
 
@@ -92,12 +93,12 @@ def l03(spark, sf):
 @query(
     "l04_confidence_facts",
     V.with_views("iv")
-    + f"select area_id, {r('coalesce(count(*) filter (confidence_band = ' + chr(39) + 'medium' + chr(39) + ')::double / count(*), 0)', 'medium')}, count(distinct confidence_band) bands from iv group by 1",
+    + f"select area_id, {r('coalesce(count(*) filter (confidence_band = ' + chr(39) + 'medium' + chr(39) + ')::double / count(*), 0)', 'medium')}, count(distinct confidence_band) bands from iv group by 1 union all select unnest([90, 91]), 0, null",
 )
 def l04(spark, sf):
     f = facts_of(spark, sf)
     bands = B.band_validation(f["iv"].withColumn("absolute_error_p50", F.lit(0.0)), f["scope"])
-    out = L.confidence_facts(f["city"].where("area_id < 90"), bands, _ONE)
+    out = L.confidence_facts(f["city"], bands, _ONE)
     return out.select("area_id", rnd(F.coalesce("medium_share", F.lit(0.0))).alias("medium"), F.size(F.map_keys("bands")).cast("long").alias("bands"))
 
 
@@ -105,13 +106,13 @@ def l04(spark, sf):
     "l05_uncertainty_facts",
     V.with_views("diag", extra={"s": _SUP})
     + f"select d.area_id, {r('avg((weak_target between p10 and p90)::int)', 'coverage')}, {r('corr(absolute_error_p50, uncertainty_width)', 'pearson')}, "
-    "concat_ws(',', case when d.area_id < 20 then 'registry' end, 'totals', case when any_value(support_level) = 'full' then 'interval_summary' end, 'interval_coverage', 'error_alignment') sources from diag d join s using (area_id) group by 1",
+    "concat_ws(',', case when d.area_id < 20 then 'registry' end, 'totals', case when any_value(support_level) = 'full' then 'interval_summary' end, 'interval_coverage', 'error_alignment') sources from diag d join s using (area_id) group by 1 union all select unnest([90, 91]), null, null, ''",
 )
 def l05(spark, sf):
     f = facts_of(spark, sf)
     scope = f["scope"]
     diag = V.diagnostics(spark, sf, scope)
-    out = L.uncertainty_facts(f["city"].where("area_id < 90"), B.interval_coverage(diag, "proxy", scope), B.error_alignment(diag, "proxy", scope), None, None, _ONE)
+    out = L.uncertainty_facts(f["city"], B.interval_coverage(diag, "proxy", scope), B.error_alignment(diag, "proxy", scope), None, None, _ONE)
     return out.select(
         "area_id",
         rnd("weak_target_interval_coverage").alias("coverage"),
@@ -319,7 +320,9 @@ def x13(spark, sf):
 
 @query("x16_run_eval")
 def x16(spark, sf):
-    cases = question_view(spark, sf).where("trim(question_id) <> '' and question <> ''").dropDuplicates(["question_id"])
+    cases = question_view(spark, sf).where("trim(question_id) <> '' and question <> ''")
+    first = Window.partitionBy("question_id").orderBy("question", F.xxhash64(*cases.columns))
+    cases = cases.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     cases = cases.withColumns({"area_id": F.pmod(F.xxhash64("question_id"), F.lit(25)), "language": F.lower("language")})
     return A.run_eval(cases, packs_of(spark, sf)).select("question_id", "config", "severity", "answer_completeness_score", "limitation_awareness_score", "unsafe_phrase_count")
 
