@@ -46,3 +46,29 @@ def test_folds_of_a_table(spark):
 def test_given_depth_is_used(spark):
     depth = lambda model, d: make_estimator(model, ["a"], max_depth=d).getStages()[-1].getMaxDepth()
     assert [depth("boosted_trees", 12), depth("boosted_trees", None), depth("random_forest", 9), depth("random_forest", None)] == [12, 6, 9, 12]
+
+
+def test_one_pass_ridge_equals_fits_fold_by_fold(spark):
+    """Held-out predictions from moments against a fit of each training part, also for a part of the features."""
+    import random
+    from dataclasses import replace
+
+    import pytest
+
+    from gridspark.operators import training as T
+
+    rnd = random.Random(7)
+    rows = [(a, f"c{a}_{i}", 1.0 + a + 0.1 * i, 2.0 + i % 5, rnd.random() * 1e6, float(rnd.randrange(9)), 1.0, abs(rnd.gauss(50, 20)), 100.0 * a + 50) for a in range(1, 6) for i in range(30)]
+    df = spark.createDataFrame(rows, "area_id long, cell_id string, latitude double, longitude double, p double, q double, constant double, weak_target double, official_total double")
+    config = T.TrainingConfig(model="ridge", features=("p", "q", "constant"))
+    folded, unit = T._folded(df, config, T.AREA)
+    moments = T._training_moments(folded, config, ["p", "q", "constant"])
+    for features in (("p", "q", "constant"), ("q",)):
+        c = replace(config, features=features)
+        quick = {r.cell_id: r.prediction_raw for r in T._ridge_out_of_fold(folded, c, moments, ["p", "q", "constant"]).collect()}
+        slow = {}
+        for fold in range(1, 6):
+            model = T.fit(folded.where(F.col("fold") != fold), c)
+            scored = T.predict_raw(model, folded.where(F.col("fold") == fold), c.features, c.log_target, "prediction_raw")
+            slow |= {r.cell_id: r.prediction_raw for r in scored.collect()}
+        assert quick == pytest.approx(slow, rel=1e-8) and len(quick) == len(rows)
