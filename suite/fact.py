@@ -18,7 +18,7 @@ from suite.qual import question_view
 from suite.registry import pick, query, r, rnd, rs
 from suite.text import OPENINGS, turns
 
-_ONE = Scope(groups=25)
+_ONE = Scope()  # nothing measured
 
 
 def _n(spark, sf):
@@ -287,7 +287,7 @@ def corpus_of(spark, sf):
 def x10(spark, sf):
     c = corpus_of(spark, sf)
     t = V.totals(spark, sf).select(F.concat(F.lit("city-"), "area_id").alias("entry_id"), (F.col("official_total") >= 1e7).alias("_big"))
-    return c.join(F.broadcast(t), "entry_id", "left").select("entry_id", F.when(~F.coalesce("_big", F.lit(False)), F.length("text").cast("long")).alias("n"), "category")
+    return c.join(t, "entry_id", "left").select("entry_id", F.when(~F.coalesce("_big", F.lit(False)), F.length("text").cast("long")).alias("n"), "category")
 
 
 def query_view(spark, sf):

@@ -196,7 +196,7 @@ def s17(spark, sf):
     k = F.col("area_id")
     reg = n.where(k % 2 == 0).withColumn("district_benchmark_quality", F.when(k % 4 == 0, " Partial").otherwise("full"))
     com = n.where(k % 3 == 0).select("area_id", (k + 2.0).alias("completeness_score"), F.lit("weak").alias("completeness_label"))
-    return S.with_context(n.select("area_id"), reg, com, Scope(groups=25)).select(
+    return S.with_context(n.select("area_id"), reg, com, Scope()).select(
         "area_id", "display_name", rnd("completeness_support", 6).alias("completeness_support"), "internal_support_score"
     )
 
@@ -227,7 +227,7 @@ def registry(spark, sf):
     n = V.table(spark, sf, "nation")
     k = F.col("n_nationkey")
     named = lambda cond: n.where(cond).select(F.col("n_name").alias("city_name"), "n_nationkey")
-    c = V.table(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == k)
+    c = V.table(spark, sf, "customer").join(n, F.col("c_nationkey") == k)
     totals = named(k < 20).select("city_name", F.lit("Land").alias("country"), (k * 100 + 1).alias("population"), F.lit("2026-01-01").alias("reference_date"), F.lit(True).alias("verified"))
     features = c.where(k % 2 == 0).select(F.col("n_name").alias("city_name"), F.lit("f.csv").alias("source_file"), F.lit(1).cast("long").alias("row_count"))
     qa = named(k % 2 == 0).withColumn("high_zero_share_feature_count", F.lit(1))

@@ -20,7 +20,7 @@ RIDGE = T.TrainingConfig(model="ridge")
 def five(spark, sf):
     """Cells regrouped into the five regions, so that leave-one-out has five folds."""
     n = V.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("area_id"), F.col("n_regionkey").cast("long").alias("region"))
-    c = V.cells(spark, sf).join(F.broadcast(n), "area_id").drop("area_id").withColumnRenamed("region", "area_id")
+    c = V.cells(spark, sf).join(n, "area_id").drop("area_id").withColumnRenamed("region", "area_id")
     t = V.totals(spark, sf).join(n, "area_id").groupBy(F.col("region").alias("area_id")).agg(F.sum("official_total").alias("official_total"))
     r_ = V.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("area_id"), F.col("r_name").alias("area_name"))
     scope = Scope.measured(c.select("area_id"))
@@ -76,7 +76,7 @@ def t08(spark, sf):
     c, t, scope = five(spark, sf)
     from gridspark.operators.spatial import spatial_blocks
 
-    blocks = spatial_blocks(c.join(F.broadcast(t), "area_id"), 2000.0, scope)
+    blocks = spatial_blocks(c.join(t, "area_id"), 2000.0, scope)
     return T.folds_blocks(blocks, 5).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("block").alias("blocks"))
 
 

@@ -71,7 +71,7 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     )
     per_order = orders.groupBy(F.col("o_custkey").alias("ck")).agg(*[F.expr(e).alias(n) for n, e in _ORDER_FEATURES.items()])
     nation = table(spark, sf, "nation").select("n_nationkey")
-    c = table(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
+    c = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
     joined = c.join(per_order, F.col("c_custkey") == F.col("ck"), "left").join(
         per_line, F.col("c_custkey") == F.col("o_custkey"), "left"
     )
@@ -99,7 +99,7 @@ def totals(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("area_id"))
     n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("area_id"), F.col("n_name").alias("area_name"))
     s = c.join(o, F.col("c_custkey") == F.col("o_custkey")).groupBy("area_id").agg(F.sum("v").alias("official_total"))
-    return s.join(F.broadcast(n), "area_id").select("area_id", "area_name", F.col("official_total").cast("double").alias("official_total"))
+    return s.join(n, "area_id").select("area_id", "area_name", F.col("official_total").cast("double").alias("official_total"))
 
 
 def cells_with_total(spark: SparkSession, sf: str, scope: Scope) -> DataFrame:
