@@ -11,6 +11,7 @@ optional ``boundary``: a ring, or an array of rings (parts and holes, told apart
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -327,7 +328,7 @@ def knn_access(
     k: int = 5,
     epsilon: float = 1.0,
     base_m: float = CELL_SIZE / 4,
-    levels: int = 4,
+    levels: int | None = None,
     factor: int = 4,
     scope: Scope = AREA,
 ) -> DataFrame:
@@ -336,7 +337,8 @@ def knn_access(
     Exact descent through a pyramid of bins. A candidate bin has a nearest and a farthest possible
     distance to the cell centre; the smallest radius whose fully covered bins already hold k POIs bounds
     the k-th distance, and bins beyond it are dropped before the next finer level is opened. Points at
-    one place are merged with a multiplicity of at most k, so a dense spot stays a few rows.
+    one place are merged with a multiplicity of at most k, so a dense spot stays a few rows. Unless ``levels`` is
+    given, the pyramid is as high as the widest area's points ask for, so that its top has a handful of bins per area.
     """
     keys = list(scope.keys)
     centre = cells.select(*keys, "cell_id", "cx", "cy")
@@ -345,6 +347,10 @@ def knn_access(
         .agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("m"))
         .withColumns({"bx": F.floor(F.col("x") / base_m), "by": F.floor(F.col("y") / base_m)})
     )
+    if levels is None:
+        span = lambda c: F.max(c) - F.min(c)
+        widest = spots.groupBy(*keys).agg(F.greatest(span("x"), span("y")).alias("_e")).agg(F.max("_e")).first()[0]
+        levels = 1 + math.ceil(math.log(max((widest or 0.0) / base_m, 1.0), factor))
     pyramid = [spots.groupBy(*keys, "bx", "by").agg(F.sum("m").alias("m"))]
     for _ in range(levels - 1):
         up = lambda c: F.floor(F.col(c) / factor).alias(c)

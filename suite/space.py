@@ -250,7 +250,7 @@ _KNN = (
 )
 def g10(spark, sf):
     cells = P.centroids(P.make_grid(areas(spark, sf), SIZE))
-    df = P.knn_access(cells, supplier_pois(spark, sf), base_m=1250.0, levels=3)
+    df = P.knn_access(cells, supplier_pois(spark, sf), base_m=1250.0)
     return pick(df, ["area_id", "cell_id"], ["poi_access_index"], 8)
 
 
