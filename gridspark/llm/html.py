@@ -41,6 +41,8 @@ NAMES = frozenset(
     "social share sharing shares related recommended recommendations outbrain taboola comment comments commentlist disqus respond reply replies "
     "widget widgets pager pagination search form skip hidden".split()
 )
+#: A "header" outside an article is the page's, unless its name says that it is an article's.
+OF_ARTICLES = frozenset("article blog content entry post story".split())
 PART = re.compile(r"[^a-z0-9]+")
 #: Points that an element starts with.
 START = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 2.0, "td": 1.0, "blockquote": 1.0}
@@ -108,7 +110,7 @@ class _Tree(HTMLParser):
         around = self.open[-1]
         self.tag.append(tag)
         self.parent.append(around)
-        self.left_out.append(self.left_out[around] or tag in NEVER or (tag == "header" and not self._inside_article()) or (tag not in WHOLE and _named(attrs)))
+        self.left_out.append(self.left_out[around] or tag in NEVER or (tag not in WHOLE and (_named(attrs) or self._is_page_header(tag, attrs))))
         self.open.append(len(self.tag) - 1)
         self.links += tag == "a"
         if tag in BLOCKS:
@@ -117,6 +119,10 @@ class _Tree(HTMLParser):
     def _inside_article(self) -> bool:
         return any(self.tag[n] in ("article", "main") for n in self.open)
 
+    def _is_page_header(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        names = {x for name, value in attrs if name in ("class", "id") and value for x in PART.split(value.lower())}
+        return (tag == "header" or "header" in names) and names.isdisjoint(OF_ARTICLES) and not self._inside_article()
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML knows no self-closing elements but the void ones
 

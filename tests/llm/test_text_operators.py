@@ -35,16 +35,15 @@ def test_best_fit_takes_the_fullest_bin():
 def test_word_ids_equal_the_tokenizer():
     texts = odd_texts("aeiotTK.,,..'s İẞß̈́K<|>1x \n\t\u0085 中", 3000) + ["<|endoftext|>", "THE. The, the.,", "A.B. C,D"]
     encode = WordIds(WORDS)
-    got = [np.frombuffer(x, "<u4").tolist() for x in encode.stream([t.encode() for t in texts])]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encode.together([t.encode() for t in texts])]
     assert got == [e.ids for e in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_word_ids_change_generation(monkeypatch):
     monkeypatch.setattr("gridspark.llm.words.KEPT_WORDS", 3)
-    monkeypatch.setattr("gridspark.llm.words.TOGETHER", 8)
     encode = WordIds(WORDS)
     texts = ["one two, three.", "two four", "one two", "five six seven", "two"]
-    got = [np.frombuffer(x, "<u4").tolist() for x in encode.stream([t.encode() for t in texts])]
+    got = [np.frombuffer(x, "<u4").tolist() for t in texts for x in encode.together([t.encode()])]
     assert got == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -206,6 +205,11 @@ CASES = {
         f"{PARAGRAPH} {PARAGRAPH}",
     ),
     "sibling joins": (f"<div><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><div><p>{PARAGRAPH}</p></div></div>", " ".join([PARAGRAPH] * 3)),
+    "headers": (
+        f"<header><p>{PARAGRAPH}</p></header><div class=page-header><p>{PARAGRAPH}</p></div><div><div class=entry-header><h1>Title</h1></div><p>{PARAGRAPH}</p></div>",
+        f"Title {PARAGRAPH}",
+    ),
+    "header of an article": (f"<article><header><h1>Title</h1></header><p>{PARAGRAPH}</p></article>", f"Title {PARAGRAPH}"),
     "comments": (f"<article><p>{PARAGRAPH}</p><section id=comments><p>{PARAGRAPH}</p></section></article>", PARAGRAPH),
     "entities and space": ("<article><p> a&nbsp;&amp;\n\t b <b>c</b>d<br>e&#233; &lt;p&gt; </p><script>var x='<p>no</p>'</script><style>p{}</style></article>", "a & b cd eé <p>"),
     "unclosed": ("<article><p><b>one<br><p>two<ul><li>three<li>four", "one two three four"),
