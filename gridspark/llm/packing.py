@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import id_and_text, texts
+from gridspark.llm.common import id_and_text, slices, texts
 from gridspark.llm.words import word_ids
 from gridspark.storage import write_table
 
@@ -93,8 +93,8 @@ def _pack_documents(vocabulary: str, capacity: int, slack: int):
             return _as_bins(columns, sizes, best_fit(sizes, capacity), capacity, slack)
 
         rows: list[tuple] = []
-        for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.stream(texts(batch)), strict=True):
+        for batch in (part for whole in batches for part in slices(whole)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.together(texts(batch)), strict=True):
                 ids += end
                 for piece, low in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[low : low + 4 * capacity]
@@ -172,8 +172,8 @@ def piece_ids(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(vocabulary)
-        for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.stream(texts(batch)), strict=True):
+        for batch in (part for whole in batches for part in slices(whole)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.together(texts(batch)), strict=True):
                 own = np.append(np.frombuffer(ids, "<u4"), END_ID).astype(np.int32)
                 parts = [own[low : low + length] for low in range(0, len(own), length)]
                 yield pa.RecordBatch.from_pydict(

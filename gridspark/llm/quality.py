@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import SPACE, id_and_text, texts
+from gridspark.llm.common import SPACE, id_and_text, slices, texts
 from gridspark.storage import write_table
 
 SYMBOLS = b"#*$%&|<>"
@@ -162,7 +162,7 @@ def fit(pattern: np.ndarray, n: np.ndarray, rounds: int = 500, tolerance: float
 
 
 def _table(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    rows = np.array([counts(t) for t in texts(batch)], np.int64).reshape(-1, len(COUNTS))
+    rows = np.array([counts(t) for part in slices(batch) for t in texts(part)], np.int64).reshape(-1, len(COUNTS))
     return {name: rows[:, i] for i, name in enumerate(COUNTS)}
 
 

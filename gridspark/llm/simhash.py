@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.graph import connected_components
-from gridspark.llm.common import id_and_text, packed, runs, texts
+from gridspark.llm.common import id_and_text, packed, runs, slices, texts
 from gridspark.storage import write_table
 
 SHINGLE = 4
@@ -69,7 +69,7 @@ def simhash(text: bytes, size: int = SHINGLE) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = np.array([simhash(t) for t in texts(batch)], np.uint64).view(np.int64)
+        marks = np.array([simhash(t) for part in slices(batch) for t in texts(part)], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.int64())], ["doc_id", "mark"])
 
 

@@ -28,7 +28,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -259,10 +258,13 @@ def _without(text: bytes, cuts, size: int) -> str:
 def cut_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``docs`` with its columns and all its rows; ``text`` loses the repeated words, ``n_chars`` (if there) follows."""
 
-    @F.pandas_udf("string")
-    def without(text: pd.Series, cuts: pd.Series) -> pd.Series:
-        out = [None if c is None else _without(t.encode(), [(x["at"], x["n"]) for x in c], size) for t, c in zip(text, cuts, strict=True)]
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("string")
+    def without(text: pa.Array, cuts: pa.Array) -> pa.Array:
+        out = [
+            _without(t.as_py().encode(), zip(c.values.field("at").to_pylist(), c.values.field("n").to_pylist(), strict=True), size) if c.is_valid else None
+            for t, c in zip(text, cuts, strict=True)
+        ]
+        return pa.array(out, pa.string())
 
     base = packed(docs, doc_id=F.col("doc_id").cast("long"), tag=F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rows = _join_cuts(base, repeated_windows(docs, size)).select("_row", "cuts")

@@ -10,14 +10,24 @@ from functools import lru_cache
 
 #: Words whose ids a worker keeps (two generations of that many), and bytes up to which a word is worth keeping:
 #: memory is bounded by their product.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 KEPT_BYTES = 40
-#: Bytes of text whose words are looked up together.
-TOGETHER = 1 << 20
 #: Marks that end a word; behind a letter they are a token of their own to the splitter.
 STOPS = b".,"
 
 
+#: Below this, letters are whole (nothing to compose) and have one small form each, but for the one with a dot above.
+LATIN_END = "\u0250"
+NO_SMALL = "\u0130"
+#: Byte-level vocabularies show a byte as itself if it is a printable Latin-1 character, and the others from U+0100 on.
+_SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or (b >= 0xA1 and b != 0xAD)]
+PRINTABLE = {b: chr(0x100 + n) for n, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
+
+def _small_latin(text: str) -> bool:
+    return text.isalpha() and max(text) < LATIN_END and text == text.lower() and NO_SMALL not in text
+
+
 def _bytes(ids: list[int]) -> bytes:
     numbers = array("I", ids)
     if sys.byteorder == "big":
@@ -31,7 +41,7 @@ class WordIds:
     Texts are cut at 0x20 and 0x09-0x0D, which are white space to the tokenizer as well: it parts words there, drops
     the space, and neither composes nor merges across it. So a text's ids are its words' ids in a row, and a word is
     encoded once per worker for as long as it is in use: a word that was met since the last change of generation
-    stays. ASCII words are looked up in small letters, and full stops and commas behind a letter apart, since the
+    stays. Latin words are looked up in small letters, and full stops and commas behind a letter apart, since the
     normaliser and the splitter do the same.
     """
 
@@ -44,11 +54,11 @@ class WordIds:
         self.old: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        """ASCII words of small letters alone are what normaliser and splitter would hand to the model, so they go there."""
+        """Words of small Latin letters alone go to the model as normaliser and splitter would hand them over."""
         merge, out = self.tokenizer.model.tokenize, {}
         for w in words:
-            if w.isalpha() and w.islower():
-                out[w] = _bytes([t.id for t in merge(w.decode())])
+            if _small_latin(w.decode()):
+                out[w] = _bytes([t.id for t in merge(w.decode("latin-1").translate(PRINTABLE))])
         rest = [w for w in words if w not in out]
         for low in range(0, len(rest), 4096):
             part = rest[low : low + 4096]
@@ -67,29 +77,28 @@ class WordIds:
         missing = self._known(words)
         parted: dict[bytes, tuple[bytes, bytes]] = {}
         for w in missing:
-            stem = w.rstrip(STOPS).lower()
-            if stem != w and w.isascii() and stem[-1:].isalpha() and b"<" not in stem:
-                parted[w] = (stem, w[len(stem) :])
+            end = w.rstrip(STOPS)
+            text = end.decode()
+            if text[-1:].isalpha() and max(text) < LATIN_END and "<" not in text and NO_SMALL not in text:
+                stem = text.lower().encode()
+                if stem != w:
+                    parted[w] = (stem, w[len(end) :])
         new = list(self._known({x for both in parted.values() for x in both if x}) | (missing - parted.keys()))
         self.young.update(zip(new, self._encode(new), strict=True))
         young = self.young
         young.update((w, young[stem] + (young[tail] if tail else b"")) for w, (stem, tail) in parted.items())
 
-    def _together(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
+    def together(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of some texts, whose words are looked up at once (about a megabyte: see ``common.slices``)."""
         if len(self.young) > KEPT_WORDS:
             self.young, self.old = {}, {w: ids for w, ids in self.young.items() if len(w) <= KEPT_BYTES}
-        self._learn(set().union(*split))
-        for words in split:
-            yield b"".join(map(self.young.__getitem__, words))
-
-    def stream(self, texts: list[bytes]) -> Iterator[bytes]:
-        low, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= TOGETHER or i == len(texts) - 1:
-                yield from self._together(texts[low : i + 1])
-                low, size = i + 1, 0
+        split = [t.split() for t in texts]
+        found = [list(map(self.young.get, words)) for words in split]
+        gaps = [(words, ids) for words, ids in zip(split, found, strict=True) if None in ids]
+        self._learn({w for words, ids in gaps for w, x in zip(words, ids, strict=True) if x is None})
+        young = self.young
+        for words, ids in zip(split, found, strict=True):
+            yield b"".join([young[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids)
 
 
 @lru_cache(maxsize=2)
