@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import id_and_text
+from gridspark.storage import write_table
 
 RUN = 1024
 
@@ -48,6 +49,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     every document is cut at that length; ``docs_to_share`` is the share of documents up to that length.
     """
     hist = lengths.groupBy("length").agg(F.sum("n").alias("n_docs")).withColumn("_run", F.floor(F.col("length") / RUN))
+    hist = write_table(hist, "lengths")  # read twice below, while the texts are to be encoded once
     sums = [F.sum("n_docs").alias("_d"), F.sum(F.col("n_docs") * F.col("length")).alias("_t")]
     later = Window.orderBy(F.col("_run").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per run of lengths
     total = Window.orderBy(F.col("_run").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
