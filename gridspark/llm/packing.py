@@ -33,6 +33,7 @@ FAN = 8
 NODE = 50_000
 FLUSH = 1_000_000  # pieces that a task holds before it packs them
 END_ID = 1
+TOGETHER = 1 << 22  # bytes of text whose words are looked up together
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 BIN = f"open boolean, fill int, members array<struct<{PIECE.replace(' ', ':')},offset:bigint>>".replace(",:", ",")
@@ -93,7 +94,7 @@ def _pack_documents(vocabulary: str, capacity: int, slack: int):
             return _as_bins(columns, sizes, best_fit(sizes, capacity), capacity, slack)
 
         rows: list[tuple] = []
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, TOGETHER)):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.together(texts(batch)), strict=True):
                 ids += end
                 for piece, low in enumerate(range(0, len(ids), 4 * capacity)):
@@ -172,7 +173,7 @@ def piece_ids(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(vocabulary)
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, TOGETHER)):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.together(texts(batch)), strict=True):
                 own = np.append(np.frombuffer(ids, "<u4"), END_ID).astype(np.int32)
                 parts = [own[low : low + length] for low in range(0, len(own), length)]

@@ -10,7 +10,7 @@ from functools import lru_cache
 
 #: Words whose ids a worker keeps (two generations of that many), and bytes up to which a word is worth keeping:
 #: memory is bounded by their product.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 350_000
 KEPT_BYTES = 40
 #: Marks that end a word; behind a letter they are a token of their own to the splitter.
 STOPS = b".,"
@@ -89,16 +89,15 @@ class WordIds:
         young.update((w, young[stem] + (young[tail] if tail else b"")) for w, (stem, tail) in parted.items())
 
     def together(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of some texts, whose words are looked up at once (about a megabyte: see ``common.slices``)."""
+        """Ids of some texts, whose words are looked up at once (a few megabytes: see ``common.slices``)."""
         if len(self.young) > KEPT_WORDS:
             self.young, self.old = {}, {w: ids for w, ids in self.young.items() if len(w) <= KEPT_BYTES}
         split = [t.split() for t in texts]
-        found = [list(map(self.young.get, words)) for words in split]
-        gaps = [(words, ids) for words, ids in zip(split, found, strict=True) if None in ids]
-        self._learn({w for words, ids in gaps for w, x in zip(words, ids, strict=True) if x is None})
-        young = self.young
-        for words, ids in zip(split, found, strict=True):
-            yield b"".join([young[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids)
+        different = set().union(*split)
+        self._learn(different)
+        own = {w: self.young[w] for w in different}  # a small table: most of it stays in the processor's cache
+        for words in split:
+            yield b"".join(map(own.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
