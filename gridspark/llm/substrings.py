@@ -129,13 +129,14 @@ class _Level:
             own = (d[begin].astype(np.uint64) * FACTORS[0, 0]) ^ (p[begin].astype(np.uint64) * FACTORS[1, 0])  # settled rows need no company
             parts.append((own, own, d[begin], t[begin], p[begin], np.diff(np.r_[begin, len(p)]), np.ones(len(begin), bool)))
         a, b, doc, tag, at, n, sure = (np.concatenate(x) for x in zip(*parts, strict=True))
-        columns = {"a": a.view(np.int64), "doc": doc, "at": at.astype(np.int32), "n": n.astype(np.int32), "sure": sure}
+        span = n.astype(np.int64) << 32 | at.astype(np.int64)  # position, length of the run and the flag (as the sign) in one number
+        columns = {"a": a.view(np.int64), "doc": doc, "span": np.where(sure, ~span, span)}
         if self.last:
             columns |= {"b": b.view(np.int64), "tag": tag}
         return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
     def schema(self) -> str:
-        return "a long, doc long, at int, n int, sure boolean" + (", b long, tag long" if self.last else "")
+        return "a long, doc long, span long" + (", b long, tag long" if self.last else "")
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -168,6 +169,12 @@ class _Level:
             yield rows.slice(low, 100_000)
 
 
+def _open_span(df: DataFrame) -> DataFrame:
+    """``at``, ``n`` and ``sure`` from their common column."""
+    span = F.when(F.col("span") < 0, F.bitwise_not("span")).otherwise(F.col("span"))
+    return df.withColumns({"sure": F.col("span") < 0, "at": span.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), "n": F.shiftright(span, 32).cast("int")}).drop("span")
+
+
 def _tagged(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` and a hash of the text, which tells rows apart that share an identifier."""
     return id_and_text(docs).withColumn("tag", F.xxhash64("text"))
@@ -190,10 +197,10 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
         equal = Window.partitionBy("a", "b") if level.last else Window.partitionBy("a")
         smallest = sent.withColumn("_min", F.min("doc").over(equal))
         if level.last:
-            hit = smallest.where(F.col("sure") | (F.col("doc") > F.col("_min"))).select("doc", "tag", "at", "n")
+            hit = _open_span(smallest).where(F.col("sure") | (F.col("doc") > F.col("_min"))).select("doc", "tag", "at", "n")
         else:
             smallest = smallest.withColumn("_max", F.max("doc").over(equal))
-            hit = smallest.where(F.col("sure") | (F.col("_max") > F.col("_min"))).select("doc", "at", "n")
+            hit = _open_span(smallest).where(F.col("sure") | (F.col("_max") > F.col("_min"))).select("doc", "at", "n")
         repeats = write_table(hit, "windows")
         before = length
     return repeats.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
