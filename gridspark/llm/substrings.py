@@ -13,7 +13,9 @@ the window itself.
 
 Hot passages: a task first compares its own windows. Of equal windows it sends on only those of its smallest
 document; what is already settled (a copy of something in a smaller document of the same task) goes along under a
-key of its own. So however many documents share a passage, a key gets at most a document per task. The last level
+key of its own. So however many documents share a passage, a key gets at most a document per task. Lower levels know
+a row by a hash of its identifier and text (in place of the document), so rows that share an identifier, or have none,
+each take up their own positions only. The last level
 compares 128 bits (two independent 64-bit sums over independent word hashes); the lower ones 64, as a chance hit
 there only means a needless extension.
 
@@ -142,7 +144,7 @@ class _Level:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
+            ids = (batch.column("doc_id").fill_null(NO_ID) if self.last else batch.column("row")).to_numpy()
             tags = batch.column("tag").to_numpy()
             found = batch.column("found") if self.before is not None else None
             text = texts(batch)
@@ -176,8 +178,8 @@ def _open_span(df: DataFrame) -> DataFrame:
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and a hash of the text, which tells rows apart that share an identifier."""
-    return id_and_text(docs).withColumn("tag", F.xxhash64("text"))
+    """``doc_id``, ``text``, a hash of the text, which tells rows apart that share an identifier, and a hash of both."""
+    return id_and_text(docs).withColumn("tag", F.xxhash64("text")).withColumn("row", F.xxhash64("doc_id", "tag"))
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -189,8 +191,9 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     for length in lengths(size):
         level = _Level(size, length, before)
         if before is not None:
-            found = repeats.groupBy("doc").agg(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1))).alias("found"))  # noqa: F821
-            source = rows.join(found, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc")).select("doc_id", "tag", "text", "found")
+            each = F.transform(F.collect_set(F.struct("at", "n")), lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))
+            found = repeats.groupBy("doc").agg(F.flatten(each).alias("found"))  # noqa: F821
+            source = rows.join(found, F.col("row") == F.col("doc")).select("doc_id", "tag", "row", "text", "found")
         else:
             source = rows
         sent = source.mapInArrow(level, level.schema())
