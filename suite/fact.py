@@ -293,7 +293,7 @@ def x10(spark, sf):
 def query_view(spark, sf):
     b = V.table(spark, sf, "benchmark")
     return b.select(
-        F.col("item_id").alias("query_id"), F.substring_index(F.col("text"), ".", 1).alias("query"), F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("NATION_"), F.col("item_id") % 25)).alias("area")
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("NATION_"), F.col("item_id") % 25)).alias("area")
     )
 
 
