@@ -4,13 +4,16 @@ A page is read into a tree of elements whose text lies in blocks (paragraphs, he
 passes points to the elements around it: more for its length and its commas, in full to the nearest element, less
 with each step up. An element's points are discounted by its link density, the share of its text inside links.
 Elements that never hold the article (navigation, footers, asides, forms, scripts, and what class, id or role name as
-an advert, a notice, comments and so on) take no part and are left out of the text. The element with the most points
+an advert, a notice, comments and so on) take no part and are left out of the text. A form, a page header or an element
+left out for its name alone takes part all the same if it holds most of the points of the page's blocks (nine tenths if
+named as replies) and no ``article`` or ``main`` outside it holds any: it then wraps the page. The element with the most points
 is the container; it grows to an ``article`` or ``main`` around it, and siblings join it if they have enough points
 of their own or are text with few links.
 
 Defined results: a null or empty page, or one without text outside what is left out, gives the empty text. Blocks are
 trimmed, white space inside is one space, and they are joined by one space. Unclosed and misnested tags are closed
-where a browser would do so for paragraphs, list items and table cells, and at the end of the page for others.
+where a browser would do so for paragraphs, list items, table cells and the head (at the body, or at the first element or
+text that cannot be in a head), and at the end of the page for others.
 Repeated rows give repeated rows; an empty table gives no rows; other columns are not read.
 """
 
@@ -32,6 +35,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NEVER = frozenset(
     "head nav footer aside form script style noscript template iframe object embed svg math canvas audio video button select option textarea input dialog menu".split()
 )
+#: What may stand in a head; anything else closes it.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 WHOLE = frozenset("html body article main".split())
 #: Names in class, id and role that mark what is not the article.
 NAMES = frozenset(
@@ -41,6 +46,8 @@ NAMES = frozenset(
     "social share sharing shares related recommended recommendations outbrain taboola comment comments commentlist disqus respond reply replies "
     "widget widgets pager pagination search form skip hidden".split()
 )
+#: Of these, names of what may well be longer than the article.
+REPLIES = frozenset("comment comments commentlist disqus respond reply replies related recommended recommendations".split())
 #: A "header" outside an article is the page's, unless its name says that it is an article's.
 OF_ARTICLES = frozenset("article blog content entry post story".split())
 PART = re.compile(r"[^a-z0-9]+")
@@ -66,6 +73,7 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.left_out = ["#"], [-1], [False]
+        self.doubtful = [0.0]  # left out unless it holds more than this share of the page's points
         self.open = [0]
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters inside links
         self.text: list[str] = []
@@ -96,7 +104,17 @@ class _Tree(HTMLParser):
             if tag in scope:
                 return
 
+    def _close_head(self, whatever_is_open: bool) -> None:
+        for depth in [len(self.open) - 1] if not whatever_is_open else range(1, len(self.open)):
+            if self.tag[self.open[depth]] == "head":
+                self._end_block()
+                self._close_to(depth)
+                self.owner = self.open[-1]
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._close_head(tag == "body")
         if tag == "br":
             self.text.append(" ")
             return
@@ -110,7 +128,9 @@ class _Tree(HTMLParser):
         around = self.open[-1]
         self.tag.append(tag)
         self.parent.append(around)
-        self.left_out.append(self.left_out[around] or tag in NEVER or (tag not in WHOLE and (_named(attrs) or self._is_page_header(tag, attrs))))
+        self.left_out.append(self.left_out[around] or (tag in NEVER and tag != "form"))
+        doubtful = tag == "form" or (tag not in WHOLE and (_named(attrs) or self._is_page_header(tag, attrs)))
+        self.doubtful.append((0.9 if _named(attrs, REPLIES) else 0.5) if doubtful else 0.0)
         self.open.append(len(self.tag) - 1)
         self.links += tag == "a"
         if tag in BLOCKS:
@@ -137,6 +157,8 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._close_head(False)
         if self.left_out[self.open[-1]]:
             return
         self.text.append(data)
@@ -148,9 +170,9 @@ class _Tree(HTMLParser):
         self._end_block()
 
 
-def _named(attrs: list[tuple[str, str | None]]) -> bool:
+def _named(attrs: list[tuple[str, str | None]], names: frozenset[str] = NAMES) -> bool:
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and not NAMES.isdisjoint(PART.split(value.lower())):
+        if name in ("class", "id", "role") and value and not names.isdisjoint(PART.split(value.lower())):
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -162,10 +184,34 @@ def points(text: str) -> float:
     return 0.1 + text.count(",") + min(len(text) / 100, 3.0) + (1.0 if len(text) >= 25 else 0.0)
 
 
+def _leave_out(tree: _Tree) -> None:
+    """Blocks of doubtful elements go, unless the element wraps the page."""
+    if not any(tree.doubtful):
+        return
+    tag, parent, n = tree.tag, tree.parent, len(tree.tag)
+    inside, in_article = [0.0] * n, [False] * n  # points of the blocks inside; whether it lies in an article
+    clean, articles = [True] * n, [0.0] * n  # whether nothing around it is doubtful; points in such articles inside
+    for node in range(1, n):
+        in_article[node] = in_article[parent[node]] or tag[node] in ("article", "main")
+        clean[node] = clean[parent[node]] and not tree.doubtful[node]
+    for owner, text, links in tree.blocks:
+        given = points(text) * (1.0 - links / len(text))
+        inside[owner] += given
+        articles[owner] += given * (in_article[owner] and clean[owner])
+    for node in range(n - 1, 0, -1):
+        inside[parent[node]] += inside[node]
+        articles[parent[node]] += articles[node]
+    for node in range(1, n):
+        wraps = inside[node] > tree.doubtful[node] * inside[0] and not articles[0]
+        tree.left_out[node] = tree.left_out[node] or tree.left_out[parent[node]] or (tree.doubtful[node] and not wraps)
+    tree.blocks = [x for x in tree.blocks if not tree.left_out[x[0]]]
+
+
 def article_text(page: str) -> str:
     tree = _Tree()
     tree.feed(page)
     tree.close()
+    _leave_out(tree)
     tag, parent, blocks = tree.tag, tree.parent, tree.blocks
     if not blocks:
         return ""
