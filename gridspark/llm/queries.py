@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.llm import statements
 from gridspark.llm.common import read
 from gridspark.llm.exact_dedup import exact_dedup
 from gridspark.llm.html import extract_pages
 from gridspark.llm.licenses import LEAST, SIGNAL, TEMPLATES, scan
 from gridspark.llm.packing import pack_documents
+from gridspark.llm.prefix_trie import BLOCK, HEADS, prefix_trie
+from gridspark.llm.pu_quality import quality_scores
 from gridspark.llm.quality import quality
+from gridspark.llm.resampling import BUCKETS, LEAST_WORDS, PERCENT, SEED, resample
 from gridspark.llm.sentencepieces import encode_and_decode
 from gridspark.llm.simhash import near_dedup
 from gridspark.llm.substrings import substring_dedup
@@ -170,3 +174,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_extraction")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages"))
+
+
+@query("op11_importance_resampling", statements.resampling(BUCKETS, LEAST_WORDS, PERCENT, SEED))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_prefix_trie", statements.prefix_trie(BLOCK, HEADS))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+@query("op13_quality_classifier")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
