@@ -3,29 +3,64 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-def _single_char_table(form: str, ascii_only: bool) -> tuple[str, str]:
-    """Translate table for every letter whose normal form is one other character (built by rule)."""
-    source, target = [], []
-    for code in range(0xA0, 0xFFFE):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
-        char = chr(code)
+def _assigned() -> Iterator[str]:
+    return (c for c in map(chr, range(0xA0, 0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs"))
+
+
+def _tables(form: str, ascii_only: bool) -> tuple[tuple[str, str], dict[str, str]]:
+    """Normal forms of characters, by rule: a translate table for forms of one character, a map for the longer ones."""
+    source, target, longer = [], [], {}
+    for char in _assigned():
         folded = unicodedata.normalize(form, char)
         if ascii_only:
             folded = folded.encode("ascii", "ignore").decode("ascii")
-        if len(folded) == 1 and folded != char:
+        if len(folded) > 1:
+            longer[char] = folded
+        elif folded and folded != char:
             source.append(char)
             target.append(folded)
-    return "".join(source), "".join(target)
+    return ("".join(source), "".join(target)), longer
+
+
+def _canonical() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Canonical decompositions of letters, the classes of combining marks, and the pairs that compose to one character."""
+    apart, classes, pairs = {}, {}, {}
+    for char in _assigned():
+        if unicodedata.combining(char):
+            classes[char] = f"{unicodedata.combining(char):03d}"
+        whole = unicodedata.normalize("NFD", char)
+        if len(whole) > 1 and all(map(unicodedata.combining, whole[1:])):
+            apart[char] = whole
+            two = unicodedata.normalize("NFC", whole[:-1]) + whole[-1]
+            if len(two) == 2 and unicodedata.normalize("NFC", two) == char:
+                pairs[two] = char
+    return apart, classes, pairs
+
 
+def _class(chars: Iterable[str]) -> str:
+    """A regular expression for one of the characters, written as ranges."""
+    codes = sorted(map(ord, chars))
+    starts = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if c != after - 1]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
 
-_ASCII_FOLD = _single_char_table("NFKD", True)
-_COMPAT_FOLD = _single_char_table("NFKC", False)
+
+def _map(table: Mapping[str, str]) -> Column:
+    """A constant map, written as one text so that plans stay small."""
+    return F.str_to_map(F.lit("\x1d".join(f"{k}\x1c{v}" for k, v in table.items())), F.lit("\x1d"), F.lit("\x1c"))
+
+
+_ASCII_FOLD, _ASCII_LONGER = _tables("NFKD", True)
+_COMPAT_FOLD, _COMPAT_LONGER = _tables("NFKC", False)
+_APART, _MARKS, _PAIRS = _canonical()
+_MARK = _class(_MARKS)
+#: Characters that may change are looked for outside these blocks of letters that never do (a test that most texts pass).
+_MAY_FOLD = r"[^\x00-\x9F\xBF-\u0131\u0388-\u03CF\u03FA-\u0482\u0488-\u0586\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3\u2010\u2012-\u2016\u2018-\u2023]"
 
 TRUE_WORDS = ("1", "true", "yes")
 FALSE_WORDS = ("0", "false", "no")
@@ -35,9 +70,45 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def _chars(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit("(?s)."), 0)
+
+
+def _expand(c: Column, longer: Mapping[str, str]) -> Column:
+    """Characters whose form is longer, replaced one by one; texts without any pass."""
+    each = F.array_join(F.transform(_chars(c), lambda x: F.coalesce(F.try_element_at(_map(longer), x), x)), "")
+    return F.when(c.rlike(_class(longer)), each).otherwise(c)
+
+
+def _compose(letter: Column) -> Column:
+    """A letter with combining marks: marks in canonical order, each joined to the letter unless a mark before it blocks it."""
+    found = _chars(letter)
+    apart = F.concat(_chars(F.coalesce(F.try_element_at(_map(_APART), found[0]), found[0])), F.slice(found, 2, F.size(found)))
+    ranked = F.transform(apart, lambda x, i: F.struct(F.coalesce(F.try_element_at(_map(_MARKS), x), F.lit("000")).alias("rank"), i.alias("i"), x.alias("x")))
+    start = F.struct(F.lit("").alias("letter"), F.lit("").alias("marks"), F.lit("").alias("rank"))
+
+    def join(state: Column, mark: Column) -> Column:
+        both = F.try_element_at(_map(_PAIRS), F.concat(state["letter"], mark["x"]))
+        first = (state["letter"] == "") & (state["marks"] == "") & (mark["rank"] == "000")
+        joined = both.isNotNull() & (state["rank"] < mark["rank"])
+        return F.struct(
+            F.when(first, mark["x"]).when(joined, both).otherwise(state["letter"]).alias("letter"),
+            F.when(first | joined, state["marks"]).otherwise(F.concat(state["marks"], mark["x"])).alias("marks"),
+            F.when(first | joined, state["rank"]).otherwise(mark["rank"]).alias("rank"),
+        )
+
+    return F.aggregate(F.array_sort(ranked), start, join, lambda s: F.concat(s["letter"], s["marks"]))
+
+
 def fold_compat(c: Column) -> Column:
-    """Compatibility folding (NFKC) of single characters; combining sequences are left as they are."""
-    return F.translate(c, *_COMPAT_FOLD)
+    """Compatibility folding (NFKC): forms of one or more characters, then letters and their combining marks composed.
+
+    Two letters that compose with each other (single Hangul jamo, parted Indic vowels) are left as they are.
+    """
+    wide = _expand(F.translate(c, *_COMPAT_FOLD), _COMPAT_LONGER)
+    letters = F.regexp_extract_all(wide, F.lit(f"(?s).{_MARK}*"), 0)
+    composed = F.array_join(F.transform(letters, lambda x: F.when(F.length(x) > 1, _compose(x)).otherwise(x)), "")
+    return F.when(c.rlike(_MAY_FOLD), F.when(wide.rlike(_MARK), composed).otherwise(wide)).otherwise(c)
 
 
 def norm_name(c: Column) -> Column:
@@ -45,8 +116,8 @@ def norm_name(c: Column) -> Column:
     t = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
     t = F.regexp_replace(t, r"^[0-9]+[_\-\s]+", "")
     t = F.translate(t, "_-", "  ")
-    t = F.translate(t, *_ASCII_FOLD)
-    t = F.regexp_replace(t, r"[^\x00-\x7F]", "")
+    plain = F.regexp_replace(_expand(F.translate(t, *_ASCII_FOLD), _ASCII_LONGER), r"[^\x00-\x7F]", "")
+    t = F.when(t.rlike(r"[^\x00-\x7F]"), plain).otherwise(t)
     return squeeze(F.regexp_replace(t, r"[^a-z0-9\s]", " "))
 
 
@@ -109,12 +180,13 @@ def norm_boundary(c: Column, words: Sequence[str] = BOUNDARY_WORDS) -> Column:
     t = F.translate(t, "".join(BOUNDARY_FOLD), "".join(BOUNDARY_FOLD.values()))
     for word in words:
         t = F.replace(t, F.lit(word), F.lit(""))
-    return squeeze(F.regexp_replace(t, r"(?U)[^\w\s]", " "))
+    return squeeze(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}_\s]", " "))
 
 
 def norm_question(c: Column) -> Column:
     t = F.lower(fold_compat(F.coalesce(c, F.lit(""))))
-    return squeeze(F.regexp_replace(t, r"(?U)[^\w\-/]+", " "))
+    # the look-ahead spares plain letters and digits the slow test of the wide class
+    return F.trim(F.regexp_replace(t, r"(?:(?![a-z0-9_])[^\p{L}\p{N}_\-/])+", " "))
 
 
 def to_bool(c: Column, extra: Sequence[str] = ()) -> Column:

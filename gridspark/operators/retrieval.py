@@ -1,14 +1,15 @@
 """Answer store, similarity lookup, lexical retrieval and snippets.
 
 Similarity uses the longest-matching-block ratio of ``difflib``. It has no SQL form, so pairs are scored
-in Arrow batches, but Spark decides which pairs meet: both sides are cut into blocks of bounded size and
-every (block, block) cell is its own small group. Inside a cell, exact upper bounds (length, character
-counts) drop pairs before they are scored, and only the best per request leaves the task.
+in Arrow batches, but Spark decides which pairs meet. Stored answers: both sides are cut into blocks of bounded size
+and every (block, block) cell is its own small group; exact upper bounds (length, character counts) drop pairs before they
+are scored. Retrieval: token postings and lower bounds leave few pairs. Only the best per request leaves a task.
 """
 
 from __future__ import annotations
 
 import difflib
+import heapq
 import math
 from collections.abc import Iterator, Sequence
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.scalars import norm_question
 from gridspark.operators.textaudit import STORE_VERSION, check_responses
-from gridspark.scope import Scope, materialize, top_k
+from gridspark.scope import Scope, materialize, spread, top_k
 
 SIMILARITY = 0.86
 BLOCK_ROWS = 4_000
@@ -227,86 +228,180 @@ def build_corpus(facts: DataFrame | None, docs: DataFrame | None, max_chars: int
     return corpus.withColumn("text", F.substring(clean, 1, max_chars) if max_chars else clean)
 
 
-def _score_cell(queries: pd.DataFrame, corpus: pd.DataFrame, k: int) -> Iterator[tuple]:
-    """Exact top k of one query block over one corpus block, by upper bounds first."""
-    tokens: dict[str, list[int]] = {}
-    wanted = []
-    for i, q in enumerate(queries["query_norm"]):
-        terms = set(q.split())
-        wanted.append(max(1, len(terms)))
-        for t in terms:
-            tokens.setdefault(t, []).append(i)
-    texts = corpus["searchable"].to_numpy()
-    overlap = np.zeros((len(queries), len(corpus)), dtype=np.int32)
-    for d, text in enumerate(texts):
-        for t in set(text.split()):
-            for i in tokens.get(t, ()):
-                overlap[i, d] += 1
-    ids = corpus["entry_id"].to_numpy()
-    areas = corpus["area_norm"].fillna("").to_numpy()
-    heads: dict[int, np.ndarray] = {}
-    for i, (qid, q, area) in enumerate(zip(queries["query_id"], queries["query_norm"], queries["area_norm"].fillna(""))):
-        limit = max(200, len(q) * 4)
-        if limit not in heads:
-            heads[limit] = _char_counts(pd.Series([t[:limit] for t in texts]))
-        mine = _char_counts(pd.Series([q]))[0]
-        lengths = heads[limit].sum(axis=1)
-        ratio_cap = 2.0 * np.minimum(heads[limit], mine).sum(axis=1) / np.maximum(lengths + len(q), 1) if q else np.zeros(len(texts))
-        share = overlap[i] / wanted[i]
-        allowed = np.array([not area or not a or a == area for a in areas]) & np.array([bool(t) for t in texts])
-        exact = np.array([bool(q) and ok and share[d] >= 0 and q in texts[d] for d, ok in enumerate(allowed)], dtype=bool)
-        cap = np.where(exact, 1.0, np.minimum(0.99, 0.75 * share + 0.25 * ratio_cap))
-        cap[~allowed] = -1.0
-        best: list[tuple[float, bool, str]] = []
-        for d in np.argsort(-cap, kind="stable"):
-            if cap[d] <= 0 or (len(best) >= k and cap[d] < best[-1][0]):
-                break
-            if exact[d]:
-                score = 1.0
-            else:
-                ratio = difflib.SequenceMatcher(None, q, texts[d][:limit]).ratio() if q else 0.0
-                score = min(0.99, 0.75 * share[d] + 0.25 * ratio)
-            if score > 0:
-                best.append((score, bool(exact[d]), ids[d]))
-                best.sort(key=lambda b: (-b[0], not b[1], b[2]))
-                del best[k:]
-        for score, is_exact, entry in best:
-            yield qid, entry, score, is_exact
-
-
-def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 5, query_rows: int = 500, corpus_rows: int = 2_000) -> DataFrame:
+SEQUENCE = 0.25
+PROBES = 6  # rarest terms of a query whose entries give the first lower bound
+FEW_TERMS = 200_000  # terms of all queries up to which they are sent to every task
+SPLITS = 16  # parts that a query's pairs are scored in
+
+
+def _band(size: Column) -> Column:
+    return F.floor(F.log2(size)).cast("int")
+
+
+def _once(c: Column) -> Column:
+    """The same value, computed once a row: what reads it is not given a copy of the expression."""
+    return F.explode(F.array(c))
+
+
+def _ratio_cap(a: Column, low: Column, high: Column) -> Column:
+    """Most that the ratio of a text of ``a`` characters to one of ``low`` to ``high`` characters can be."""
+    most = lambda n: 2.0 * F.least(a, n) / (a + n)
+    return F.when(low > a, most(low)).when(high < a, most(high)).otherwise(1.0)
+
+
+def _pair_scores(k: int, sequence: float):
+    """Rows sorted by query: scores that can be among the query's ``k`` best, best character bound first. Keeps k scores a query."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, best = None, []
+        for rows in batches:
+            out = []
+            for qid, own in rows.groupby("query_id", sort=False):
+                if qid != now:
+                    now, best = qid, []
+                q, floor = own.query_norm.iloc[0], own.floor.iloc[0]
+                value = (1.0 - sequence) * own.share.to_numpy()
+                size = own["head"].str.len().to_numpy()
+                ratio = 2.0 * np.minimum(_char_counts(own["head"]), _char_counts(own.query_norm.iloc[:1])).sum(axis=1) / (size + len(q))
+                cap = np.where(own.is_exact, 1.0, np.minimum(0.99, value + sequence * ratio))
+                for i in np.argsort(-cap, kind="stable"):
+                    least = (max(floor, best[0]) if len(best) == k else floor) - 1e-9
+                    if cap[i] < least:
+                        break
+                    exact = bool(own.is_exact.iloc[i])
+                    found = 1.0 if exact else min(0.99, value[i] + sequence * difflib.SequenceMatcher(None, q, own["head"].iloc[i]).ratio())
+                    if found > 0 and found >= least:
+                        out.append((qid, own.entry_id.iloc[i], found, exact))
+                        heapq.heappush(best, found)
+                        if len(best) > k:
+                            heapq.heappop(best)
+            yield pd.DataFrame(out, columns=["query_id", "entry_id", "score", "is_exact"])
+
+    return score
+
+
+def _gram_pairs(short: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(query_id, entry_id)`` of queries of one or two words that may stand inside an entry though its tokens differ.
+
+    The longer word is part of a token (alone), its end (first of two) or its start (second of two). Tokens of the
+    corpus' vocabulary are found by the word's rarest gram of up to three letters, entries by those tokens.
+    """
+    words = F.split("query_norm", " ")
+    one = F.size(words) == 1
+    first = F.length(words[0]) >= F.length(F.coalesce(F.get(words, F.lit(1)), F.lit("")))
+    slot = short.select("query_id", F.when(one | first, words[0]).otherwise(F.get(words, F.lit(1))).alias("word"), F.when(one, "any").when(first, "end").otherwise("start").alias("place"))
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)))
+    size = F.least(F.length("word"), F.lit(3))
+    asked = slot.select("*", F.explode(grams(F.col("word"), size)).alias("gram"))
+    vocabulary = entries.select(F.explode("tokens").alias("token")).distinct()
+    every = F.concat(*[F.when(F.length("token") >= n, grams(F.col("token"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])
+    known = materialize(vocabulary.select("token", F.explode(every).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi"))
+    often = known.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = asked.join(often, "gram").groupBy("query_id", "word", "place").agg(F.min_by("gram", F.struct("_n", "gram")).alias("gram"))
+    fits = F.when(F.col("place") == "any", F.col("token").contains(F.col("word"))).when(F.col("place") == "end", F.col("token").endswith(F.col("word"))).otherwise(F.col("token").startswith(F.col("word")))
+    tokens = rarest.join(known, "gram").where(fits).select("query_id", "token")
+    return entries.select("entry_id", F.explode("tokens").alias("token")).join(tokens, "token").select("query_id", "entry_id").distinct()
+
+
+def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 5, sequence: float = SEQUENCE) -> DataFrame:
     """X11. Top k (1 to 10) corpus entries per query.
 
     Score: 1 for an exact substring, else ``min(.99, .75 * token overlap + .25 * sequence ratio)``; the
     ratio sees the first ``max(200, 4 * query length)`` characters, the overlap and the substring test see
-    the whole text. Entries of another area are skipped. Every entry may score above zero, so the search
-    is exact by bounds: query blocks meet corpus blocks, each cell keeps its k best, the cells are merged.
-    ``queries`` has ``query_id, query, area``.
+    the whole text. Entries of another area are skipped. ``queries`` has ``query_id, query, area``; ``sequence`` is the
+    ratio's weight (0: overlap alone, without Python).
+
+    Exact, by postings and bounds:
+
+    * Entries are cut into bands of length. Band and query length bound the ratio.
+    * Entries under a query's ``PROBES`` rarest terms give the first lower bound of the k-th best score, by overlap alone.
+    * From the bound follows how many terms an entry of a band must share. Postings lie with their entries, so up to
+      ``FEW_TERMS`` (measured) terms of queries go to every task and pairs are counted before the shuffle; beyond, terms
+      and postings are joined by a shuffle that adaptive execution splits at frequent terms. Pairs under the count go.
+    * Of the pairs left, each query's best overlaps are compared in full; their k-th best is the second lower bound.
+    * Inner words of an exact substring are tokens, so these entries come through the same join; queries of one or two
+      words come through grams of the vocabulary (``_gram_pairs``).
+    * Where a bound leaves no term to ask for (fewer than k entries share a token), that query meets the entries of that band.
+
+    Only pairs that can still be among the k best meet their texts and are compared in Python.
     """
     k = max(1, min(int(k), 10))
-    q = queries.select(F.col("query_id").cast("string").alias("query_id"), norm_question(F.col("query")).alias("query_norm"), norm_question(F.col("area")).alias("area_norm"))
-    c = corpus.select(
-        F.col("entry_id").cast("string").alias("entry_id"),
-        norm_question(F.concat_ws(" ", "title", "text")).alias("searchable"),
-        norm_question(F.col("area")).alias("area_norm"),
-    )
-    # block counts come from row counts (two numbers), so cells stay bounded at any scale
-    n_q = max(1, math.ceil(queries.count() / query_rows))
-    n_c = max(1, math.ceil(corpus.count() / corpus_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q_cells = q.withColumn("_bq", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("_bc", every(n_c))
-    c_cells = c.withColumn("_bc", F.pmod(F.xxhash64("entry_id"), F.lit(n_c)).cast("int")).withColumn("_bq", every(n_q))
-
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_score_cell(a, b, k)), columns=["query_id", "entry_id", "score", "is_exact"])
-
-    found = (
-        q_cells.groupBy("_bq", "_bc")
-        .cogroup(c_cells.groupBy("_bq", "_bc"))
-        .applyInPandas(cell, "query_id string, entry_id string, score double, is_exact boolean")
-    )
+    q = queries.select(F.col("query_id").cast("string").alias("query_id"), norm_question(F.col("query")).alias("query_norm"), F.coalesce(norm_question(F.col("area")), F.lit("")).alias("area"))
+    words = F.split("query_norm", " ")
+    inner = F.size(F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))))
+    q = materialize(q.where(F.col("query_norm") != "").withColumns({"terms": F.array_distinct(words), "inner": inner, "words": F.size(words)}))
+    c = spread(corpus.select("entry_id", "title", "text", "area"))
+    c = c.select(F.col("entry_id").cast("string").alias("entry_id"), _once(F.concat_ws(" ", "title", "text")).alias("_text"), F.col("area").alias("_area"))
+    c = c.select("entry_id", F.coalesce(norm_question(F.col("_area")), F.lit("")).alias("_area"), _once(norm_question(F.col("_text"))).alias("searchable"))
+    c = c.where(F.col("searchable") != "")
+    size = F.length("searchable")
+    entries = materialize(c.select("entry_id", "_area", size.alias("_len"), _band(size).alias("band"), F.array_distinct(F.split("searchable", " ")).alias("tokens"), "searchable"))
+    bands = [r[0] for r in entries.select("band").distinct().collect()]  # at most 31
+    same_area = (F.col("area") == "") | (F.col("_area") == "") | (F.col("area") == F.col("_area"))
+    postings = entries.select("entry_id", "_area", "_len", "band", F.explode("tokens").alias("term"))
+
+    terms = q.select(F.explode("terms").alias("term")).distinct()
+    often = postings.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    rare = q.select("query_id", F.explode("terms").alias("term")).join(often, "term", "left").groupBy("query_id")
+    by_rarity = rare.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "term"))).alias("_sorted"))
+    q = materialize(q.drop("terms").join(by_rarity, "query_id").withColumn("terms", F.transform("_sorted", lambda x: x["term"])).withColumn("met", F.transform(F.filter("_sorted", lambda x: x["df"] > 0), lambda x: x["term"])).drop("_sorted"))
+    own = q.select("query_id", F.col("area"), F.size("terms").alias("n"), "inner", F.length("query_norm").alias("_a"))
+    limit = F.greatest(F.lit(200), 4 * F.col("_a"))
+    floored = lambda df, floor: df.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+
+    n_terms = q.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+
+    def shared(asked: DataFrame) -> DataFrame:
+        """How many of the terms asked for an entry has; one row a pair, counted before the shuffle."""
+        few = F.broadcast(asked) if n_terms <= FEW_TERMS else asked
+        return postings.join(few, "term").where(same_area).groupBy("query_id", "entry_id").agg(F.count(F.lit(1)).cast("int").alias("both"), F.first("_len").alias("_len"))
+
+    def compared(pairs: DataFrame, floor: DataFrame) -> DataFrame:
+        """Scores of ``(query_id, entry_id, both, gram, _len)`` that may reach the query's floor."""
+        full = floored(pairs.join(own, "query_id"), floor).withColumn("share", F.col("both") / F.col("n"))
+        seen = F.least(F.col("_len"), limit)
+        may = F.col("gram") | ((F.col("inner") > 0) & (F.col("both") >= F.col("inner")))
+        bound = F.when(may, 1.0).otherwise(F.least(F.lit(0.99), (1 - sequence) * F.col("share") + sequence * _ratio_cap(F.col("_a"), seen, seen)))
+        left = full.where((bound > 0) & (bound >= F.col("floor") - 1e-9)).select("query_id", "entry_id", "share", "floor")
+        texts = left.join(entries.select("entry_id", "searchable"), "entry_id").join(q.select("query_id", "query_norm"), "query_id")
+        texts = texts.withColumn("is_exact", F.col("searchable").contains(F.col("query_norm")))
+        if not sequence:
+            value = F.when(F.col("is_exact"), 1.0).otherwise(F.least(F.lit(0.99), F.col("share")))
+            return texts.select("query_id", "entry_id", value.alias("score"), "is_exact").where("score > 0")
+        part = F.pmod(F.xxhash64("entry_id"), F.lit(SPLITS))
+        rows = texts.select("query_id", "entry_id", "query_norm", F.expr("substring(searchable, 1, greatest(200, 4 * length(query_norm)))").alias("head"), "share", "is_exact", "floor", part.alias("_part"))
+        dealt = rows.repartition("query_id", "_part").sortWithinPartitions("query_id").drop("_part")
+        return dealt.mapInPandas(_pair_scores(k, sequence), "query_id string, entry_id string, score double, is_exact boolean")
+
     scope = Scope(("query_id",), ("entry_id",), None, None)
-    best = top_k(found, scope, [("score", False), ("is_exact", False)], k, "position")
+    kth = lambda best: best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("floor"))
+    asking = q.select("query_id", "area", F.explode(F.slice("met", 1, PROBES)).alias("term"))
+    probed = top_k(shared(asking), scope, [("both", False)], 4 * k).select("query_id", "entry_id")
+    whole = lambda pairs: pairs.join(entries.select("entry_id", "_area", "_len", "band", "tokens"), "entry_id").join(q.select("query_id", "area", "terms"), "query_id").where(same_area).withColumn("both", F.size(F.array_intersect("terms", "tokens")))
+    known = whole(probed).select("query_id", "entry_id", ((1 - sequence) * F.col("both") / F.size("terms")).alias("score"))
+    probed = top_k(known, scope, [("score", False)], k)
+    floor = materialize(kth(probed))
+
+    band = F.explode(F.array(*[F.lit(b) for b in bands])) if bands else F.lit(0)
+    asked = floored(own, floor).withColumn("band", band)
+    low, high = F.least(F.pow(F.lit(2), F.col("band")), limit), F.least(F.pow(F.lit(2), F.col("band") + 1) - 1, limit)
+    need = F.ceil((F.col("floor") - 1e-9 - sequence * _ratio_cap(F.col("_a"), low, high)) * F.col("n") / (1 - sequence) - 1e-9)
+    need = F.greatest(F.when(F.col("inner") > 0, F.least(need, F.col("inner"))).otherwise(need), F.lit(0 if sequence else 1))
+    asked = asked.withColumn("need", F.least(need, F.col("n")).cast("int")).select("query_id", "band", "need")
+    counted = shared(q.select("query_id", "area", F.explode("met").alias("term"))).withColumn("band", _band(F.col("_len")))
+    pairs = counted.join(asked, ["query_id", "band"]).where((F.col("need") > 0) & (F.col("both") >= F.col("need"))).select("query_id", "entry_id", "both", F.lit(False).alias("gram"), "_len")
+    rest = asked.where("need = 0")
+    more = [entries.select("entry_id", "band").join(rest, "band").select("query_id", "entry_id", F.lit(False).alias("gram"))] if sequence and not rest.isEmpty() else []
+    short = q.where("words <= 2")
+    if not short.isEmpty():
+        more.append(_gram_pairs(short, entries).withColumn("gram", F.lit(True)))
+    for extra in more:  # pairs that need not share a term: the overlap is taken from the token sets
+        pairs = pairs.unionByName(whole(extra).select("query_id", "entry_id", "both", "gram", "_len"))
+    pairs = materialize(pairs.groupBy("query_id", "entry_id").agg(F.max("both").alias("both"), F.max("gram").alias("gram"), F.first("_len").alias("_len")))
+    if sequence:
+        tried = top_k(pairs, scope, [("both", False)], 2 * k).drop("rank")
+        floor = materialize(kth(top_k(compared(tried, floor), scope, [("score", False)], k)))
+    best = top_k(materialize(compared(pairs, floor)), scope, [("score", False), ("is_exact", False)], k, "position")
     return best.withColumn("score", F.round("score", 4))
 
 

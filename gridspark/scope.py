@@ -105,6 +105,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return write_table(df)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores where they lie in fewer partitions: small files of one row group, and only those."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    filled = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores) if filled < cores else df
+
+
 def stage(df: DataFrame, scope: Scope) -> DataFrame:
     """End of a step whose result feeds both an aggregate and a join.
 

@@ -256,9 +256,9 @@ def x09(spark, sf):
     return R.lookup_answers(req, store).select("request_id", "hit", "match_type", "similarity", "cache_id")
 
 
-def corpus_of(spark, sf):
+def document_corpus(spark, sf):
     d = V.table(spark, sf, "documents")
-    docs = d.select(
+    return d.select(
         F.concat(F.lit("doc-"), "doc_id").alias("entry_id"),
         F.concat(F.lit("Document "), "doc_id").alias("title"),
         "text",
@@ -266,6 +266,10 @@ def corpus_of(spark, sf):
         F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("NATION_"), F.col("doc_id") % 25)).alias("area"),
         F.lit("document").alias("category"),
     )
+
+
+def corpus_of(spark, sf):
+    docs = document_corpus(spark, sf)
     t = V.totals(spark, sf)
     facts = t.select(
         F.concat(F.lit("city-"), "area_id").alias("entry_id"),
@@ -302,6 +306,35 @@ def x11(spark, sf):
     return R.retrieve(query_view(spark, sf), corpus_of(spark, sf), 5).select("query_id", "entry_id", "position", "score", "is_exact")
 
 
+OVERLAP_SQL = r"""
+    with c as (
+        select 'doc-' || doc_id as entry_id, case when doc_id % 10 = 0 then 'nation_' || doc_id % 25 else '' end as area,
+               trim(regexp_replace(lower('Document ' || doc_id || ' ' || text), '[^\p{L}\p{N}_\-/]+', ' ', 'g')) as s from documents
+    ), q as (
+        select item_id::varchar as query_id, case when item_id % 4 = 0 then 'nation_' || item_id % 25 else '' end as area,
+               trim(regexp_replace(lower(text), '[^\p{L}\p{N}_\-/]+', ' ', 'g')) as t from benchmark
+    ), ct as (select distinct entry_id, area, unnest(string_split(s, ' ')) as term from c),
+    qt as (select distinct query_id, area, unnest(string_split(t, ' ')) as term from q),
+    size as (select query_id, count(*) as n from qt group by 1),
+    overlap as (
+        select query_id, entry_id, least(0.99, count(*) / any_value(n)::double) as score
+        from qt join ct using (term) join size using (query_id) where qt.area = '' or ct.area = '' or qt.area = ct.area group by 1, 2
+    ), exact as (select query_id, entry_id from q join c on contains(s, t) where q.area = '' or c.area = '' or q.area = c.area),
+    scored as (
+        select query_id, entry_id, case when e.query_id is not null then 1.0 else score end as score, e.query_id is not null as is_exact
+        from overlap full join exact as e using (query_id, entry_id)
+    ), placed as (select *, row_number() over (partition by query_id order by score desc, is_exact desc, entry_id) as position from scored)
+    select query_id, entry_id, position, round(score, 4) + 0.0 as score, is_exact from placed where position <= 5
+"""
+
+
+@query("x11_overlap", OVERLAP_SQL)
+def x11_overlap(spark, sf):
+    """The part of the search that SQL can say: overlap and exact substrings, through the same postings and bounds."""
+    found = R.retrieve(query_view(spark, sf), R.build_corpus(None, document_corpus(spark, sf)), 5, sequence=0.0)
+    return found.select("query_id", "entry_id", "position", rnd("score").alias("score"), "is_exact")
+
+
 @query(
     "x12_snippet",
     "with d as (select doc_id, trim(regexp_replace(\"text\", '\\s+', ' ', 'g')) t from documents), p as (select *, least(nullif(strpos(lower(t), 'the'), 0), nullif(strpos(lower(t), 'que'), 0)) f from d), "

@@ -51,6 +51,28 @@ def n04(spark, sf):
     return b.select("item_id", N.norm_question(F.regexp_replace("text", r"[^\x00-\x7F]", "")).alias("k"))
 
 
+#: Full forms of digits, small and capital letters and signs: each is the plain one moved by a fixed step.
+PLAIN = "".join(map(chr, range(0x21, 0x7F)))
+FULL = "".join(chr(ord(c) + 0xFEE0) for c in PLAIN)
+
+
+@query(
+    "n04_full_forms",
+    "select c_custkey, 'fi 1⁄2 viii kg '.replace('⁄', ' ') || trim(regexp_replace(lower(c_name), '[^a-z0-9_/-]+', ' ', 'g')) || ' é' question_key, "
+    "'fi viii ' || trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) || ' e' area_key, "
+    "'fi ' || trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) label_key from customer",
+)
+def n04_full(spark, sf):
+    c = V.table(spark, sf, "customer")
+    full = F.translate("c_name", PLAIN, FULL)
+    return c.select(
+        "c_custkey",
+        N.norm_question(F.concat(F.lit("ﬁ ½ Ⅷ ㎏ "), full, F.lit(" e\u0301"))).alias("question_key"),
+        N.norm_name(F.concat(F.lit("ﬁ Ⅷ "), F.translate(full, "＃", "-"), F.lit(" e\u0301"))).alias("area_key"),
+        N.norm_boundary(F.concat(F.lit("ﬁ "), full)).alias("label_key"),
+    )
+
+
 @query(
     "n05_n06_coerce",
     "select p_partkey, p_partkey % 5 in (0, 1) flag, case p_partkey % 5 when 0 then true when 1 then true when 2 then false end flag3, case when p_partkey % 3 = 0 then p_retailprice end num, case when p_size > 25 then round(abs(ln(p_size / 25.0)), 6) + 0.0 end ld from part",

@@ -104,29 +104,50 @@ def test_unsafe_answers_are_not_stored(spark):
     assert R.store_answers(base, None).count() == 0
 
 
-def test_retrieval_equals_brute_force(spark):
-    rnd = random.Random(2)
-    words = ["cell", "area", "total", "grid", "hot", "spot", "band", "score", "x", "map"]
-    docs = [(f"d{i}", f"t{i}", " ".join(rnd.choice(words) for _ in range(rnd.randint(5, 120))), "s", None if i % 3 else "a", "c") for i in range(60)]
-    qs = [(f"q{i}", " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6))), "a" if i % 2 else None) for i in range(12)]
-    corpus = spark.createDataFrame(docs, "entry_id string, title string, text string, source string, area string, category string")
-    queries = spark.createDataFrame(qs, "query_id string, query string, area string")
-    got = {}
-    for r in R.retrieve(queries, corpus, 4, query_rows=5, corpus_rows=13).collect():
-        got.setdefault(r.query_id, []).append((r.position, r.entry_id, r.score))
+def brute_retrieval(qs, docs, k, sequence=0.25):
+    out = {}
     for qid, q, area in qs:
         scored = []
         for eid, title, text, _, darea, _ in docs:
-            if area and darea and area != darea:
+            if not q or (area and darea and area != darea):
                 continue
-            s = f"{title} {text}"
+            s = f"{title} {text}".strip()
             if q in s:
-                scored.append((1.0, eid))
+                scored.append((1.0, True, eid))
                 continue
             share = len(set(q.split()) & set(s.split())) / len(set(q.split()))
-            scored.append((min(0.99, 0.75 * share + 0.25 * difflib.SequenceMatcher(None, q, s[: max(200, len(q) * 4)]).ratio()), eid))
-        want = sorted(scored, key=lambda v: -v[0])[:4]
-        assert [round(v[0], 4) for v in want] == [v[2] for v in sorted(got[qid])]
+            ratio = difflib.SequenceMatcher(None, q, s[: max(200, len(q) * 4)]).ratio() if sequence else 0.0
+            scored.append((min(0.99, (1 - sequence) * share + sequence * ratio), False, eid))
+        best = sorted((v for v in scored if v[0] > 0), key=lambda v: (-v[0], not v[1], v[2]))[:k]
+        if best:
+            out[qid] = [(v[2], int(v[0] * 10_000 + 0.5) / 10_000, v[1]) for v in best]
+    return out
+
+
+@pytest.mark.parametrize("sequence", [0.25, 0.0])
+@pytest.mark.parametrize("vocabulary", [10, 400, 30_000])
+def test_retrieval_equals_brute_force(spark, vocabulary, sequence):
+    """Few, some and many words: frequent terms alone, mixed ones, and queries that share no term with k entries."""
+    rnd = random.Random(vocabulary)
+    syllables = ["ce", "ll", "ar", "ea", "to", "tal", "gr", "id", "ho", "t", "sp", "ot"]
+    words = ["".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 5))) for _ in range(vocabulary)]
+    docs = [(f"d{i}", f"t{i}", " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 2, 9, 120, 400]))), "s", None if i % 3 else "a", "c") for i in range(120)]
+    qs = [(f"q{i}", " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 30))), "a" if i % 2 else None) for i in range(15)]
+    qs += [("part", docs[3][2][5:60].strip(), None), ("one", "tal", None), ("two", "ot ce", "a"), ("letter", "g", None), ("none", "", None), ("odd", "zzz", None), ("b", "ce ce", "b")]
+    corpus = spark.createDataFrame(docs, "entry_id string, title string, text string, source string, area string, category string")
+    queries = spark.createDataFrame(qs, "query_id string, query string, area string")
+    got = {}
+    for r in sorted(R.retrieve(queries, corpus, 4, sequence=sequence).collect()):
+        got.setdefault(r.query_id, []).append((r.position, r.entry_id, r.score, r.is_exact))
+    assert {q: [v[1:] for v in sorted(x)] for q, x in got.items()} == brute_retrieval(qs, docs, 4, sequence)
+
+
+def test_retrieval_of_nothing(spark):
+    none = spark.createDataFrame([], "query_id string, query string, area string")
+    corpus = spark.createDataFrame([("d", "t", None, "s", None, "c")], "entry_id string, title string, text string, source string, area string, category string")
+    assert R.retrieve(none, corpus).count() == 0
+    assert R.retrieve(spark.createDataFrame([("q", "t", None)], none.schema), corpus.where("false")).count() == 0
+    assert R.retrieve(spark.createDataFrame([("q", "t", None)], none.schema), corpus).collect()[0].score == 1.0
 
 
 def test_snippet(spark):
