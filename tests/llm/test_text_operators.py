@@ -34,6 +34,7 @@ def test_best_fit_takes_the_fullest_bin():
 
 def test_word_ids_equal_the_tokenizer():
     texts = odd_texts("aeiotTK.,,..'s İẞß̈́K<|>1x \n\t\u0085 中", 3000) + ["<|endoftext|>", "THE. The, the.,", "A.B. C,D"]
+    texts += odd_texts("aeétTKÀº.,,..'s12²½&-_  \n\t", 3000) + odd_texts("abTK.,,1'&  \n\v", 2000) + ["", "\ue000 x \ue000.", "½. ². º. _. -., 1.,", "x" * 5000 + "."]
     encode = WordIds(WORDS)
     got = [np.frombuffer(x, "<u4").tolist() for x in encode.together([t.encode() for t in texts])]
     assert got == [e.ids for e in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -62,6 +63,10 @@ def test_packing_of_pieces_that_do_not_fit_together(spark):
     assert brute.check_sequences(rows, 64) == 300
 
 
+def test_packing_of_nothing(empty):
+    assert pack_documents(empty, WORDS).count() == 0
+
+
 def test_packing_repeated_rows_and_piece_ids(twice):
     assert Counter(r.doc_id for r in pack_documents(twice, WORDS).collect()) == {1: 3, None: 3, 2: 1}
     ids = [r.ids for r in piece_ids(twice.where("doc_id = 2"), WORDS, 50).orderBy("piece").collect()]
