@@ -206,7 +206,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
             hit = _open_span(smallest).where(F.col("sure") | (F.col("_max") > F.col("_min"))).select("doc", "at", "n")
         repeats = write_table(hit, "windows")
         before = length
-    return repeats.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
+    return repeats.groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "n")).alias("cuts"))  # equal rows send the same
 
 
 def _covered(count: int, cuts, size: int) -> np.ndarray:
