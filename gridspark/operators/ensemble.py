@@ -9,8 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.functions.scalars import forward_target
 from gridspark.operators import training as T
 from gridspark.operators.hotspots import hotspot_class
+from gridspark.operators.moments import training_moments
 from gridspark.operators.scaling import calibrate
 from gridspark.operators.stats import correlations
 from gridspark.operators.uncertainty import SEED_STEP, align_to_total, band, bootstrap, confidence, stability, summarize_members
@@ -21,10 +23,21 @@ def member_id(i: int) -> str:
     return f"member_{i:02d}"
 
 
+def _drawn(rows: DataFrame, config: T.TrainingConfig, seeds: dict[str, int], groups: Scope) -> DataFrame:
+    """Every member's draws as ``group`` (the member), ``fold``, ``weight``, the features and ``y``."""
+    listed = F.array(*[F.struct(F.lit(n).alias("member_id"), F.lit(s).cast("long").alias("_member_seed")) for n, s in seeds.items()])
+    each = rows.withColumn("_m", F.explode(listed)).select("*", "_m.*").drop("_m")
+    drawn = bootstrap(each, F.col("_member_seed"), groups, ("member_id",))
+    fold = F.col("fold").cast("long") if "fold" in rows.columns else F.lit(0)
+    label = forward_target(F.col(config.target).cast("double"), config.log_target)
+    return drawn.select(F.col("member_id").alias("group"), fold.alias("fold"), F.col("draws").alias("weight"), *[F.col(c).cast("double").alias(c) for c in config.features], label.alias("y"))
+
+
 def train_ensemble(df: DataFrame, config: T.TrainingConfig, members: int = 9, within_area: bool = True, scope: Scope = AREA) -> tuple[dict, DataFrame]:
     """U03. One model per member, each on its own bootstrap of the rows, and the member manifest.
 
-    The training rows are written once; draws become row copies, so tree weights and leaf sizes count them.
+    Ridge: draws are weights of moments that one pass sums per member; members are solved side by side, and the number of
+    Spark jobs does not depend on theirs. Trees: draws become row copies, so weights and leaf sizes count them.
     """
     rows = materialize(df)
     groups = scope if within_area else Scope(keys=(), row_id=(*scope.keys, *scope.row_id))
@@ -36,8 +49,12 @@ def train_ensemble(df: DataFrame, config: T.TrainingConfig, members: int = 9, wi
         copies = drawn.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("draws").cast("int")))).drop("_copy")
         return name, T.fit(copies, replace(config, seed=seed))
 
-    with ThreadPoolExecutor(max_workers=max(1, config.parallel_fits)) as pool:
-        models = dict(pool.map(fit_one, seeds.items()))
+    if config.model == "ridge":
+        fitted = training_moments(_drawn(rows, config, seeds, groups), config.features, whole=True).ridge(config.features, config.alpha)
+        models = {r["group"]: T.RidgeModel(tuple(config.features), *(r[c] for c in ("median", "mean", "std", "weights", "center"))) for r in sorted(fitted.collect())}
+    else:
+        with ThreadPoolExecutor(max_workers=max(1, config.parallel_fits)) as pool:
+            models = dict(pool.map(fit_one, seeds.items()))
     size = rows.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("area_id").alias("area_count"))
     listed = df.sparkSession.createDataFrame([(n, int(s)) for n, s in seeds.items()], "member_id string, seed long")
     return models, listed.crossJoin(F.broadcast(size)).withColumn("bootstrap_within_area", F.lit(within_area))
@@ -63,7 +80,15 @@ def cv_uncertainty(df: DataFrame, config: T.TrainingConfig, members: int = 9, co
         models, _m = train_ensemble(train, config, members, scope=scope)
         return predict_members(models, held, config).select(*keep, "member_id", "pred")
 
-    long = materialize(reduce(DataFrame.unionByName, T.over_folds(rows, replace(config, parallel_fits=1), run)))
+    if config.model == "ridge" and unit == "city":
+        # a fold is an area and draws stay within areas: leaving a fold out takes its own draws from each member's moments
+        seeds = {member_id(i + 1): config.seed + SEED_STEP * i for i in range(members)}
+        models = training_moments(_drawn(rows, config, seeds, scope), config.features).ridge(config.features, config.alpha)
+        asked = rows.withColumn("member_id", F.explode(F.array(*[F.lit(n) for n in seeds])))
+        long = T.predict_linear(asked, models.withColumnRenamed("group", "member_id"), config, ("fold", "member_id"), "pred").select(*keep, "member_id", "pred")
+    else:
+        long = reduce(DataFrame.unionByName, T.over_folds(rows, replace(config, parallel_fits=1), run))
+    long = materialize(long)
     groups = Scope(("fold", "fold_group"), ("area_id", "cell_id"))
     cal = calibrate(long, "pred", "fold_total", Scope(("fold", "fold_group", "member_id"), ("cell_id",)), "pred_calibrated")
     summary = stage(summarize_members(cal, scope=groups, keep=("fold_total", config.target)), groups)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridspark.contracts import MODEL_FEATURES
 from gridspark.functions.scalars import clip, forward_target, inverse_target, log_distance, to_num
+from gridspark.operators.moments import Moments, training_moments
 from gridspark.operators.quality import sanitize, validate
 from gridspark.operators.scaling import allocate, calibrate
 from gridspark.operators.spatial import spatial_blocks
@@ -247,83 +248,35 @@ def over_folds(df: DataFrame, config: TrainingConfig, run) -> list[DataFrame]:
         return list(pool.map(lambda f: run(df.where(F.col("fold") != f), df.where(F.col("fold") == f), f), folds))
 
 
-def _complete(rows: DataFrame, features: Sequence[str]) -> bool:
-    """No feature has a null: then no median is needed, and moments say all about a ridge fit."""
-    nulls = rows.agg(*[F.count_if(F.col(c).cast("double").isNull()).alias(f"_{i}") for i, c in enumerate(features)]).first()
-    return not any(nulls)
+def _training_moments(rows: DataFrame, config: TrainingConfig, features: Sequence[str]) -> Moments:
+    """Moments of the rows *outside* each fold, from one pass whatever the number of folds, nulls or not."""
+    label = forward_target(F.col(config.target).cast("double"), config.log_target)
+    wide = rows.select(F.lit("").alias("group"), "fold", F.lit(1).alias("weight"), *[F.col(c).cast("double").alias(c) for c in features], label.alias("y"))
+    return training_moments(wide, features)
 
 
-def _training_moments(rows: DataFrame, config: TrainingConfig, features: Sequence[str]) -> DataFrame:
-    """``(fold, i, v)``: moments of the rows *outside* each fold, as those of all rows less those of the fold.
+def predict_linear(rows: DataFrame, models: DataFrame, config: TrainingConfig, keys: Sequence[str], out: str) -> DataFrame:
+    """Predictions by ``intercept`` and ``slopes`` of the model that the keys name: one join for all models."""
+    chosen = models.select(*keys, F.col("intercept").alias("_b"), F.col("slopes").alias("_w"))
+    ready = rows.withColumns({c: F.coalesce(to_num(F.col(c)), F.lit(0.0)) for c in config.features})
+    ready = attach(ready, chosen, Scope(tuple(keys), ("cell_id",)), "inner")
+    linear = reduce(lambda a, b: a + b, [F.col("_w")[i] * F.col(c) for i, c in enumerate(config.features)], F.col("_b"))
+    return ready.withColumn(out, clip(inverse_target(linear, config.log_target))).drop("_b", "_w")
 
-    One pass over the rows whatever the number of folds: per task and fold one matrix of ``1, features, target`` (about
-    global means, so that the differences lose no digits), of which the upper half is summed up by Spark.
-    """
-    label = forward_target(F.col(config.target).cast("double"), config.log_target)
-    columns = [*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], label.alias("y")]
-    wide = rows.select("fold", *columns)
-    center = np.array([0.0, *[float(v or 0.0) for v in wide.agg(*[F.avg(c) for c in wide.columns[1:]]).first()]])
-    upper = np.triu_indices(len(center))
 
-    def moments(batches):
-        by_fold: dict[int, np.ndarray] = {}
-        for batch in batches:
-            folds = batch["fold"].to_numpy()
-            z = np.column_stack([np.ones(len(batch)), batch.iloc[:, 1:].to_numpy(dtype=float)]) - center
-            for f in np.unique(folds):
-                own = z[folds == f]
-                by_fold[int(f)] = by_fold.get(int(f), 0.0) + own.T @ own
-        for f, m in by_fold.items():
-            yield pd.DataFrame({"fold": f, "i": np.arange(len(upper[0])), "v": m[upper]})
-
-    parts = wide.mapInPandas(moments, "fold long, i int, v double").groupBy("fold", "i").agg(F.sum("v").alias("v"))
-    parts = materialize(parts)
-    total = parts.groupBy("i").agg(F.sum("v").alias("_t"))
-    means = F.array(*[F.lit(float(c)) for c in center])
-    return parts.join(total, "i").select("fold", "i", (F.col("_t") - F.col("v")).alias("v"), means.alias("center"))
-
-
-def _ridge_by_fold(moments: DataFrame, size: int, chosen: Sequence[int], alpha: float) -> DataFrame:
-    """``(fold, intercept, slopes)`` of the chosen features: one small solve per fold, where Spark puts it."""
-    pick = [0, *[c + 1 for c in chosen], size + 1]
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        full = np.zeros((size + 2, size + 2))
-        at = np.triu_indices(size + 2)
-        order = part.sort_values("i")
-        full[at] = order["v"].to_numpy()
-        full = full + np.triu(full, 1).T
-        m, center = full[np.ix_(pick, pick)], np.asarray(order["center"].iloc[0])[pick]
-        n, shift = m[0, 0], m[0, 1:] / m[0, 0]
-        second = m[1:, 1:] - n * np.outer(shift, shift)
-        std = np.sqrt(np.maximum(np.diag(second)[:-1] / n, 0.0))
-        std[std <= 1e-12 * (1.0 + np.abs(center[1:-1]))] = 1.0
-        weights = np.linalg.solve(second[:-1, :-1] / np.outer(std, std) + alpha * np.eye(len(std)), second[:-1, -1] / std)
-        slopes, mean = weights / std, center[1:] + shift
-        return pd.DataFrame({"fold": [part["fold"].iloc[0]], "intercept": [mean[-1] - slopes @ mean[:-1]], "slopes": [slopes.tolist()]})
-
-    return moments.groupBy("fold").applyInPandas(solve, "fold long, intercept double, slopes array<double>")
-
-
-def _ridge_out_of_fold(rows: DataFrame, config: TrainingConfig, moments: DataFrame, all_features: Sequence[str]) -> DataFrame:
-    """Held-out predictions of all folds by one join on the fold."""
-    chosen = [all_features.index(c) for c in config.features]
-    models = _ridge_by_fold(moments, len(all_features), chosen, config.alpha)
-    models = models.select("fold", F.col("intercept").alias("_b"), F.col("slopes").alias("_w"))
-    ready = attach(rows.withColumns({c: F.coalesce(to_num(F.col(c)), F.lit(0.0)) for c in config.features}), models, Scope(("fold",), ("cell_id",)), "inner")
-    linear = reduce(lambda a, b: a + b, [F.col("_w")[i] * F.col(c) for i, c in enumerate(config.features)], F.col("_b"))
-    return ready.withColumn("prediction_raw", clip(inverse_target(linear, config.log_target))).drop("_b", "_w")
+def _ridge_out_of_fold(rows: DataFrame, config: TrainingConfig, moments: Moments) -> DataFrame:
+    """Held-out predictions of all folds."""
+    return predict_linear(rows, moments.ridge(config.features, config.alpha), config, ("fold",), "prediction_raw")
 
 
 def cross_validate(df: DataFrame, config: TrainingConfig, scope: Scope = AREA) -> DataFrame:
     """T09. Out-of-fold rows with raw and calibrated predictions (``fold, fold_group, prediction_*``).
 
-    Ridge over complete features takes one pass and one join for all folds; other models are fitted fold by fold.
+    Ridge takes one pass and one join for all folds; tree models are fitted fold by fold.
     """
     rows, unit = _folded(df, config, scope)
-    if config.model == "ridge" and _complete(rows, config.features):
-        moments = _training_moments(rows, config, config.features)
-        scored = _ridge_out_of_fold(rows, config, moments, list(config.features))
+    if config.model == "ridge":
+        scored = _ridge_out_of_fold(rows, config, _training_moments(rows, config, config.features))
     else:
         run = lambda train, held, _: predict_raw(fit(train, config), held, config.features, config.log_target, "prediction_raw")
         scored = reduce(DataFrame.unionByName, over_folds(rows, config, run))
@@ -517,10 +470,10 @@ def run_ablation(df: DataFrame, config: TrainingConfig, specs: Sequence[Ablation
     moments = None
     if config.model == "ridge" and todo:  # the moments of a family are a part of those of all features
         rows, unit = _folded(df, config, scope)
-        moments = materialize(_training_moments(rows, config, union)) if _complete(rows, union) else None
+        moments = _training_moments(rows, config, union)
     for s in todo:
         c = replace(config, features=s.features)
-        oof = cross_validate(df, c, scope) if moments is None else _calibrated_folds(_ridge_out_of_fold(rows, c, moments, union), c, unit)
+        oof = cross_validate(df, c, scope) if moments is None else _calibrated_folds(_ridge_out_of_fold(rows, c, moments), c, unit)
         parts.append(fold_report(oof, c).withColumn("ablation_name", F.lit(s.name)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 

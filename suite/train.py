@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspark.operators import ensemble as E
+from gridspark.operators import moments as M
 from gridspark.operators import training as T
 from gridspark.operators import uncertainty as U
 from gridspark.operators.scaling import combined_index
@@ -51,6 +52,29 @@ def t03(spark, sf):
     return T.fold_report(T.cross_validate(rows, RIDGE, scope), RIDGE)
 
 
+@query(
+    "t03_ridge_with_nulls",
+    V.with_views("cells")
+    + """, x as (select n_regionkey::bigint area_id, c.area_id || '-' || cell_id cell, case when hash_free % 3 = 0 then null else building_area end x, road_length y
+        from (select *, round(building_area)::bigint hash_free from cells) c join nation on n_nationkey = c.area_id),
+    f as (select distinct area_id fold from x), part as (select fold, x, y from f join x on area_id <> fold),
+    m as (select fold, median(x) med from part group by 1), filled as (select fold, coalesce(x, coalesce(med, 0)) x, y from part join m using (fold)),
+    s as (select fold, count(*) n, avg(x) mx, avg(y) my, var_pop(x) vx, covar_pop(x, y) * count(*) sxy from filled group by 1)
+    select fold, """
+    + r("sxy / vx / (n + 1.0)", "slope", 6)
+    + ", "
+    + r("my - sxy / vx / (n + 1.0) * mx", "intercept", 4)
+    + " from s",
+)
+def t03_nulls(spark, sf):
+    """Slope and intercept of a one-feature ridge outside each region, nulls filled by the median outside it."""
+    c = V.cells(spark, sf).join(V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("area_id"), F.col("n_regionkey").cast("long").alias("fold")), "area_id")
+    x = F.when(F.round("building_area").cast("long") % 3 != 0, F.col("building_area"))
+    rows = c.select(F.lit("").alias("group"), "fold", F.lit(1).alias("weight"), x.alias("x"), F.col("road_length").alias("y"))
+    models = M.training_moments(rows, ["x"]).ridge(["x"], 1.0)
+    return models.select("fold", rnd(F.col("slopes")[0], 6).alias("slope"), rnd("intercept").alias("intercept"))
+
+
 @query("t04_forest_cross_validation")
 def t04(spark, sf):
     rows, scope = labelled(spark, sf)

@@ -2,9 +2,16 @@
 
 import heapq
 import random
+from dataclasses import replace
+from functools import reduce
 
+import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.operators import ensemble as E
+from gridspark.operators import training as T
+
 from gridspark.operators.training import _greedy_plan, folds_blocks, make_estimator
 
 
@@ -48,27 +55,58 @@ def test_given_depth_is_used(spark):
     assert [depth("boosted_trees", 12), depth("boosted_trees", None), depth("random_forest", 9), depth("random_forest", None)] == [12, 6, 9, 12]
 
 
-def test_one_pass_ridge_equals_fits_fold_by_fold(spark):
+@pytest.mark.parametrize("holes", [0, 3, 7])
+def test_one_pass_ridge_equals_fits_fold_by_fold(spark, holes):
     """Held-out predictions from moments against a fit of each training part, also for a part of the features."""
-    import random
-    from dataclasses import replace
-
-    import pytest
-
-    from gridspark.operators import training as T
-
     rnd = random.Random(7)
     rows = [(a, f"c{a}_{i}", 1.0 + a + 0.1 * i, 2.0 + i % 5, rnd.random() * 1e6, float(rnd.randrange(9)), 1.0, abs(rnd.gauss(50, 20)), 100.0 * a + 50) for a in range(1, 6) for i in range(30)]
+    if holes:  # ties, an area with none of a feature, and odd and even counts
+        rows = [(*r[:4], None if i % holes == 0 else r[4], None if r[0] == 2 or i % 4 == 1 else r[5], *r[6:]) for i, r in enumerate(rows)]
     df = spark.createDataFrame(rows, "area_id long, cell_id string, latitude double, longitude double, p double, q double, constant double, weak_target double, official_total double")
     config = T.TrainingConfig(model="ridge", features=("p", "q", "constant"))
     folded, unit = T._folded(df, config, T.AREA)
     moments = T._training_moments(folded, config, ["p", "q", "constant"])
     for features in (("p", "q", "constant"), ("q",)):
         c = replace(config, features=features)
-        quick = {r.cell_id: r.prediction_raw for r in T._ridge_out_of_fold(folded, c, moments, ["p", "q", "constant"]).collect()}
+        quick = {r.cell_id: r.prediction_raw for r in T._ridge_out_of_fold(folded, c, moments).collect()}
         slow = {}
         for fold in range(1, 6):
             model = T.fit(folded.where(F.col("fold") != fold), c)
             scored = T.predict_raw(model, folded.where(F.col("fold") == fold), c.features, c.log_target, "prediction_raw")
             slow |= {r.cell_id: r.prediction_raw for r in scored.collect()}
         assert quick == pytest.approx(slow, rel=1e-8) and len(quick) == len(rows)
+
+
+@pytest.mark.parametrize("holes", [0, 3])
+def test_members_from_weighted_moments_equal_fits_on_copies(spark, holes):
+    """U03 and U15: the same draws as row copies, fitted member by member and fold by fold."""
+    rnd = random.Random(5)
+    value = lambda i: None if holes and i % holes == 0 else rnd.random() * 50
+    rows = [(a, f"c{a}_{i}", value(i), float(rnd.randrange(5)), abs(rnd.gauss(50, 20)), 3000.0) for a in range(1, 5) for i in range(25)]
+    df = spark.createDataFrame(rows, "area_id long, cell_id string, p double, q double, weak_target double, official_total double")
+    config = T.TrainingConfig(model="ridge", features=("p", "q"))
+    on = T.folds_loco(df).persist()
+
+    def copies(train, i):
+        seed = config.seed + E.SEED_STEP * i
+        drawn = E.bootstrap(train.withColumn("member_id", F.lit(E.member_id(i + 1))), F.lit(seed).cast("long"), extra_keys=("member_id",))
+        return T.fit(drawn.withColumn("_c", F.explode(F.array_repeat(F.lit(1), F.col("draws").cast("int")))), replace(config, seed=seed))
+
+    models, _ = E.train_ensemble(df, config, 2)
+    quick = {(r.member_id, r.cell_id): r.pred for r in E.predict_members(models, df, config).collect()}
+    plain = {E.member_id(i + 1): copies(df, i) for i in range(2)}
+    assert quick == pytest.approx({(r.member_id, r.cell_id): r.pred for r in E.predict_members(plain, df, config).collect()}, rel=1e-8)
+
+    diag, _ = E.cv_uncertainty(df, config, 2)
+    got = {r.cell_id: (r.p10, r.p90) for r in diag.collect()}
+    long = []
+    for fold in range(1, 5):
+        train, held = on.where(F.col("fold") != fold), on.where(F.col("fold") == fold)
+        for i in range(2):
+            scored = T.predict_raw(copies(train, i), held, config.features, config.log_target)
+            long.append(scored.select("area_id", "cell_id", "pred", F.lit(E.member_id(i + 1)).alias("member_id"), F.col("official_total").alias("fold_total")))
+    cal = E.calibrate(reduce(DataFrame.unionByName, long), "pred", "fold_total", E.Scope(("area_id", "member_id"), ("cell_id",)), "pred_calibrated")
+    want = {r.cell_id: (r.p10, r.p90) for r in E.align_to_total(E.summarize_members(cal, keep=("fold_total",)), "fold_total").collect()}
+    assert got.keys() == want.keys()
+    for c, (low, high) in got.items():
+        assert low == pytest.approx(want[c][0], rel=1e-6) and high == pytest.approx(want[c][1], rel=1e-6)
