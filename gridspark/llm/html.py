@@ -4,16 +4,22 @@ A page is read into a tree of elements whose text lies in blocks (paragraphs, he
 passes points to the elements around it: more for its length and its commas, in full to the nearest element, less
 with each step up. An element's points are discounted by its link density, the share of its text inside links.
 Elements that never hold the article (navigation, footers, asides, forms, scripts, and what class, id or role name as
-an advert, a notice, comments and so on) take no part and are left out of the text. A form, a page header or an element
+an advert, a notice, comments and so on) take no part and are left out of the text. Words that may as well say how an
+article is built or what it is about ("widget", "social", "search") decide only where they are the whole name, or stand beside
+words of mere position ("site-search"); in any other name they halve the element's points, and it goes only if a third of its text
+is links or it holds neither a heading nor a block of 40 characters. A form, a page header or an element
 left out for its name alone takes part all the same if it holds most of the points of the page's blocks (nine tenths if
 named as replies) and no ``article`` or ``main`` outside it holds any: it then wraps the page. The element with the most points
 is the container; it grows to an ``article`` or ``main`` around it, and siblings join it if they have enough points
 of their own or are text with few links.
 
+A ``main`` ends the navigation, footer or aside it stands in, and an ``article`` in one of them counts if the rest of the page
+has no block of 25 characters but headings: such an element was not closed.
+
 Defined results: a null or empty page, or one without text outside what is left out, gives the empty text. Blocks are
 trimmed, white space inside is one space, and they are joined by one space. Unclosed and misnested tags are closed
 where a browser would do so for paragraphs, list items, table cells and the head (at the body, or at the first element or
-text that cannot be in a head), and at the end of the page for others.
+text that cannot be in a head), and at the end of the page for others. A comment or tag that the page ends in is no text.
 Repeated rows give repeated rows; an empty table gives no rows; other columns are not read.
 """
 
@@ -33,8 +39,10 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset(
-    "head nav footer aside form script style noscript template iframe object embed svg math canvas audio video button select option textarea input dialog menu".split()
+    "head form script style noscript template iframe object embed svg math canvas audio video button select option textarea input".split()
 )
+#: Left out as well, unless they were not closed before the article.
+BESIDE = frozenset("nav footer aside dialog menu".split())
 #: What may stand in a head; anything else closes it.
 IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 WHOLE = frozenset("html body article main".split())
@@ -46,7 +54,17 @@ NAMES = frozenset(
     "social share sharing shares related recommended recommendations outbrain taboola comment comments commentlist disqus respond reply replies "
     "widget widgets pager pagination search form skip hidden".split()
 )
-#: Of these, names of what may well be longer than the article.
+#: Of these, words that decide only as whole names: articles are built of widgets and may be about notices.
+VAGUE = frozenset(
+    "widget widgets social share sharing shares search form foot alert notice notices hidden skip banner banners overlay modal popup promotion "
+    "related recommended respond reply replies aside complementary login navigation menu".split()
+)
+#: Words of mere position or form, which leave the meaning of a name as it is.
+PLACES = frozenset(
+    "area bar bars block bottom box boxes button buttons container floating global group icon icons inner item items left links list main outer page "
+    "panel posts primary right row secondary section site slot sticky title toggle top unit wrap wrapper wrappers".split()
+)
+#: Of the names, those of what may well be longer than the article.
 REPLIES = frozenset("comment comments commentlist disqus respond reply replies related recommended recommendations".split())
 #: A "header" outside an article is the page's, unless its name says that it is an article's.
 OF_ARTICLES = frozenset("article blog content entry post story".split())
@@ -65,6 +83,8 @@ CLOSES = {
 STEPS = (1.0, 0.5, 0.25, 0.125)
 SIBLING = 0.2
 TEXTLIKE = 80
+SENTENCE = 40
+HEADING = re.compile("h[1-6]")
 
 
 class _Tree(HTMLParser):
@@ -72,7 +92,7 @@ class _Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.left_out = ["#"], [-1], [False]
+        self.tag, self.parent, self.left_out, self.beside, self.vague = ["#"], [-1], [False], [False], [False]
         self.doubtful = [0.0]  # left out unless it holds more than this share of the page's points
         self.open = [0]
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters inside links
@@ -123,12 +143,16 @@ class _Tree(HTMLParser):
         if tag in BLOCKS:
             self._close({"p"}, {"td", "th", "table", "button"})
             self._end_block()
+        if tag == "main":
+            self._close(BESIDE, {"article", "main"})
         if tag in VOID:
             return
         around = self.open[-1]
         self.tag.append(tag)
         self.parent.append(around)
         self.left_out.append(self.left_out[around] or (tag in NEVER and tag != "form"))
+        self.beside.append(self.beside[around] or tag in BESIDE)
+        self.vague.append(tag not in WHOLE and _vaguely_named(attrs))
         doubtful = tag == "form" or (tag not in WHOLE and (_named(attrs) or self._is_page_header(tag, attrs)))
         self.doubtful.append((0.9 if _named(attrs, REPLIES) else 0.5) if doubtful else 0.0)
         self.open.append(len(self.tag) - 1)
@@ -166,17 +190,29 @@ class _Tree(HTMLParser):
             self.linked += len(data.strip())
 
     def close(self) -> None:
+        if re.match("<[a-zA-Z!?/]", self.rawdata):
+            self.rawdata = ""  # the page ends inside a comment or a tag
         super().close()
         self._end_block()
 
 
-def _named(attrs: list[tuple[str, str | None]], names: frozenset[str] = NAMES) -> bool:
+def _words(attrs: list[tuple[str, str | None]]) -> Iterator[frozenset[str]]:
+    """The words of each single name in class, id and role."""
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and not names.isdisjoint(PART.split(value.lower())):
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-    return False
+        if name in ("class", "id", "role") and value:
+            for token in value.lower().split():
+                yield frozenset(PART.split(token)) - {""}
+
+
+def _named(attrs: list[tuple[str, str | None]], names: frozenset[str] = NAMES) -> bool:
+    """Whether a name says clearly what is not the article."""
+    if any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs):
+        return True
+    return any((words & names) - VAGUE or (words & names and words <= NAMES | PLACES) for words in _words(attrs))
+
+
+def _vaguely_named(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(words & NAMES for words in _words(attrs))
 
 
 def points(text: str) -> float:
@@ -185,12 +221,13 @@ def points(text: str) -> float:
 
 
 def _leave_out(tree: _Tree) -> None:
-    """Blocks of doubtful elements go, unless the element wraps the page."""
-    if not any(tree.doubtful):
+    """Blocks of doubtful elements go, unless the element wraps the page; so do vaguely named ones of links or scraps."""
+    if not any(tree.doubtful) and not any(tree.vague):
         return
     tag, parent, n = tree.tag, tree.parent, len(tree.tag)
     inside, in_article = [0.0] * n, [False] * n  # points of the blocks inside; whether it lies in an article
     clean, articles = [True] * n, [0.0] * n  # whether nothing around it is doubtful; points in such articles inside
+    size, linked, prose = [0] * n, [0] * n, [False] * n
     for node in range(1, n):
         in_article[node] = in_article[parent[node]] or tag[node] in ("article", "main")
         clean[node] = clean[parent[node]] and not tree.doubtful[node]
@@ -198,20 +235,43 @@ def _leave_out(tree: _Tree) -> None:
         given = points(text) * (1.0 - links / len(text))
         inside[owner] += given
         articles[owner] += given * (in_article[owner] and clean[owner])
+        size[owner] += len(text)
+        linked[owner] += links
+        prose[owner] |= len(text) >= SENTENCE or HEADING.fullmatch(tag[owner]) is not None
     for node in range(n - 1, 0, -1):
         inside[parent[node]] += inside[node]
+        size[parent[node]] += size[node]
+        linked[parent[node]] += linked[node]
+        prose[parent[node]] |= prose[node]
         articles[parent[node]] += articles[node]
     for node in range(1, n):
         wraps = inside[node] > tree.doubtful[node] * inside[0] and not articles[0]
-        tree.left_out[node] = tree.left_out[node] or tree.left_out[parent[node]] or (tree.doubtful[node] and not wraps)
+        scraps = tree.vague[node] and not tree.doubtful[node] and (3 * linked[node] >= size[node] or not prose[node])
+        tree.left_out[node] = tree.left_out[node] or tree.left_out[parent[node]] or scraps or (tree.doubtful[node] and not wraps)
     tree.blocks = [x for x in tree.blocks if not tree.left_out[x[0]]]
 
 
+def _choose_blocks(tree: _Tree) -> None:
+    """Blocks beside the article go; an article that lies there counts if there is no prose elsewhere."""
+    given, left_out = tree.blocks, list(tree.left_out)
+    tree.blocks = [x for x in given if not tree.beside[x[0]]]
+    _leave_out(tree)
+    if any(len(text) >= 25 and not HEADING.fullmatch(tree.tag[owner]) for owner, text, _ in tree.blocks):
+        return
+    back = [False] * len(tree.tag)
+    for node in range(1, len(back)):
+        back[node] = tree.tag[node] not in BESIDE and (back[tree.parent[node]] or (tree.beside[node] and tree.tag[node] == "article"))
+    if any(back[owner] for owner, _, _ in given):
+        tree.left_out = left_out
+        tree.blocks = [x for x in given if back[x[0]] or not tree.beside[x[0]]]
+        _leave_out(tree)
+
+
 def article_text(page: str) -> str:
     tree = _Tree()
     tree.feed(page)
     tree.close()
-    _leave_out(tree)
+    _choose_blocks(tree)
     tag, parent, blocks = tree.tag, tree.parent, tree.blocks
     if not blocks:
         return ""
@@ -230,7 +290,10 @@ def article_text(page: str) -> str:
     for node in range(n - 1, 0, -1):
         size[parent[node]] += size[node]
         linked[parent[node]] += linked[node]
-    total = [(s + START.get(t, 0.0)) * (1.0 - k / c) if s and c else 0.0 for s, t, k, c in zip(score, tag, linked, size, strict=True)]
+    total = [
+        (s + START.get(t, 0.0)) * (1.0 - k / c) * (0.5 if v else 1.0) if s and c else 0.0
+        for s, t, k, c, v in zip(score, tag, linked, size, tree.vague, strict=True)
+    ]
     best = max(range(n), key=lambda i: (total[i], -i))
     node = parent[best]
     while node > 0:  # the whole of an article around the container

@@ -31,3 +31,29 @@ def test_what_is_named_still_goes():
     comments = '<div class="comments">' + "<p>I think so, too, and much more, of course, as ever.</p>" * 20 + "</div>"
     assert article_text(f"<body><article>{BODY}</article>{comments}</body>") == WANT
     assert article_text(f"<body><div>{BODY}</div>{comments}</body>") == WANT
+
+
+WORDS = [f"Part {i} has words enough, as an article would, and says what it has to say." for i in range(3)]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("".join(f"<div class='elementor-widget text'><p>{w}</p></div>" for w in WORDS), " ".join(WORDS)),
+        (f"<h1>Title</h1><div class='widget-content'>{WORDS[0]}</div><div class='widget-content'>{WORDS[1]}</div>", f"Title {WORDS[0]} {WORDS[1]}"),
+        (f"<article>{BODY}<div id='social-history'><p>{WORDS[0]}</p><p>{WORDS[1]}</p></div></article>", f"{WANT} {WORDS[0]} {WORDS[1]}"),
+        (f"<body><aside><p>Some teaser here</p><article>{BODY}</article></body>", WANT),
+        (f"<body><nav><a href=x>Home</a><h1>T</h1><article>{BODY}<footer>By me</footer></article></body>", WANT),
+        (f"<body><nav><a href=x>Home</a><main>{BODY}</main></body>", WANT),
+        (f"<body><article>{BODY}</article><!-- open <p>more", WANT),
+        (f"<body><article>{BODY}</article><div class='x", WANT),
+        (f"<body><article>{BODY}</article>a < b", f"{WANT}"),
+        (f"<div class='post-body'>{BODY}<div class='post-share'>Share this</div><div class='x-related'><a href=a>One more of these pages, to read</a></div></div>", WANT),
+        (f"<div class='post-body'>{BODY}<div class='site-search'><p>{WORDS[0]}</p></div><div class='notice'>{WORDS[1]}</div></div>", WANT),
+        (f"<div class='post-body'>{BODY}</div><aside><article><p>{WORDS[0]}</p></article></aside>", WANT),
+        ("<body><nav><a href=x>Home</a></nav><footer>All rights are with the owner, as ever, of course.</footer></body>", ""),
+        (f"<div id=page><div class='elementor-widget'><h2>Head</h2></div><div class='elementor-widget'><p>{WORDS[2]}</p></div></div>", f"Head {WORDS[2]}"),
+    ],
+)
+def test_names_weigh_and_unclosed_elements_lose_nothing(page, want):
+    assert article_text(page) == want
