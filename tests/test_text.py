@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark.operators import answer_rules as AR
 from gridspark.operators import answers as A
 from gridspark.operators import retrieval as R
 from gridspark.operators import textaudit as X
@@ -157,7 +158,55 @@ def test_snippet(spark):
     assert out.startswith("...") and out.endswith("...") and "needle" in out and len(out) == 426
 
 
-def test_templates_cover_all_kinds(spark):
-    kinds = {k for k, _ in A.TEMPLATES}
-    assert kinds | {"ask", "claim_checker"} == set(A.ANSWER_MODES)
-    assert set(A.TEMPLATES) == set(A.SUMMARIES)
+def test_rules_cover_all_kinds():
+    assert set(AR.KINDS) | {"ask", "claim_checker"} == set(A.ANSWER_MODES)
+    assert all([x.when for x in AR.rules_of(k, "summary")][-1] == "any" for k in AR.KINDS)
+    assert {x.section for x in AR.RULES} == set(AR.SECTIONS)
+
+
+def _pack(level, **parts):
+    facts = {"support_level": level, "official_total": 1234567.0, "cell_count": 10, "allowed": ["Yes."], "caution": ["No."]}
+    hot = {"n_priority_cells": 3, "interpretation": "Look first.", "stable_examples": [{"cell_id": "z1"}, {"cell_id": "z2"}], "caution_examples": []}
+    return {"area_name": "Town", "city_summary": facts, "hotspot_summary": hot, "evidence_sources": ["registry"], **parts}
+
+
+_PACK = (
+    "request_id string, mode string, language string, question string, area_name string, evidence_sources array<string>, missing_artifacts array<string>, "
+    "city_summary struct<support_level: string, official_total: double, cell_count: long, allowed: array<string>, caution: array<string>>, "
+    "hotspot_summary struct<n_priority_cells: long, interpretation: string, stable_examples: array<struct<cell_id: string>>, caution_examples: array<struct<cell_id: string>>>, "
+    "cell_evidence struct<found: boolean, requested_cell: string, p50: double, reason: string>, city_comparison struct<highest_confidence: string, highest_uncertainty: string>"
+)
+
+
+def _render(spark, rows):
+    names = [x.name for x in spark.createDataFrame([], _PACK).schema]
+    return {r.request_id: r for r in A.render_answers(spark.createDataFrame([{n: x.get(n) for n in names} for x in rows], _PACK)).collect()}
+
+
+def test_sections_follow_support_and_evidence(spark):
+    rows = [dict(_pack(level), request_id=f"{level}-{mode}", mode=mode, language="en", question="q") for level in ("full", "basic", "partial", "unknown") for mode in ("city_brief", "hotspot_review")]
+    rows.append({"request_id": "bare", "mode": "explain_cell"})
+    rows.append(dict(_pack("full"), request_id="lost", mode="city_brief", language="de", missing_artifacts=["a", "b"]))
+    got = _render(spark, rows)
+    full = got["full-city_brief"].answer
+    assert [x for x in full.split("\n\n")][0] == "Summary:\nTown: estimates by cell come with intervals, confidence bands and screening classes."
+    assert [x.split(":\n")[0] for x in full.split("\n\n")] == ["Summary", "Evidence", "Reading the classes", "Reading the intervals", "Fit to say", "Not fit to say", "Limits", "What to check next"]
+    assert "- Total that the cells add up to: 1,234,567." in full and "no value of cells high" in full
+    assert len(got["full-city_brief"].structured_sections.evidence) == 6 and len(got["basic-city_brief"].structured_sections.evidence) == 3
+    assert len({got[f"{x}-city_brief"].structured_sections.summary for x in ("full", "basic", "partial", "unknown")}) == 4
+    assert "Stable examples:\n- z1\n- z2\n\nLimits" in got["full-hotspot_review"].answer  # no caution examples, no heading
+    assert got["basic-hotspot_review"].structured_sections.evidence == []
+    assert got["bare"].structured_sections.summary == "This area: the cell was not found. no value"
+    assert "Some evidence is missing: a, b." in got["lost"].claim_boundary_notes and "is in English" in got["lost"].answer
+    assert [got[x].confidence_of_answer for x in ("full-city_brief", "basic-city_brief", "partial-city_brief", "lost")] == ["high", "medium", "low", "medium"]
+
+
+def test_answers_pass_their_own_check(spark):
+    cell = {"found": True, "requested_cell": "z1", "p50": 2.5, "reason": None}
+    rows = [
+        dict(_pack(level, cell_evidence=cell, city_comparison={"highest_confidence": "A", "highest_uncertainty": "B"}), request_id=f"{level}-{mode}-{language}", mode=mode, language=language, question="policy", missing_artifacts=["x"])
+        for level in ("full", "basic", "partial", "unknown") for mode in A.ANSWER_MODES for language in ("en", "ru")
+    ]
+    names = [x.name for x in spark.createDataFrame([], _PACK).schema]
+    out = X.check_responses(A.render_answers(spark.createDataFrame([{n: x.get(n) for n in names} for x in rows], _PACK)))
+    assert [(r.request_id, r.violations, r.grounding_issues) for r in out.where("not passed").collect()] == []
