@@ -37,17 +37,23 @@ def _shuffle_files_end_with_the_write(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
 
+def new_folder(spark: SparkSession, name: str = "folder") -> str:
+    """A path in the shared folder that nothing lies at yet; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
 def write_table(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once and return a reader of it: lineage ends here and lost executors cost no rerun.
 
     The files live until ``drop_table`` or until the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     with _shuffle_files_end_with_the_write(spark):
         df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from gridspark.operators import answer_rules as R
+from gridspark.operators import answer_store as ST
 from gridspark.operators import answers as A
+from gridspark.storage import new_folder
 from suite import views as V
 from suite.registry import query
 
@@ -192,3 +194,39 @@ _STATEMENT = (
 @query("l11_answer_text", _STATEMENT)
 def l11(spark, sf):
     return A.render_answers(answer_packs(spark, sf)).select("request_id", "mode", "answer_kind", "language", "answer", "confidence_of_answer")
+
+
+@query(
+    "x08_upsert_store",
+    "with e as (select conv_id || '-' || turn % 3 cache_id, turn * 2 + (case when \"role\" = 'user' then 1 else 0 end) created_at, coalesce(\"text\", '') answer, \"role\" said from conversations) "
+    "select cache_id, max(created_at) created_at, arg_max(answer, (created_at, answer)) answer, count(distinct said) speakers from e group by cache_id",
+)
+def x08(spark, sf):
+    """Two batches go to the store, then the first one again; what each key holds at last."""
+    e = V.table(spark, sf, "conversations").select(
+        F.concat_ws("-", F.col("conv_id"), F.col("turn") % 3).alias("cache_id"),
+        (F.col("turn") * 2 + (F.col("role") == "user").cast("int")).alias("created_at"),
+        F.coalesce("text", F.lit("")).alias("answer"),
+        F.col("role").alias("said"),
+    )
+    path = new_folder(spark, "answers")
+    for batch in (e.where("said = 'user'"), e.where("not said <=> 'user'"), e.where("said = 'user'")):
+        ST.upsert(batch.drop("said"), path, 16)
+    speakers = e.groupBy("cache_id").agg(F.count_distinct("said").alias("speakers"))
+    return ST.read_store(spark, path).join(speakers, "cache_id")
+
+
+@query(
+    "x18_write_back",
+    "select " + f"[{', '.join(_quote(m) for m in MODES)}][conv_id % {len(MODES)} + 1] as mode, count(distinct (conv_id % 25, conv_id % 3, lower(trim(regexp_replace(coalesce(\"text\", ''), '\\s+', ' ', 'g'))))) entries, 0::bigint asked_again_missed "
+    "from conversations where conv_id % 25 in (select c_nationkey from customer) group by 1",
+)
+def x18(spark, sf):
+    """Answers of all turns go to the store; asked again, every question is found there."""
+    p = answer_packs(spark, sf).withColumns({"area": F.col("area_id").cast("string"), "evidence_hash": F.concat_ws("-", F.lit("h"), F.col("language")), "at": F.length("request_id")})
+    path = new_folder(spark, "answers")
+    ST.upsert(ST.batch_entries(A.answer_batch(p), p, F.col("at")), path, 16)
+    store = ST.read_store(spark, path)
+    exact = A.answer_batch(p, store)
+    missed = exact.groupBy("mode").agg(F.count_if(~F.col("cache_hit")).alias("asked_again_missed"))
+    return store.groupBy("mode").agg(F.count(F.lit(1)).alias("entries")).join(missed, "mode")
