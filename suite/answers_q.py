@@ -230,3 +230,36 @@ def x18(spark, sf):
     exact = A.answer_batch(p, store)
     missed = exact.groupBy("mode").agg(F.count_if(~F.col("cache_hit")).alias("asked_again_missed"))
     return store.groupBy("mode").agg(F.count(F.lit(1)).alias("entries")).join(missed, "mode")
+
+
+OUTPUT = '{"answer": "A bounded reading of limited evidence for the area; values are proxy estimates and need manual review before use.", "claim_boundary_notes": ["limited"]}'
+
+
+@query(
+    "x16_configurations",
+    "with k as (select conv_id, any_value(conv_id % 25) a from conversations where conv_id % 25 in (select c_nationkey from customer) group by 1), "
+    "c as (select * from (values ('fallback_only'), ('model_with_fallback'), ('fallback_with_cache'), ('claim_checker_only')) t(config)) "
+    "select config, case when config = 'fallback_with_cache' and conv_id % 2 = 0 then 'cache' when config = 'model_with_fallback' and conv_id % 3 = 0 then 'model' else 'fallback' end provider_used, "
+    "count(*) cases, count(*) passed from k, c group by 1, 2",
+)
+def x16(spark, sf):
+    """One case per conversation in four configurations: the store knows even ones, a model answered every third."""
+    one = V.table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    cases = one.where(F.col("turn").isNotNull()).select(
+        F.col("conv_id").cast("string").alias("question_id"),
+        (F.col("conv_id") % 25).alias("area_id"),
+        F.lit("city_brief").alias("mode"),
+        F.lit("en").alias("language"),
+        F.md5(F.col("conv_id").cast("string")).alias("question"),  # no two are alike
+        F.lit("brief").alias("category"),
+        F.lit("").alias("must_mention"),
+        F.lit("").alias("forbidden_claim_trigger"),
+    )
+    known = answer_packs(spark, sf).groupBy("area_id").agg(*[F.first(c).alias(c) for c in ("area_name", "city_summary", "hotspot_summary", "confidence_summary", "uncertainty_summary")])
+    extra = {"area": F.col("area_id").cast("string"), "evidence_hash": F.lit("h"), "missing_artifacts": F.array().cast("array<string>"), "evidence_sources": F.array(F.lit("registry"))}
+    packs_of = lambda asked: asked.join(known, "area_id").withColumns(extra)
+    even = packs_of(cases.where("cast(question_id as bigint) % 2 = 0").withColumn("request_id", F.col("question_id")))
+    store = ST.batch_entries(A.answer_batch(even), even, F.lit(1))
+    outputs = cases.where("cast(question_id as bigint) % 3 = 0").select("question_id", F.lit(OUTPUT).alias("raw_text"))
+    scored = A.run_eval(cases, packs_of, store=store, outputs=outputs)
+    return scored.groupBy("config", "provider_used").agg(F.count(F.lit(1)).alias("cases"), F.count_if("passed").alias("passed"))
