@@ -6,12 +6,14 @@ first to its last child, and its hash is over the children's hashes in order and
 at their roots; only below nodes whose hashes differ are children looked at, level by level, down to the records.
 
 Records keep the place that the manifest (the leaves of the reference replica) gives them, so a lost or a longer
-record leaves its neighbours' places alone. Offsets come from a distributed running sum (range-partitioned parts, one
+record leaves its neighbours' places alone. A record of a replica takes the place of an equal record with its identifier; what
+is left of an identifier on both sides is paired in order of digests, and records that no place is left for come after the
+last. Neither files nor partitions of a replica matter. Offsets come from a distributed running sum (range-partitioned parts, one
 sum per part). A level is a map-side combined grouping of at most ``FAN`` rows a group, a level's table is 1/``FAN`` of
 the one below, and a descent joins a level with the few mismatching parents.
 
 Defined results: null columns of a page are empty in its record, a null identifier comes first. Repeated rows are
-records of their own. An empty archive has no tree; two of them have no faults.
+records of their own, told apart by number among those of one identifier and digest. An empty archive has no tree; two of them have no faults.
 """
 
 from __future__ import annotations
@@ -89,13 +91,39 @@ def _leaf(found: DataFrame, *keep: str) -> DataFrame:
 def manifest(found: DataFrame) -> DataFrame:
     """Leaves in the order of ``page_id``: ``page_id, row, pos, offset, length, digest``, places and offsets from 0."""
     leaves = _leaf(found, "page_id", "row")
-    placed = running_totals(leaves, [], [("page_id", True), ("row", True)], F.col("length"))
+    placed = running_totals(leaves, [], [("page_id", True), ("digest", True), ("row", True)], F.col("length"))
     return write_table(placed.select("page_id", "row", (F.col("_pos") - 1).alias("pos"), F.col("_before").alias("offset"), "length", "digest"), "manifest")
 
 
+def _numbered(leaves: DataFrame, place: str, *of: str) -> DataFrame:
+    """``_n``: the number of a leaf among those equal in ``of``, which follow each other in the order of ``place``."""
+    keyed = leaves.withColumn("_id", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    first = keyed.groupBy(*of).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_many")).where("_many > 1").drop("_many")
+    return keyed.join(first, list(of), "left").withColumn("_n", F.coalesce(F.col(place) - F.col("_first"), F.lit(0))).drop("_first")
+
+
 def leaves_by(found: DataFrame, reference: DataFrame) -> DataFrame:
-    """A replica's leaves at the places that the reference manifest gives to their records."""
-    return write_table(_leaf(found, "row").join(reference.select("row", "page_id", "pos", "offset"), "row"), "leaves")
+    """A replica's leaves at the places of the reference manifest; records without a place come after its last one."""
+    equal, near = ["_id", "digest", "_n"], ["_id", "_n"]
+    ours = write_table(_numbered(reference, "pos", "_id", "digest"), "ours")
+    theirs = write_table(_numbered(manifest(found), "pos", "_id", "digest"), "theirs")
+    columns = ["page_id", "row", "pos", "offset", "length", "digest"]
+    place = ours.select(*equal, F.col("pos").alias("_to"), F.col("offset").alias("_at"))
+    same = theirs.join(place, equal).withColumns({"pos": F.col("_to"), "offset": F.col("_at")}).select(*columns)
+
+    def rest(one: DataFrame, other: DataFrame) -> DataFrame:
+        left = one.join(other.select(*equal), equal, "left_anti").select(*columns)
+        in_order = running_totals(left, [], [("page_id", True), ("pos", True)], F.col("length"))
+        return write_table(_numbered(in_order, "_pos", "_id"), "rest")
+
+    free, late = rest(ours, theirs), rest(theirs, ours)
+    place = free.select(*near, F.col("pos").alias("_to"), F.col("offset").alias("_at"))
+    paired = late.join(place, near, "left").drop("_pos", "_before")
+    altered = paired.where("_to is not null").withColumns({"pos": F.col("_to"), "offset": F.col("_at")}).select(*columns)
+    end = reference.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("_end"), F.coalesce(F.max(F.col("offset") + F.col("length")), F.lit(0)).alias("_stop"))
+    added = running_totals(paired.where("_to is null").select(*columns), [], [("page_id", True), ("pos", True)], F.col("length"))
+    added = added.crossJoin(F.broadcast(end)).withColumns({"pos": F.col("_end") + F.col("_pos") - 1, "offset": F.col("_stop") + F.col("_before")}).select(*columns)
+    return write_table(same.unionByName(altered).unionByName(added), "leaves")
 
 
 def tree(leaves: DataFrame, height: int) -> list[DataFrame]:

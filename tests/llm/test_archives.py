@@ -29,6 +29,23 @@ def test_faults_are_located(pages):
     assert {r.page_id for r in lost if r.fault == "extra"} == {500}
 
 
+def test_partitions_do_not_matter_and_added_records_are_found(pages):
+    ours = manifest(records(pages))
+    assert audit(ours, leaves_by(records(pages.repartition(5, "url")), ours)).collect() == []
+    more = pages.where("page_id in (40, 77)").withColumn("html", F.lit("new"))
+    other = pages.where("page_id = 500").withColumn("page_id", F.lit(100_000))
+    second = records(pages.unionByName(more).unionByName(other).repartition(3))
+    faults = audit(ours, leaves_by(second, ours)).orderBy("pos").collect()
+    n, stop = ours.count(), ours.agg(F.sum("length")).first()[0]
+    assert [(r.page_id, r.fault, r.pos) for r in faults] == [(40, "extra", n), (77, "extra", n + 1), (100_000, "extra", n + 2)]
+    assert [r.offset for r in faults] == [stop, stop + faults[0].found_length, stop + faults[0].found_length + faults[1].found_length]
+    changed = F.when(F.col("url") == "again", F.concat(F.col("html"), F.lit("!"))).otherwise(F.col("html"))
+    again = records(pages.withColumn("html", changed).repartition(4))
+    assert {(r.page_id, r.fault) for r in audit(ours, leaves_by(again, ours)).collect()} == {(3, "altered")}
+    none = ours.where("false")
+    assert {r.fault for r in audit(none, leaves_by(records(pages), none)).collect()} == {"extra"}
+
+
 def test_manifest_is_gapless(pages):
     rows = manifest(records(pages)).orderBy("pos").collect()
     at = 0
