@@ -12,7 +12,7 @@ from gridspark.llm import statements
 from gridspark.llm.common import read
 from gridspark.llm.exact_dedup import exact_dedup
 from gridspark.llm.html import extract_pages
-from gridspark.llm.licenses import LEAST, SIGNAL, TEMPLATES, scan
+from gridspark.llm.licenses import BLOCK as BLOCK_GAP, LEAST, PARAGRAPH, SIGNAL, TEMPLATES, scan
 from gridspark.llm.packing import pack_documents
 from gridspark.llm.prefix_trie import BLOCK, HEADS, prefix_trie
 from gridspark.llm.pu_quality import quality_scores
@@ -115,17 +115,21 @@ LICENSE_SQL = rf"""
         select doc_id, concat_ws('/', source, lang, 'd' || (doc_id // 5000), 'd' || (doc_id // 500),
                case when doc_id % 50 = 0 then 'LICENSE.' || doc_id else doc_id || '.txt' end) as path, text
         from documents
-    ), lines as (select doc_id, unnest(string_split(text, chr(10))) as line from files),
-    each as (
-        select distinct doc_id, array_to_string(regexp_extract_all(lower(line), '[a-z0-9]+'), ' ') as notice
-        from lines where regexp_matches(line, '{SIGNAL}')
+    ), parts as (
+        select doc_id, unnest(string_split(text, chr(10))) as part from files
+        union select doc_id, unnest(regexp_split_to_array(text, '{PARAGRAPH}')) from files
+        union select doc_id, unnest(regexp_split_to_array(text, '{BLOCK_GAP}')) from files
+        union select doc_id, text from files where doc_id % 50 = 0
+    ), each as (
+        select distinct doc_id, array_to_string(regexp_extract_all(lower(part), '[a-z0-9]+'), ' ') as notice
+        from parts where regexp_matches(part, '{SIGNAL}')
     ), counted as (select notice, count(*) as n from each where notice <> '' group by 1),
     term as (select notice, n, term, count(*) as tf from (select notice, n, unnest(string_split(notice, ' ')) as term from counted) group by all),
     total as (select sum(n) as total from counted),
     df as (select term, sum(n) as df from term group by 1),
     weighed as (select notice, term, (1 + ln(tf)) * (1 + ln((1 + total) / (1 + df))) as w from term join df using (term), total),
     norm as (select notice, sqrt(sum(w * w)) as norm from weighed group by 1),
-    template(license, number, line) as (values {", ".join("('%s', %d, '%s')" % (k, i, x) for k, v in TEMPLATES.items() for i, x in enumerate(v))}),
+    template(license, number, line) as (values {", ".join("('%s', %d, '%s')" % (k, i, x.replace("'", "''")) for k, v in TEMPLATES.items() for i, x in enumerate(v))}),
     tterm as (select license, number, term, count(*) as tf from (select license, number, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) as term from template) group by all),
     vector as (select license, number, term, (1 + ln(tf)) * (1 + ln((1 + total) / (1 + coalesce(df, 0)))) as t from tterm left join df using (term), total),
     length as (select license, number, sqrt(sum(t * t)) as length from vector group by all),

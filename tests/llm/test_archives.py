@@ -1,7 +1,9 @@
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.llm.licenses import folders, scan
+from gridspark.llm.licenses import APACHE, BSD, BSD_NAMES, DISCLAIMER, ISC, folders, scan
 from gridspark.llm.warc import audit, leaves_by, manifest, read_warc, records, tree, write_warc
 
 PAGES = "page_id long, url string, html string, length string"
@@ -122,3 +124,66 @@ def test_root_licence_reaches_everything(spark):
 def test_scan_without_notices_or_rows(spark):
     df = spark.createDataFrame([(1, "a/b", "plain")], "doc_id long, path string, text string")
     assert [(r.license, r.origin) for r in scan(df).collect()] == [(None, None)] and scan(df.where("false")).collect() == []
+
+
+MIT_BODY = """Copyright (c) 2019 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+
+
+def gnu_header(mark, name, version):
+    return (
+        f"{mark} frob.c - frobs things\n{mark}\n{mark} This program is free software; you can redistribute it and/or modify\n"
+        f"{mark} it under the terms of the GNU {name} as published by\n{mark} the Free Software Foundation; either version {version} of the License, or\n"
+        f"{mark} (at your option) any later version.\n{mark}\n{mark} This program is distributed in the hope that it will be useful,\n"
+        f"{mark} but WITHOUT ANY WARRANTY; without even the implied warranty of\n{mark} MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.\n\nint main() {{ return 0; }}\n"
+    )
+
+
+def bsd(wrap, names):
+    text = BSD + (BSD_NAMES if names else "") + DISCLAIMER
+    lines = textwrap.wrap(text, wrap)
+    return "/*\n * Copyright 2001 The Holders. All rights reserved.\n" + "".join(f" * {line}\n" for line in lines) + " */\n\nint x;\n"
+
+
+def test_wrapped_headers_and_whole_texts(spark):
+    """Notices that no single line tells: wrapped headers under comment marks, titles over two lines, bodies of several paragraphs."""
+    prose = "words of a story that has no end and goes on and on\n" * 40
+    rows = [
+        (1, "a/x.c", gnu_header(" *", "General Public License", "3"), "GPL-3.0"),
+        (2, "a/y.sh", gnu_header("#", "General Public License", "2"), "GPL-2.0"),
+        (3, "a/z.py", gnu_header("//", "Affero General Public License", "3"), "AGPL-3.0"),
+        (4, "a/l.c", gnu_header("--", "Lesser General Public License", "2.1"), "LGPL-2.1"),
+        (5, "b/LICENSE", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + prose, "GPL-3.0"),
+        (6, "c/COPYING", "\tGNU GENERAL PUBLIC LICENSE\n\t   Version 2, June 1991\n\n" + prose, "GPL-2.0"),
+        (7, "d/LICENSE.txt", MIT_BODY, "MIT"),
+        (8, "e/f.c", bsd(60, True), "BSD-3-Clause"),
+        (9, "e/g.c", bsd(72, False), "BSD-2-Clause"),
+        (10, "h/LICENSE", "\n\n".join(textwrap.wrap(ISC, 50)), "ISC"),
+        (11, "i/f.go", "// " + "\n// ".join(textwrap.wrap(APACHE, 70)) + "\npackage i\n", "Apache-2.0"),
+        (12, "j/f.txt", prose + "Released under the MIT License.\n" + prose, "MIT"),
+        (13, "k/f.txt", prose + "the warranty of a story is no license, nor is its permission\n" + prose, None),
+        (14, "d/deep/er/f.txt", prose, "MIT"),
+        (15, "l/LICENSE", None, None),
+        (16, "l/f.txt", "license " * 30_000, None),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")
+    assert {r.doc_id: r.license for r in scan(df).collect()} == {r[0]: r[3] for r in rows}
+
+
+def test_equal_scores_give_the_first_license(spark):
+    df = spark.createDataFrame([(1, "a/f", "Released under the MIT License\nReleased under the ISC License")], "doc_id long, path string, text string")
+    assert [r.license for r in scan(df).collect()] == ["ISC"]
