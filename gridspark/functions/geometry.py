@@ -246,6 +246,24 @@ def path_segments(path: Column) -> Column:
     return _segments(path, False)
 
 
+def ring_edges(ring: Column) -> Column:
+    return _segments(ring, True)
+
+
+def strip_range(segments: Column, x0: Column, x1: Column) -> Column:
+    """Lowest and highest ``y`` (struct ``lo, hi``; null without any) of segments between two vertical lines, borders included."""
+
+    def within(s):
+        at = lambda x, y: y + (F.least(F.greatest(x, x0), x1) - x) * F.coalesce(F.try_divide(s["y1"] - s["y0"], s["x1"] - s["x0"]), F.lit(0.0))
+        meets = (F.greatest(s["x0"], s["x1"]) >= x0) & (F.least(s["x0"], s["x1"]) <= x1)
+        a, b = at(s["x0"], s["y0"]), at(s["x1"], s["y1"])
+        return F.when(meets, F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")))
+
+    none = F.lit(None).cast("struct<lo:double,hi:double>")
+    wider = lambda acc, v: F.when(v.isNull(), acc).otherwise(F.struct(F.least(acc["lo"], v["lo"]).alias("lo"), F.greatest(acc["hi"], v["hi"]).alias("hi")))
+    return F.aggregate(F.transform(segments, within), none, wider)
+
+
 def clipped_length(path: Column, planes: Column) -> Column:
     def inside(s):
         share = segment_share(s["x0"], s["y0"], s["x1"], s["y1"], planes)

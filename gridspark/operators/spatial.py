@@ -182,8 +182,37 @@ def levels(objects: DataFrame, fallback: float = 1.0) -> DataFrame:
     )
 
 
+def reached_cells(placed: DataFrame, size_m: float) -> DataFrame:
+    """Objects with their boxes (``_bminx`` to ``_bmaxy``), ``_rect`` and grid (``_minx, _miny, _n_cols, _n_rows``), one row per cell they can meet.
+
+    An object becomes one row per grid column first; there its own edges between the column's borders tell the rows of
+    the grid it reaches, so a long thin object costs as many cells as it crosses, not as its bounding box holds. Adds
+    ``grid_col, grid_row`` and the cell's lower corner ``_x0, _y0``.
+    """
+
+    def span(lo, hi, origin, n):
+        first = F.greatest(F.ceil((F.col(lo) - F.col(origin)) / size_m) - 1, F.lit(0))
+        last = F.least(F.floor((F.col(hi) - F.col(origin)) / size_m), F.col(n) - 1)
+        return F.when(first <= last, F.sequence(first, last))
+
+    g, kind = F.col("geom"), F.col("kind")
+    # edges are cut at the borders with rounding: a hair more is looked at, and the cell decides
+    hair = 1e-6 * size_m
+    edges_of = F.when(kind == "polygon", G.ring_edges(g)).otherwise(G.path_segments(g))
+    wide = (kind != "point") & ~F.col("_rect") & (F.col("_bmaxx") - F.col("_bminx") > size_m) & (F.col("_bmaxy") - F.col("_bminy") > size_m)
+    reach = F.when(wide, G.strip_range(edges_of, F.col("_x0") - hair, F.col("_x0") + size_m + hair))
+    return (
+        placed.withColumn("grid_col", F.explode(span("_bminx", "_bmaxx", "_minx", "_n_cols")))
+        .withColumn("_x0", F.col("_minx") + F.col("grid_col") * size_m)
+        .withColumn("_reach", F.explode(F.array(reach)))  # a generator: computed once per column, not once per border
+        .withColumns({"_low": F.coalesce(F.col("_reach.lo") - hair, "_bminy"), "_high": F.coalesce(F.col("_reach.hi") + hair, "_bmaxy")})
+        .withColumn("grid_row", F.explode(span("_low", "_high", "_miny", "_n_rows")))
+        .withColumn("_y0", F.col("_miny") + F.col("grid_row") * size_m)
+    )
+
+
 def bin_objects(objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE, scope: Scope = AREA) -> DataFrame:
-    """Objects exploded to every cell their bounding box meets, with the exact measure in that cell.
+    """Objects exploded to the cells they can meet, with the exact measure in that cell.
 
     Adds ``grid_col, grid_row, touches, measure`` (area of polygons, length of lines, 0 for points).
     Without a boundary nothing is joined but the one-row-per-area grid parameters. With one, the cells that it meets
@@ -203,16 +232,7 @@ def bin_objects(objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE,
     )
     placed = attach(sized, shaped, scope, "inner")
 
-    def span(lo, hi, origin, n):
-        first = F.greatest(F.ceil((F.col(lo) - F.col(origin)) / size_m) - 1, F.lit(0))
-        last = F.least(F.floor((F.col(hi) - F.col(origin)) / size_m), F.col(n) - 1)
-        return F.when(first <= last, F.sequence(first, last))
-
-    exploded = (
-        placed.withColumn("grid_col", F.explode(span("_bminx", "_bmaxx", "_minx", "_n_cols")))
-        .withColumn("grid_row", F.explode(span("_bminy", "_bmaxy", "_miny", "_n_rows")))
-        .withColumns({"_x0": F.col("_minx") + F.col("grid_col") * size_m, "_y0": F.col("_miny") + F.col("grid_row") * size_m})
-    )
+    exploded = reached_cells(placed, size_m)
     x0, y0, x1, y1 = F.col("_x0"), F.col("_y0"), F.col("_x0") + size_m, F.col("_y0") + size_m
     planes = G.box_planes(x0, y0, x1, y1)
     region, edges = F.lit(None).cast("array<struct<x:double,y:double>>"), F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")

@@ -202,3 +202,52 @@ def test_building_in_the_arm_of_an_l(spark):
     cells = P.make_grid(a, 500.0)
     assert P.measure_in_cells(cells, house, a, 500.0).agg(F.sum("object_measure")).first()[0] == pytest.approx(10_000.0)
     assert P.count_in_cells(cells, house, a, 500.0).agg(F.sum("object_count")).first()[0] == 1
+
+
+def test_long_objects_cost_the_cells_they_cross(spark):
+    """A diagonal over 400 x 400 cells, a zigzag, a thin slanted ring, a ring with an arm and a point, against every cell of the grid."""
+    wide = spark.createDataFrame([(1, 0.0, 0.0, 40_000.0, 40_000.0)], "area_id long, minx double, miny double, maxx double, maxy double")
+    shape = f"area_id long, obj_id string, layer string, kind string, geom {PT}"
+    diagonal = (1, "d", "roads", "line", [(0.0, 0.0), (40_000.0, 39_950.0)])
+    b = {f"_b{k}": v for k, v in G.bounds(F.col("geom")).items()}
+    row = spark.createDataFrame([diagonal], shape).withColumns(b).selectExpr("*", "0d as _minx", "0d as _miny", "400L as _n_cols", "400L as _n_rows", "false as _rect")
+    assert 799 <= P.reached_cells(row, 100.0).count() < 1600
+    bins = P.bin_objects(spark.createDataFrame([diagonal], shape), wide, 100.0)
+    assert bins.count() <= 801 and bins.agg(F.sum("measure")).first()[0] == pytest.approx(math.hypot(40_000, 39_950))
+
+    area = spark.createDataFrame([(1, 0.0, 0.0, 1000.0, 1000.0)], "area_id long, minx double, miny double, maxx double, maxy double")
+    rows = [
+        (1, "z", "roads", "line", [(10.0, 10.0), (990.0, 480.0), (15.0, 500.0), (15.0, 900.0), (700.0, 100.0)]),
+        (1, "on", "roads", "line", [(100.0, 100.0), (300.0, 300.0), (300.0, 600.0)]),
+        (1, "thin", "buildings", "polygon", [(5.0, 5.0), (980.0, 950.0), (960.0, 970.0)]),
+        (1, "arm", "buildings", "polygon", [(110.0, 110.0), (890.0, 110.0), (890.0, 190.0), (250.0, 190.0), (250.0, 870.0), (110.0, 870.0)]),
+    ]
+    objs = spark.createDataFrame(rows, shape)
+    got = {(r.obj_id, r.grid_col, r.grid_row): r.measure for r in P.bin_objects(objs, area, 100.0).collect()}
+    cell = lambda c, r: (c * 100.0, r * 100.0, c * 100.0 + 100.0, r * 100.0 + 100.0)
+    want = {}
+    for _, name, _, kind, pts in rows:
+        edges = list(zip(pts, pts[1:] + (pts[:1] if kind == "polygon" else []), strict=False))
+        for c in range(10):
+            for r in range(10):
+                x0, y0, x1, y1 = cell(c, r)
+                inside = 0.0
+                touch = False
+                for (ax, ay), (bx, by) in edges:
+                    lo, hi = 0.0, 1.0
+                    for d, start in ((ax - bx, ax - x0), (bx - ax, x1 - ax), (ay - by, ay - y0), (by - ay, y1 - ay)):
+                        if d == 0:
+                            lo = 2.0 if start < 0 else lo
+                        elif d > 0:
+                            hi = min(hi, start / d)
+                        else:
+                            lo = max(lo, start / d)
+                    touch |= lo <= hi
+                    inside += max(0.0, hi - lo) * math.hypot(bx - ax, by - ay)
+                if kind == "polygon":
+                    part = clip(list(pts), x0, y0, x1, y1)
+                    inside = polygon_area(part) if len(part) > 2 else 0.0
+                if touch or inside > 0:
+                    want[(name, c, r)] = inside
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
