@@ -1,16 +1,15 @@
 """Answer store, similarity lookup, lexical retrieval and snippets.
 
 Similarity uses the longest-matching-block ratio of ``difflib``. It has no SQL form, so pairs are scored
-in Arrow batches, but Spark decides which pairs meet. Stored answers: both sides are cut into blocks of bounded size
-and every (block, block) cell is its own small group; exact upper bounds (length, character counts) drop pairs before they
-are scored. Retrieval: token postings and lower bounds leave few pairs. Only the best per request leaves a task.
+in Arrow batches, but Spark decides which pairs meet. Stored answers: a request meets the entries that share one of its
+rarest grams, which all that can reach the threshold do; exact upper bounds (length, character counts) drop more before
+they are scored. Retrieval: token postings and lower bounds leave few pairs. Only the best per request leaves a task.
 """
 
 from __future__ import annotations
 
 import difflib
 import heapq
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,7 +22,6 @@ from gridspark.operators.textaudit import STORE_VERSION, check_responses
 from gridspark.scope import Scope, materialize, spread, top_k
 
 SIMILARITY = 0.86
-BLOCK_ROWS = 4_000
 CONTEXT = ("area_norm", "mode", "language", "evidence_hash")
 
 # Key parts that mark a secret.
@@ -130,13 +128,73 @@ def _asked(requests: DataFrame) -> DataFrame:
     )
 
 
+def _gram_size(threshold: float) -> int:
+    return next(q for q in (3, 2, 1) if (2 * q - 1) * threshold / 2 - (q - 1) >= 0.1 or q == 1)
+
+
+def _least_shared(length: Column, q: int, threshold: float) -> Column:
+    """Grams that a text of ``length`` shares at least with any other one at ``threshold``.
+
+    With ``m`` matched characters each of the ``length - m`` unmatched ones breaks at most ``q`` grams and each of the partner's
+    at most ``q - 1``; ``m`` is at least ``threshold / 2`` of both lengths, and the partner has at least ``threshold / (2 - threshold)``
+    of this length.
+    """
+    both = length * (1 + threshold / (2 - threshold))
+    return F.ceil(both * ((2 * q - 1) * threshold / 2 - (q - 1)) - (q - 1) - 1e-9)
+
+
+def _grams(texts: DataFrame, q: int) -> DataFrame:
+    """``_ctx, id, n, gram, c``: a text's length, and its grams of ``q`` characters with their number."""
+    n = F.length("text")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(q)))
+    return texts.select("_ctx", "id", n.alias("n"), F.explode(cut).alias("gram")).groupBy("_ctx", "id", "n", "gram").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _sizes(texts: DataFrame, threshold: float) -> list[tuple[int, DataFrame]]:
+    """Texts by the sizes of grams they are cut to: all to ``q``; what is too short for a guarantee there also to single characters."""
+    q = _gram_size(threshold)
+    short = texts.where(_least_shared(F.length("text"), q, threshold) < 1)
+    return [(q, texts.where(F.length("text") >= q)), *([(1, short)] if q > 1 else [])]
+
+
+def gram_counts(texts: DataFrame, threshold: float) -> DataFrame:
+    """``gram, df``: texts that hold a gram."""
+    parts = [_grams(part, q).groupBy("gram").agg(F.count(F.lit(1)).alias("df")) for q, part in _sizes(texts, threshold)]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def prefix_grams(texts: DataFrame, rare: DataFrame, threshold: float) -> DataFrame:
+    """``_ctx, gram, k, id, n``: the rarest grams of texts ``(_ctx, id, text)``, ``k`` numbering a gram's repeats in its text.
+
+    Two texts that share ``t`` grams share one among the first ``grams - t + 1`` of each in any common order. The order is from rare to
+    common, ``t`` the least of ``_least_shared``, so texts that meet in no gram cannot reach the threshold.
+    """
+    out = []
+    for q, part in _sizes(texts, threshold):
+        each = _grams(part, q).join(rare, "gram").groupBy("_ctx", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "c"))).alias("g"))
+        every = F.flatten(F.transform("g", lambda x: F.transform(F.sequence(F.lit(1).cast("bigint"), x["c"]), lambda k: F.struct(x["gram"].alias("gram"), k.alias("k")))))
+        least = F.greatest(_least_shared(F.col("n"), q, threshold), F.lit(1))
+        first = each.withColumn("g", every).withColumn("g", F.slice("g", F.lit(1), F.greatest(F.size("g") - least + 1, F.lit(0)).cast("int")))
+        out.append(first.select("_ctx", F.inline("g"), "id", "n"))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def similar_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: pairs that share a prefix gram and whose lengths allow the threshold, each once."""
+    a = left.select("_ctx", "gram", "k", F.col("id").alias("a"), F.col("n").alias("_na"))
+    b = right.select("_ctx", "gram", "k", F.col("id").alias("b"), F.col("n").alias("_nb"))
+    fits = 2 * F.least("_na", "_nb") >= threshold * (F.col("_na") + F.col("_nb")) - 1e-9
+    return a.join(b, ["_ctx", "gram", "k"]).where(fits).select("a", "b").distinct()
+
+
 def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """X09. Best safe stored answer per request in the same area, mode, language and evidence hash.
 
     ``requests`` has ``request_id, area, mode, language, question, evidence_hash``. Exact questions are
-    an equi-join. The rest meet store entries of their context and of a length that can reach the
-    threshold (log-scaled length bands), in cells of bounded size: a context holding a third of all
-    questions becomes many cells. Identical questions of a context are scored once.
+    an equi-join. The rest meet the store entries of their context that share one of their rarest grams
+    (``prefix_grams``) and whose length can reach the threshold: no other entry can. A context that holds a third
+    of all questions is many keys, one per gram, and what is common comes last in the order of grams.
+    Identical questions of a context are scored once.
     """
     ctx = list(CONTEXT)
     store = materialize(store)  # read by the exact join, the blocks, and the final check
@@ -148,44 +206,28 @@ def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIM
     open_q = req.where(F.col("question_norm") != "").join(exact.select("request_id"), "request_id", "left_anti")
     asked = open_q.select(*ctx, "question_norm").distinct().withColumn("request_id", F.sha2(F.concat_ws("\x1f", *ctx, "question_norm"), 256))
 
-    # ratio <= 2 * shorter / (sum of lengths): the longer one is at most `spread` times the shorter
-    spread = (2.0 - threshold) / threshold
-    band = lambda c: F.floor(F.ln(F.greatest(F.length(c), F.lit(1))) / math.log(spread))
-    left = asked.withColumn("_len", band("question_norm"))
-    right = distinct.where(F.col("question_norm") != "").withColumn("_len", band("question_norm"))
-    group = [*ctx, "_len"]
-    blocks = lambda df, name: df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias(name))
-    # a request meets its own band and both neighbours
-    asked = left = materialize(left)
-    near = left.withColumn("_len", F.explode(F.array(*[F.col("_len") + d for d in (-1, 0, 1)])))
-    grid = blocks(near, "_nr").join(blocks(right, "_ns"), group)
-    by_row = lambda df, row, n: F.pmod(F.xxhash64(row), F.col(n)).cast("int")
-    r_cells = (
-        near.join(grid, group)
-        .withColumn("_br", by_row(near, "request_id", "_nr"))
-        .withColumn("_bs", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1)))
-        .select(*group, "_br", "_bs", "request_id", "question_norm")
-    )
-    s_cells = (
-        right.join(grid, group)
-        .withColumn("_bs", by_row(right, "cache_id", "_ns"))
-        .withColumn("_br", F.explode(F.sequence(F.lit(0), F.col("_nr") - 1)))
-        .select(*group, "_br", "_bs", "cache_id", "question_norm")
-    )
-    cell = [*group, "_br", "_bs"]
+    context = F.xxhash64(*ctx)  # texts of other contexts that share the hash are told apart below
+    asked = materialize(asked.withColumn("_ctx", context))
+    held = materialize(distinct.where(F.col("question_norm") != "").withColumn("_ctx", context))
+    left = asked.select("_ctx", F.col("request_id").alias("id"), F.col("question_norm").alias("text"))
+    right = held.select("_ctx", F.col("cache_id").alias("id"), F.col("question_norm").alias("text"))
+    rare = materialize(gram_counts(left.unionByName(right), threshold))
+    pairs = similar_candidates(prefix_grams(left, rare, threshold), prefix_grams(right, rare, threshold), threshold)
+    one = asked.select(F.col("request_id").alias("a"), F.struct(*ctx).alias("_ca"), F.col("question_norm").alias("asked"))
+    two = held.select(F.col("cache_id").alias("b"), F.struct(*ctx).alias("_cb"), F.col("question_norm").alias("stored"))
+    both = pairs.join(one, "a").join(two, "b").where(F.col("_ca").eqNullSafe(F.col("_cb"))).select("a", "asked", "b", "stored")
 
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _best_pairs(a, b, threshold)
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for rid, own in rows.groupby("a", sort=False):
+                request = pd.DataFrame({"request_id": [rid], "question_norm": [own["asked"].iloc[0]]})
+                yield _best_pairs(request, pd.DataFrame({"cache_id": own["b"].to_numpy(), "question_norm": own["stored"].to_numpy()}), threshold)
 
-    scored = (
-        r_cells.groupBy(*cell)
-        .cogroup(s_cells.groupBy(*cell))
-        .applyInPandas(score, "request_id string, cache_id string, similarity double")
-    )
+    scored = both.mapInPandas(score, "request_id string, cache_id string, similarity double")
     best = scored.groupBy("request_id").agg(F.max_by("cache_id", F.struct("similarity", "cache_id")).alias("cache_id"), F.max("similarity").alias("similarity"))
     similar = (
         open_q.join(
-            asked.drop("_len").withColumnRenamed("request_id", "_ask").join(best.withColumnRenamed("request_id", "_ask"), "_ask"),
+            asked.drop("_ctx").withColumnRenamed("request_id", "_ask").join(best.withColumnRenamed("request_id", "_ask"), "_ask"),
             [*ctx, "question_norm"],
         )
         .select("request_id", "cache_id", F.round("similarity", 4).alias("similarity"), F.lit("similarity").alias("match_type"))

@@ -65,8 +65,31 @@ def test_model_json(spark):
     assert [r.answer for r in X.parse_outputs(df).collect()] == ["a", "b", "c", None, None, None]
 
 
-def test_similarity_lookup_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(R, "BLOCK_ROWS", 7)
+def test_candidates_lose_no_similar_pair(spark):
+    """Texts of 1 to 60 characters of a small alphabet with edits: whatever reaches the threshold is a candidate, and most pairs are not."""
+    rnd = random.Random(3)
+    base = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.choice([1, 2, 3, 5, 8, 13, 30, 60]))) for _ in range(60)]
+
+    def edit(t):
+        out = list(t)
+        for _ in range(rnd.randint(0, max(1, len(t) // 5))):
+            i = rnd.randrange(len(out) + 1)
+            out[i : i + rnd.randint(0, 1)] = rnd.choice(["", "x", "a"])
+        return "".join(out) or "a"
+
+    a = [(i % 2, f"a{i}", t) for i, t in enumerate(base)]
+    b = [(i % 2, f"b{i}", edit(t)) for i, t in enumerate(base)]
+    left, right = (spark.createDataFrame(x, "_ctx long, id string, text string") for x in (a, b))
+    for threshold in (0.86, 0.7, 0.5):
+        rare = R.gram_counts(left.unionByName(right), threshold)
+        got = {(r.a, r.b) for r in R.similar_candidates(R.prefix_grams(left, rare, threshold), R.prefix_grams(right, rare, threshold), threshold).collect()}
+        alike = {(i, j) for c, i, t in a for d, j, u in b if c == d and difflib.SequenceMatcher(None, t, u).ratio() >= threshold}
+        assert len(alike) > 20 and alike <= got
+    pairs = lambda th: R.similar_candidates(*(R.prefix_grams(x, R.gram_counts(left.unionByName(right), th), th) for x in (left, right)), th).count()
+    assert pairs(0.86) < 900  # of 1,800
+
+
+def test_similarity_lookup_equals_brute_force(spark):
     rnd = random.Random(1)
     words = ["alpha", "beta", "gamma", "delta", "cells", "surface", "interval", "share"]
     ask = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 9)))
