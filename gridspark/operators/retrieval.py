@@ -143,24 +143,20 @@ def _least_shared(length: Column, q: int, threshold: float) -> Column:
     return F.ceil(both * ((2 * q - 1) * threshold / 2 - (q - 1)) - (q - 1) - 1e-9)
 
 
-def _grams(texts: DataFrame, q: int) -> DataFrame:
-    """``_ctx, id, n, gram, c``: a text's length, and its grams of ``q`` characters with their number."""
-    n = F.length("text")
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(q)))
-    return texts.select("_ctx", "id", n.alias("n"), F.explode(cut).alias("gram")).groupBy("_ctx", "id", "n", "gram").agg(F.count(F.lit(1)).alias("c"))
-
-
-def _sizes(texts: DataFrame, threshold: float) -> list[tuple[int, DataFrame]]:
-    """Texts by the sizes of grams they are cut to: all to ``q``; what is too short for a guarantee there also to single characters."""
-    q = _gram_size(threshold)
-    short = texts.where(_least_shared(F.length("text"), q, threshold) < 1)
-    return [(q, texts.where(F.length("text") >= q)), *([(1, short)] if q > 1 else [])]
+def _grams(texts: DataFrame, threshold: float) -> DataFrame:
+    """``_ctx, id, n, q, gram, c``: a text's length, and its grams of ``q`` characters with their number. What is too short for a
+    guarantee with the usual size is also cut to single characters."""
+    q, n, text = _gram_size(threshold), F.length("text"), F.col("text")
+    cut = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.struct(F.lit(size).alias("q"), F.substring(text, i, F.lit(size)).alias("gram")))
+    none = F.array().cast("array<struct<q:int,gram:string>>")
+    usual = F.when(n >= q, cut(q)).otherwise(none)
+    short = F.when((_least_shared(n, q, threshold) < 1) & (n > 0), cut(1)).otherwise(none) if q > 1 else none
+    return texts.select("_ctx", "id", n.alias("n"), F.inline(F.concat(usual, short))).groupBy("_ctx", "id", "n", "q", "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
 def gram_counts(texts: DataFrame, threshold: float) -> DataFrame:
     """``gram, df``: texts that hold a gram."""
-    parts = [_grams(part, q).groupBy("gram").agg(F.count(F.lit(1)).alias("df")) for q, part in _sizes(texts, threshold)]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _grams(texts, threshold).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
 def prefix_grams(texts: DataFrame, rare: DataFrame, threshold: float) -> DataFrame:
@@ -169,14 +165,12 @@ def prefix_grams(texts: DataFrame, rare: DataFrame, threshold: float) -> DataFra
     Two texts that share ``t`` grams share one among the first ``grams - t + 1`` of each in any common order. The order is from rare to
     common, ``t`` the least of ``_least_shared``, so texts that meet in no gram cannot reach the threshold.
     """
-    out = []
-    for q, part in _sizes(texts, threshold):
-        each = _grams(part, q).join(rare, "gram").groupBy("_ctx", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "c"))).alias("g"))
-        every = F.flatten(F.transform("g", lambda x: F.transform(F.sequence(F.lit(1).cast("bigint"), x["c"]), lambda k: F.struct(x["gram"].alias("gram"), k.alias("k")))))
-        least = F.greatest(_least_shared(F.col("n"), q, threshold), F.lit(1))
-        first = each.withColumn("g", every).withColumn("g", F.slice("g", F.lit(1), F.greatest(F.size("g") - least + 1, F.lit(0)).cast("int")))
-        out.append(first.select("_ctx", F.inline("g"), "id", "n"))
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    q = _gram_size(threshold)
+    each = _grams(texts, threshold).join(rare, "gram").groupBy("_ctx", "id", "n", "q").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "c"))).alias("g"))
+    every = F.flatten(F.transform("g", lambda x: F.transform(F.sequence(F.lit(1).cast("bigint"), x["c"]), lambda k: F.struct(x["gram"].alias("gram"), k.alias("k")))))
+    least = F.greatest(F.when(F.col("q") == q, _least_shared(F.col("n"), q, threshold)).otherwise(_least_shared(F.col("n"), 1, threshold)), F.lit(1))
+    first = each.withColumn("g", every).withColumn("g", F.slice("g", F.lit(1), F.greatest(F.size("g") - least + 1, F.lit(0)).cast("int")))
+    return first.select("_ctx", F.inline("g"), "id", "n")
 
 
 def similar_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
