@@ -42,12 +42,12 @@ def _canonical() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     return apart, classes, pairs
 
 
-def _class(chars: Iterable[str]) -> str:
-    """A regular expression for one of the characters, written as ranges."""
+def _class(chars: Iterable[str], other: bool = False) -> str:
+    """A regular expression for one of the characters (or for any other one), written as ranges."""
     codes = sorted(map(ord, chars))
     starts = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
     ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if c != after - 1]
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+    return ("[^" if other else "[") + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
 
 
 def _map(table: Mapping[str, str]) -> Column:
@@ -58,7 +58,7 @@ def _map(table: Mapping[str, str]) -> Column:
 _ASCII_FOLD, _ASCII_LONGER = _tables("NFKD", True)
 _COMPAT_FOLD, _COMPAT_LONGER = _tables("NFKC", False)
 _APART, _MARKS, _PAIRS = _canonical()
-_MARK = _class(_MARKS)
+_MARK, _NO_MARK = _class(_MARKS), _class(_MARKS, True)
 #: Characters that may change are looked for outside these blocks of letters that never do (a test that most texts pass).
 _MAY_FOLD = r"[^\x00-\x9F\xBF-\u0131\u0388-\u03CF\u03FA-\u0482\u0488-\u0586\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3\u2010\u2012-\u2016\u2018-\u2023]"
 
@@ -75,8 +75,12 @@ def _chars(c: Column) -> Column:
 
 
 def _expand(c: Column, longer: Mapping[str, str]) -> Column:
-    """Characters whose form is longer, replaced one by one; texts without any pass."""
-    each = F.array_join(F.transform(_chars(c), lambda x: F.coalesce(F.try_element_at(_map(longer), x), x)), "")
+    """Characters whose form is longer, replaced one by one; texts without any pass.
+
+    Runs of other characters stay whole: a look-up reads half of the map, so only characters that are in it are looked up.
+    """
+    runs = F.regexp_extract_all(c, F.lit(f"{_class(longer)}|{_class(longer, True)}+"), 0)
+    each = F.array_join(F.transform(runs, lambda x: F.when(x.rlike(_class(longer)), F.try_element_at(_map(longer), x)).otherwise(x)), "")
     return F.when(c.rlike(_class(longer)), each).otherwise(c)
 
 
@@ -106,8 +110,8 @@ def fold_compat(c: Column) -> Column:
     Two letters that compose with each other (single Hangul jamo, parted Indic vowels) are left as they are.
     """
     wide = _expand(F.translate(c, *_COMPAT_FOLD), _COMPAT_LONGER)
-    letters = F.regexp_extract_all(wide, F.lit(f"(?s).{_MARK}*"), 0)
-    composed = F.array_join(F.transform(letters, lambda x: F.when(F.length(x) > 1, _compose(x)).otherwise(x)), "")
+    letters = F.regexp_extract_all(wide, F.lit(f"(?s){_NO_MARK}+(?!{_MARK})|.{_MARK}*"), 0)  # runs of letters without marks stay whole
+    composed = F.array_join(F.transform(letters, lambda x: F.when(x.rlike(f"(?s)^.{_MARK}"), _compose(x)).otherwise(x)), "")
     return F.when(c.rlike(_MAY_FOLD), F.when(wide.rlike(_MARK), composed).otherwise(wide)).otherwise(c)
 
 

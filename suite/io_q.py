@@ -13,7 +13,7 @@ from gridspark.operators import spatial as P
 from gridspark.operators import stats as B
 from gridspark.operators import training as T
 from gridspark.operators import uncertainty as U
-from gridspark.scope import Scope, materialize
+from gridspark.scope import Scope, materialize, spread
 from gridspark.sources import tables as S
 from suite import views as V
 from suite.registry import pick, query, r, rnd, rs
@@ -63,7 +63,7 @@ FULL = "".join(chr(ord(c) + 0xFEE0) for c in PLAIN)
     "'fi ' || trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) label_key from customer",
 )
 def n04_full(spark, sf):
-    c = V.table(spark, sf, "customer")
+    c = spread(V.table(spark, sf, "customer").select("c_custkey", "c_name"))  # folding is work by row: on all cores
     full = F.translate("c_name", PLAIN, FULL)
     return c.select(
         "c_custkey",
