@@ -96,3 +96,48 @@ def test_stage_on_the_table(spark):
 
 def test_empty_table(spark, empty):
     assert drop_alike(empty).collect() == []
+
+
+def test_links_of_long_lists_come_from_the_list(spark):
+    """A list of texts that are near by bits but under 0.8: the links that leave it are fewer than its entries, whatever its pairs."""
+    from pyspark.sql import functions as F
+
+    from gridspark.llm import near_copies as N
+
+    rng, rows = random.Random(7), []
+    for _ in range(200):
+        other = [f"w{i}" for i in range(300)]
+        for at in rng.sample(range(300), rng.randint(5, 9)):
+            other[at] = f"x{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = N.sketches(docs).localCheckpoint()
+    long = own.select(F.lit(1).cast("long").alias("key"), "node", "n", *N.WORDS)
+    sets = N._sets_of(docs, own, own.select("node"))
+    alone = own.select("node", F.col("node").alias("component"))
+    want = kept({i: shingles(t) for i, t in rows})
+    for block in (1 << 21, 20_000):
+        N.BLOCK, before = block, N.BLOCK
+        links = [(r.a, r.b) for r in N._list_pairs(long, alone, sets).collect()]
+        N.BLOCK = before
+        assert len(links) < len(rows) * (1 if block > 20_000 else 6)
+        node = {r.node: r.doc_id for r in own.collect()}
+        name = {i: i for i, _ in rows}
+        find = lambda v: v if name[v] == v else find(name[v])  # noqa: B023
+        for a, b in links:
+            x, y = find(node[a]), find(node[b])
+            name[max(x, y)] = min(x, y)
+        assert {i for i in name if find(i) == i} == want
+
+
+def test_index_of_bytes_gives_candidates(spark):
+    """The stage's first way is the positional-byte index over SimHash bits: texts that it links are among its pairs."""
+    from gridspark.llm import near_copies as N
+
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(f"y{i}" for i in range(3000)))]
+    own = N.sketches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    node = {r.doc_id: r.node for r in own}
+    assert 0 < bin((own[0].m0 ^ own[1].m0) & (2**64 - 1)).count("1") <= 4 or own[0].m0 == own[1].m0
+    pairs = N.index_pairs(spark.createDataFrame(own)).collect()
+    assert {(r.a, r.b) for r in pairs} == {tuple(sorted((node[1], node[2])))}
