@@ -1,8 +1,8 @@
 """Answer store, similarity lookup, lexical retrieval and snippets.
 
 Similarity uses the longest-matching-block ratio of ``difflib``. It has no SQL form, so pairs are scored
-in Arrow batches, but Spark decides which pairs meet. Stored answers: a request meets the entries that share one of its
-rarest grams, which all that can reach the threshold do; exact upper bounds (length, character counts) drop more before
+in Arrow batches, but Spark decides which pairs meet. Stored answers: a request meets the entries of its context whose length
+and character counts can reach the threshold, tested inside the join; common subsequences drop nearly all others before
 they are scored. Retrieval: token postings and lower bounds leave few pairs. Only the best per request leaves a task.
 """
 
@@ -95,26 +95,86 @@ def _char_counts(texts: pd.Series) -> np.ndarray:
     return out
 
 
-def _best_pairs(requests: pd.DataFrame, store: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Best store entry per request with ratio >= threshold inside one cell of blocks."""
-    rows = []
-    s_len = store["question_norm"].str.len().to_numpy()
-    s_hist = _char_counts(store["question_norm"])
-    s_text, s_id = store["question_norm"].to_numpy(), store["cache_id"].to_numpy()
-    r_hist = _char_counts(requests["question_norm"])
-    for i, (rid, text) in enumerate(zip(requests["request_id"], requests["question_norm"])):
-        total = s_len + len(text)
-        bound = 2.0 * np.minimum(s_hist, r_hist[i]).sum(axis=1) / np.maximum(total, 1)
-        best, best_id = threshold, None
-        for j in np.argsort(-bound, kind="stable"):
-            if bound[j] < best:
-                break
-            ratio = difflib.SequenceMatcher(None, text, s_text[j]).ratio()
-            if ratio > best or (ratio == best and (best_id is None or s_id[j] < best_id)):
-                best, best_id = ratio, s_id[j]
-        if best_id is not None:
-            rows.append((rid, best_id, best))
-    return pd.DataFrame(rows, columns=["request_id", "cache_id", "similarity"])
+BLOCK = 8192  # texts of one length band that meet another block in one task
+FOLDED = 32  # buckets of characters in a signature
+
+
+def _signatures(texts: pd.Series) -> np.ndarray:
+    """Eight longs per text. A bucket of characters has 16 bits, of which each occurrence turns the next one, in a circle: texts whose counts
+    differ by ``d`` in all differ in ``d`` bits at most, and in just as many while no bucket differs by over 16."""
+    turned = np.array([(1 << r) - 1 if r <= 16 else 0xFFFF & ~((1 << (r - 16)) - 1) for r in range(32)], dtype=np.uint16)
+    counts = _char_counts(texts).reshape(len(texts), 64 // FOLDED, FOLDED).sum(axis=1)
+    return np.ascontiguousarray(turned[counts % 32]).view(np.int64)
+
+
+def _codes(texts: Sequence[str]) -> np.ndarray:
+    """Characters modulo 64, one row a text, filled up with 64."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    out = np.full((len(texts), max(int(sizes.max()), 1)), 64, dtype=np.uint8)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32) % 64
+    return out
+
+
+def _matchable(left: Sequence[str], right: Sequence[str], pairs: int = 4096, bits: int = 1 << 28) -> np.ndarray:
+    """Most characters that each pair of texts can match in order: longest common subsequences, bit-parallel over many pairs at a time.
+
+    Characters count as equal if they are so modulo 64, which can only raise the length. Where a text of ``left`` has a character stands once
+    for all its pairs.
+    """
+    out = np.zeros(len(left), dtype=np.int64)
+    need = np.array([(len(a) + 63) // 64 or 1 for a in left])
+    own, texts = pd.factorize(np.array([*left, None], dtype=object)[:-1])
+    order, start = np.lexsort(([len(b) for b in right], need)), 0
+    while start < len(order):
+        words = int(need[order[start]])
+        same = order[start : start + max(1, min(pairs, bits // (65 * 64 * words)))]
+        same = same[need[same] == words]
+        start += len(same)
+        held, row = np.unique(own[same], return_inverse=True)
+        a, b = _codes([texts[i] for i in held]), _codes([right[i] for i in same])
+        place, rows = np.zeros((words, len(held), 65), dtype=np.uint64), np.arange(len(held))
+        for i in range(a.shape[1]):
+            place[i // 64, rows, a[:, i]] |= np.uint64(1 << (i % 64))
+        place[:, :, 64] = 0  # what fills up a shorter text meets nothing
+        place, at = place.reshape(words, -1), row * 65
+        free = np.full((words, len(same)), ~np.uint64(0))
+        for j in range(b.shape[1]):
+            spot, carry = at + b[:, j], None
+            for w in range(words):
+                old = free[w]
+                hit = old & place[w].take(spot)
+                total = old + hit
+                over = total < old
+                if carry is not None:
+                    total += carry
+                    over |= (total == 0) & carry
+                carry = over
+                free[w] = total | (old ^ hit)
+        out[same] = np.bitwise_count(~free).sum(axis=0)
+    return out
+
+
+def _best_pairs(threshold: float):
+    """Rows of pairs ``(a, asked, b, stored)``: ratios at ``threshold`` or above that are the best of their ``a`` so far."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[str, float] = {}
+        for rows in batches:
+            asked, stored, a, b = rows["asked"].tolist(), rows["stored"].tolist(), rows["a"].tolist(), rows["b"].tolist()
+            both = rows["asked"].str.len().to_numpy() + rows["stored"].str.len().to_numpy()
+            cap, out = 2.0 * _matchable(asked, stored) / np.maximum(both, 1), []
+            for i in np.argsort(-cap, kind="stable"):
+                if cap[i] < threshold:
+                    break
+                if cap[i] < best.get(a[i], threshold):
+                    continue
+                ratio = difflib.SequenceMatcher(None, asked[i], stored[i]).ratio()
+                if ratio >= best.get(a[i], threshold):
+                    best[a[i]] = ratio
+                    out.append((a[i], b[i], ratio))
+            yield pd.DataFrame(out, columns=["request_id", "cache_id", "similarity"])
+
+    return score
 
 
 def _asked(requests: DataFrame) -> DataFrame:
@@ -181,13 +241,51 @@ def similar_candidates(left: DataFrame, right: DataFrame, threshold: float) -> D
     return a.join(b, ["_ctx", "gram", "k"]).where(fits).select("a", "b").distinct()
 
 
+def _signed(texts: DataFrame) -> DataFrame:
+    """``texts`` with their length ``n`` and the longs of ``_signatures``."""
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            longs = _signatures(rows["text"])
+            yield rows.assign(n=rows["text"].str.len(), **{f"s{i}": longs[:, i] for i in range(longs.shape[1])})
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields)
+    return texts.mapInPandas(sign, f"{fields}, n int, " + ", ".join(f"s{i} long" for i in range(FOLDED // 4)))
+
+
+def close_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``a, asked, b, stored``: pairs of texts ``(_ctx, id, text)`` whose lengths and characters allow the threshold, each once.
+
+    A ratio of ``threshold`` leaves at most ``1 - threshold`` of all characters of a pair unmatched, so neither lengths nor counts of
+    characters differ by more. Texts meet in bands of length, each with its neighbours. A band of a context is dealt in
+    blocks of about ``BLOCK`` texts a side, so a context that holds most texts is many keys. Pairs are made and tested inside
+    the join; what fails is neither shuffled nor written.
+    """
+    step = float(np.log((2 - threshold) / threshold))
+    band = F.floor(F.log(F.col("n")) / step).cast("int")
+    a = _signed(left).select("*", F.explode(F.array(*[band + i for i in (-1, 0, 1)])).alias("band"))
+    a, b = materialize(a), materialize(_signed(right).withColumn("band", band))
+    blocks = lambda df, name: df.groupBy("_ctx", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    grid = materialize(blocks(a, "_ka").join(blocks(b, "_kb"), ["_ctx", "band"]))
+    own = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    marks = [f"s{i}" for i in range(FOLDED // 4)]
+    keys = ["_ctx", "band", "_i", "_j"]
+    a = a.join(grid, ["_ctx", "band"]).select("_ctx", "band", own("_ka").alias("_i"), each("_kb").alias("_j"), F.col("id").alias("a"), F.col("text").alias("asked"), F.col("n").alias("_na"), *[F.col(m).alias(f"_a{m}") for m in marks])
+    b = b.join(grid, ["_ctx", "band"]).select("_ctx", "band", each("_ka").alias("_i"), own("_kb").alias("_j"), F.col("id").alias("b"), F.col("text").alias("stored"), F.col("n").alias("_nb"), *[F.col(m).alias(f"_b{m}") for m in marks])
+    both = F.col("_na") + F.col("_nb")
+    fits = 2 * F.least("_na", "_nb") >= threshold * both - 1e-9
+    apart = sum((F.bit_count(F.col(f"_a{m}").bitwiseXOR(F.col(f"_b{m}"))) for m in marks), F.lit(0))
+    return a.join(b, keys).where(fits & (apart <= (1 - threshold) * both + 1e-9)).select("a", "asked", "b", "stored")
+
+
 def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """X09. Best safe stored answer per request in the same area, mode, language and evidence hash.
 
     ``requests`` has ``request_id, area, mode, language, question, evidence_hash``. Exact questions are
-    an equi-join. The rest meet the store entries of their context that share one of their rarest grams
-    (``prefix_grams``) and whose length can reach the threshold: no other entry can. A context that holds a third
-    of all questions is many keys, one per gram, and what is common comes last in the order of grams.
+    an equi-join. The rest meet the store entries of their context whose length and characters can reach the threshold
+    (``close_texts``): no other entry can. Longest common subsequences bound the ratio of these pairs from above, and only pairs whose
+    bound can be their question's best are scored. Of equally similar entries the smallest ``cache_id`` is taken.
     Identical questions of a context are scored once.
     """
     ctx = list(CONTEXT)
@@ -200,28 +298,16 @@ def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIM
     open_q = req.where(F.col("question_norm") != "").join(exact.select("request_id"), "request_id", "left_anti")
     asked = open_q.select(*ctx, "question_norm").distinct().withColumn("request_id", F.sha2(F.concat_ws("\x1f", *ctx, "question_norm"), 256))
 
-    context = F.xxhash64(*ctx)  # texts of other contexts that share the hash are told apart below
-    asked = materialize(asked.withColumn("_ctx", context))
-    held = materialize(distinct.where(F.col("question_norm") != "").withColumn("_ctx", context))
-    left = asked.select("_ctx", F.col("request_id").alias("id"), F.col("question_norm").alias("text"))
-    right = held.select("_ctx", F.col("cache_id").alias("id"), F.col("question_norm").alias("text"))
-    rare = materialize(gram_counts(left.unionByName(right), threshold))
-    pairs = similar_candidates(prefix_grams(left, rare, threshold), prefix_grams(right, rare, threshold), threshold)
-    one = asked.select(F.col("request_id").alias("a"), F.struct(*ctx).alias("_ca"), F.col("question_norm").alias("asked"))
-    two = held.select(F.col("cache_id").alias("b"), F.struct(*ctx).alias("_cb"), F.col("question_norm").alias("stored"))
-    both = pairs.join(one, "a").join(two, "b").where(F.col("_ca").eqNullSafe(F.col("_cb"))).select("a", "asked", "b", "stored")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for rid, own in rows.groupby("a", sort=False):
-                request = pd.DataFrame({"request_id": [rid], "question_norm": [own["asked"].iloc[0]]})
-                yield _best_pairs(request, pd.DataFrame({"cache_id": own["b"].to_numpy(), "question_norm": own["stored"].to_numpy()}), threshold)
-
-    scored = both.mapInPandas(score, "request_id string, cache_id string, similarity double")
-    best = scored.groupBy("request_id").agg(F.max_by("cache_id", F.struct("similarity", "cache_id")).alias("cache_id"), F.max("similarity").alias("similarity"))
+    context = F.sha2(F.concat_ws("\x1f", *ctx), 256)
+    asked = materialize(asked.dropna(subset=ctx))  # a context with a null equals none
+    held = distinct.where(F.col("question_norm") != "").dropna(subset=ctx)
+    left = asked.select(context.alias("_ctx"), F.col("request_id").alias("id"), F.col("question_norm").alias("text"))
+    right = held.select(context.alias("_ctx"), F.col("cache_id").alias("id"), F.col("question_norm").alias("text"))
+    scored = close_texts(left, right, threshold).mapInPandas(_best_pairs(threshold), "request_id string, cache_id string, similarity double")
+    best = scored.groupBy("request_id").agg(F.min_by("cache_id", F.struct(-F.col("similarity"), F.col("cache_id"))).alias("cache_id"), F.max("similarity").alias("similarity"))
     similar = (
         open_q.join(
-            asked.drop("_ctx").withColumnRenamed("request_id", "_ask").join(best.withColumnRenamed("request_id", "_ask"), "_ask"),
+            asked.withColumnRenamed("request_id", "_ask").join(best.withColumnRenamed("request_id", "_ask"), "_ask"),
             [*ctx, "question_norm"],
         )
         .select("request_id", "cache_id", F.round("similarity", 4).alias("similarity"), F.lit("similarity").alias("match_type"))
