@@ -363,7 +363,7 @@ def x16(spark, sf):
 @query("x18_answer_batch")
 def x18(spark, sf):
     p = packs_of(spark, sf)(requests(spark, sf))
-    p = p.withColumns({"area": F.col("area_id").cast("string"), "evidence_hash": F.lit("h0")})
+    p = materialize(p.withColumns({"area": F.col("area_id").cast("string"), "evidence_hash": F.lit("h0")}))  # read by the batch and the outputs
     outputs = p.where("area_id % 4 = 1").select("request_id", F.lit('{"answer": "A bounded reading of limited evidence for the area; values are proxy estimates and need manual review before use.", "claim_boundary_notes": ["limited"]}').alias("raw_text"))
     store = R.store_answers(_new_answers(spark, sf), None)
     return A.answer_batch(p, store, outputs).select("request_id", "provider_used", "cache_hit", "passed", "severity", "answer")

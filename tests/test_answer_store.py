@@ -38,3 +38,15 @@ def test_other_columns_are_refused(spark, tmp_path):
     ST.upsert(spark.createDataFrame([("k", 1, "a")], SCHEMA), path, 4)
     with pytest.raises(ValueError, match="columns"):
         ST.upsert(spark.createDataFrame([("k", 1, "a", "x")], SCHEMA + ", more string"), path, 4)
+
+
+def test_a_batch_is_answered_once(spark):
+    """What reads a batch reads a table: neither store entries nor scores render templates and check them again."""
+    from gridspark.operators import answers as A
+
+    row = ("r1", 1, "a", "Area", "city_brief", "en", "What is shown?", "h", ["registry"], [], ("full",))
+    schema = "request_id string, area_id long, area string, area_name string, mode string, language string, question string, evidence_hash string, evidence_sources array<string>, missing_artifacts array<string>, city_summary struct<support_level:string>"
+    answered = A.answer_batch(spark.createDataFrame([row], schema))
+    plan = answered._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "Relation" in plan
+    assert [(r.request_id, r.provider_used) for r in answered.collect()] == [("r1", "fallback")]
