@@ -353,6 +353,20 @@ def bounds(points: Column) -> dict[str, Column]:
     return {"minx": F.array_min(xs), "miny": F.array_min(ys), "maxx": F.array_max(xs), "maxy": F.array_max(ys)}
 
 
+def corner_bounds(points: Column) -> dict[str, Column]:
+    """Bounds of at most four points, without a lambda: what has one is not compiled."""
+    each = lambda a: [F.get(points, F.lit(i))[a] for i in range(4)]
+    return {"minx": F.least(*each("x")), "miny": F.least(*each("y")), "maxx": F.greatest(*each("x")), "maxy": F.greatest(*each("y"))}
+
+
+def is_box(ring: Column) -> Column:
+    """Four vertices with sides along the axes."""
+    x, y = [[F.get(ring, F.lit(i))[a] for i in range(4)] for a in ("x", "y")]
+    level = (y[0] == y[1]) & (x[1] == x[2]) & (y[2] == y[3]) & (x[3] == x[0])
+    upright = (x[0] == x[1]) & (y[1] == y[2]) & (x[2] == x[3]) & (y[3] == y[0])
+    return F.coalesce((F.size(ring) == 4) & (level | upright), F.lit(False))
+
+
 # WGS84 ellipsoid and the transverse Mercator grid.
 WGS84_A = 6378137.0
 WGS84_F = 1 / 298.257223563

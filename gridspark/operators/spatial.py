@@ -23,7 +23,7 @@ from gridspark.functions import geometry as G
 from gridspark.functions.scalars import clean_tag, direction, slug, to_num
 from gridspark.graph import connected_components
 from gridspark.operators.hotspots import zone_mask
-from gridspark.scope import AREA, Scope, attach, group_agg, stage, top_k, with_group
+from gridspark.scope import AREA, Scope, attach, group_agg, materialize, stage, top_k, with_group
 
 CELL_SIZE = 500.0
 METERS_PER_DEGREE = 111_320.0
@@ -187,7 +187,7 @@ def reached_cells(placed: DataFrame, size_m: float) -> DataFrame:
 
     An object becomes one row per grid column first; there its own edges between the column's borders tell the rows of
     the grid it reaches, so a long thin object costs as many cells as it crosses, not as its bounding box holds. Adds
-    ``grid_col, grid_row`` and the cell's lower corner ``_x0, _y0``.
+    ``grid_col, grid_row`` and the cell's lower corner ``_x0, _y0``. Objects without a ``geom`` column reach what their boxes reach.
     """
 
     def span(lo, hi, origin, n):
@@ -195,51 +195,78 @@ def reached_cells(placed: DataFrame, size_m: float) -> DataFrame:
         last = F.least(F.floor((F.col(hi) - F.col(origin)) / size_m), F.col(n) - 1)
         return F.when(first <= last, F.sequence(first, last))
 
+    by_col = placed.withColumn("grid_col", F.explode(span("_bminx", "_bmaxx", "_minx", "_n_cols"))).withColumn("_x0", F.col("_minx") + F.col("grid_col") * size_m)
+    by_row = lambda df, lo, hi: df.withColumn("grid_row", F.explode(span(lo, hi, "_miny", "_n_rows"))).withColumn("_y0", F.col("_miny") + F.col("grid_row") * size_m)
+    if "geom" not in placed.columns:
+        return by_row(by_col, "_bminy", "_bmaxy")
     g, kind = F.col("geom"), F.col("kind")
     # edges are cut at the borders with rounding: a hair more is looked at, and the cell decides
     hair = 1e-6 * size_m
     edges_of = F.when(kind == "polygon", G.ring_edges(g)).otherwise(G.path_segments(g))
     wide = (kind != "point") & ~F.col("_rect") & (F.col("_bmaxx") - F.col("_bminx") > size_m) & (F.col("_bmaxy") - F.col("_bminy") > size_m)
     reach = F.when(wide, G.strip_range(edges_of, F.col("_x0") - hair, F.col("_x0") + size_m + hair))
-    return (
-        placed.withColumn("grid_col", F.explode(span("_bminx", "_bmaxx", "_minx", "_n_cols")))
-        .withColumn("_x0", F.col("_minx") + F.col("grid_col") * size_m)
-        .withColumn("_reach", F.explode(F.array(reach)))  # a generator: computed once per column, not once per border
-        .withColumns({"_low": F.coalesce(F.col("_reach.lo") - hair, "_bminy"), "_high": F.coalesce(F.col("_reach.hi") + hair, "_bmaxy")})
-        .withColumn("grid_row", F.explode(span("_low", "_high", "_miny", "_n_rows")))
-        .withColumn("_y0", F.col("_miny") + F.col("grid_row") * size_m)
-    )
+    reached = by_col.withColumn("_reach", F.explode(F.array(reach)))  # a generator: computed once per column, not once per border
+    return by_row(reached.withColumns({"_low": F.coalesce(F.col("_reach.lo") - hair, "_bminy"), "_high": F.coalesce(F.col("_reach.hi") + hair, "_bmaxy")}), "_low", "_high")
 
 
-def bin_objects(objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE, scope: Scope = AREA) -> DataFrame:
-    """Objects exploded to the cells they can meet, with the exact measure in that cell.
+def _is_plain(geom: Column, kind: Column) -> Column:
+    """A box along the axes, a flat line, or a point."""
+    p, q = F.get(geom, F.lit(0)), F.get(geom, F.lit(1))
+    flat = (F.size(geom) == 2) & ((p["x"] == q["x"]) != (p["y"] == q["y"]))
+    return F.coalesce(F.when(kind == "polygon", G.is_box(geom)).when(kind == "line", flat).when(kind == "point", F.size(geom) == 1), F.lit(False))
 
-    Adds ``grid_col, grid_row, touches, measure`` (area of polygons, length of lines, 0 for points).
-    Without a boundary nothing is joined but the one-row-per-area grid parameters. With one, the cells that it meets
-    are joined (salted, so a cell full of objects is no hot key); only in cells that its edge crosses is its part
-    there looked at, and it may have any shape.
+
+def _measured_bins(objects: DataFrame, areas: DataFrame, size_m: float, scope: Scope) -> tuple[DataFrame, DataFrame | None]:
+    """Objects with ``grid_col, grid_row, measure`` per cell of the grid they meet, and the cells that a boundary meets (None without).
+
+    Rows of cells that the boundary misses are still among them. Plain objects (``_is_plain``) lose their geometry before the
+    explode and are measured by arithmetic, which is compiled as one piece; in cells that a boundary's edge crosses they and
+    everywhere the others are cut by half planes.
     """
     cols = ["minx", "miny", "n_cols", "n_rows"]
     shaped = grid_shape(areas, size_m).select(*scope.keys, *[F.col(c).alias(f"_{c}") for c in cols])
-    b = G.bounds(F.col("geom"))
-    g, kind = F.col("geom"), F.col("kind")
-    boxed = objects.withColumns({f"_b{n}": c for n, c in b.items()})
-    whole = F.when(kind == "polygon", G.ring_area(g)).when(kind == "line", G.path_length(g)).otherwise(F.lit(0.0))
-    extent = (F.col("_bmaxx") - F.col("_bminx")) * (F.col("_bmaxy") - F.col("_bminy"))
-    # size of the whole object, and whether it fills its bounding box: both once per object, before the explode
-    sized = boxed.withColumn("_whole", whole).withColumn(
-        "_rect", (kind == "polygon") & (F.size(g) == 4) & (F.abs(F.col("_whole") - extent) <= 1e-9 * extent)
-    )
-    placed = attach(sized, shaped, scope, "inner")
-
-    exploded = reached_cells(placed, size_m)
+    geom, kind = F.col("geom"), F.col("kind")
+    width, height = F.col("_bmaxx") - F.col("_bminx"), F.col("_bmaxy") - F.col("_bminy")
     x0, y0, x1, y1 = F.col("_x0"), F.col("_y0"), F.col("_x0") + size_m, F.col("_y0") + size_m
-    planes = G.box_planes(x0, y0, x1, y1)
+    overlap = lambda lo, hi, c0, c1: F.greatest(F.least(F.col(hi), c1) - F.greatest(F.col(lo), c0), F.lit(0.0))
+    across, along = overlap("_bminx", "_bmaxx", x0, x1), overlap("_bminy", "_bmaxy", y0, y1)
+    kept = [*objects.columns, "grid_col", "grid_row", "measure"]
+    kept.remove("geom")
+
+    easy = objects.where(_is_plain(geom, kind)).withColumns({f"_b{n}": c for n, c in G.corner_bounds(geom).items()}).drop("geom")
+    easy = reached_cells(attach(easy, shaped, scope, "inner"), size_m)
+    hit = (F.col("_bminx") <= x1) & (F.col("_bmaxx") >= x0) & (F.col("_bminy") <= y1) & (F.col("_bmaxy") >= y0)
+    share = F.when(kind == "polygon", across * along).when((kind == "line") & hit, across + along).otherwise(F.lit(0.0))
+
+    # size of the whole object, and whether it fills its bounding box: both once per object, before the explode
+    hard = objects.where(~_is_plain(geom, kind)).withColumns({f"_b{n}": c for n, c in G.bounds(geom).items()})
+    whole = F.when(kind == "polygon", G.ring_area(geom)).when(kind == "line", G.path_length(geom)).otherwise(F.lit(0.0))
+    hard = hard.withColumn("_whole", whole).withColumn("_rect", (kind == "polygon") & (F.size(geom) == 4) & (F.abs(F.col("_whole") - width * height) <= 1e-9 * width * height))
+    hard = reached_cells(attach(hard, shaped, scope, "inner"), size_m)
     region, edges = F.lit(None).cast("array<struct<x:double,y:double>>"), F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    met = None
     if "boundary" in areas.columns:
-        by_cell = Scope((*scope.keys, "grid_col", "grid_row"), tuple(c for c in ("obj_id",) if c in objects.columns))
-        exploded = attach(exploded, boundary_cells(areas, size_m), by_cell, "inner")
+        # only cells that an edge crosses bring their region, broadcast where they were counted and are few
+        met = materialize(boundary_cells(areas, size_m))
+        crossed = met.where(F.col("_region").isNotNull())
+        by_cell = Scope((*scope.keys, "grid_col", "grid_row"), tuple(c for c in ("obj_id",) if c in objects.columns), crossed.count())
+        low, high = G.pt(F.col("_bminx"), F.col("_bminy")), G.pt(F.col("_bmaxx"), F.col("_bmaxy"))
+        ring = G.box_ring(F.col("_bminx"), F.col("_bminy"), F.col("_bmaxx"), F.col("_bmaxy"))
+        drawn = F.when(kind == "polygon", ring).when(kind == "line", F.array(low, high)).otherwise(F.array(low))
+        size = F.when(kind == "polygon", width * height).when(kind == "line", width + height).otherwise(F.lit(0.0))
+        cut = attach(easy, crossed, by_cell, "inner").withColumns({"geom": drawn, "_whole": size, "_rect": kind == "polygon"})
+        easy = attach(easy, crossed.select(*by_cell.keys), by_cell, "left_anti")
+        hard = attach(hard, crossed, by_cell, "left").unionByName(cut, allowMissingColumns=True)
         region, edges = F.col("_region"), F.col("_edges")
+    measured = easy.where((kind == "polygon") | hit).withColumn("measure", share).select(*kept)
+    return measured.unionByName(_cut_objects(hard, size_m, region, edges).select(*kept)), met
+
+
+def _cut_objects(exploded: DataFrame, size_m: float, region: Column, edges: Column) -> DataFrame:
+    """Objects of ``reached_cells`` that meet their cell and, unless it is null, the boundary's ``region`` in it, with their ``measure`` there."""
+    g, kind = F.col("geom"), F.col("kind")
+    x0, y0, x1, y1 = F.col("_x0"), F.col("_y0"), F.col("_x0") + size_m, F.col("_y0") + size_m
+    planes = G.box_planes(x0, y0, x1, y1)
     open_box = region.isNull()
     inside = open_box & (F.col("_bminx") > x0) & (F.col("_bmaxx") < x1) & (F.col("_bminy") > y0) & (F.col("_bmaxy") < y1)
     rect = open_box & F.col("_rect")
@@ -276,8 +303,30 @@ def bin_objects(objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE,
 
     both = lambda h: G.let(size_in(h), lambda m: F.struct(m.alias("measure"), meets(h, m).alias("touches")))
     # the generator keeps later filters from pushing the geometry down and computing it again
-    measured = exploded.select("*", F.inline(F.transform(F.array(planes), both)))
-    return measured.where("touches").drop(*[c for c in measured.columns if c.startswith("_")])
+    return exploded.select("*", F.inline(F.transform(F.array(planes), both))).where("touches")
+
+
+def bin_objects(objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE, scope: Scope = AREA) -> DataFrame:
+    """Objects exploded to the cells they can meet, with the exact measure in that cell.
+
+    Adds ``grid_col, grid_row, measure`` (area of polygons, length of lines, 0 for points); the geometry stays behind.
+    Without a boundary nothing is joined but the one-row-per-area grid parameters. With one, only in cells that its
+    edge crosses is its part there looked at, and it may have any shape; rows of cells that it misses go at the end (salted, so
+    a cell full of objects is no hot key).
+    """
+    bins, met = _measured_bins(objects, areas, size_m, scope)
+    if met is None:
+        return bins
+    by_cell = Scope((*scope.keys, "grid_col", "grid_row"), tuple(c for c in ("obj_id",) if c in objects.columns))
+    return attach(bins, met.select(*by_cell.keys), by_cell, "inner")
+
+
+def _per_cell(objects: DataFrame, areas: DataFrame, size_m: float, scope: Scope, *aggs: Column) -> DataFrame:
+    """Aggregates of the objects that meet a cell; cells that a boundary misses go when they are one row each."""
+    keys = [*scope.keys, "grid_col", "grid_row"]
+    bins, met = _measured_bins(objects, areas, size_m, scope)
+    sums = bins.groupBy(*keys).agg(*aggs)
+    return sums if met is None else sums.join(met.select(*keys), keys, "left_semi")
 
 
 def _on_cells(cells: DataFrame, sums: DataFrame, filled: Sequence[str], scope: Scope = AREA) -> DataFrame:
@@ -287,27 +336,29 @@ def _on_cells(cells: DataFrame, sums: DataFrame, filled: Sequence[str], scope: S
 
 def count_in_cells(cells: DataFrame, objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE, scope: Scope = AREA) -> DataFrame:
     """G04. Number of objects meeting each cell (closed sets: touching counts)."""
-    bins = bin_objects(objects, areas, size_m, scope)
-    sums = bins.groupBy(*scope.keys, "grid_col", "grid_row").agg(F.count(F.lit(1)).alias("object_count"))
+    sums = _per_cell(objects, areas, size_m, scope, F.count(F.lit(1)).alias("object_count"))
     return _on_cells(cells, sums, ["object_count"], scope)
 
 
 def measure_in_cells(cells: DataFrame, objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE, scope: Scope = AREA) -> DataFrame:
     """G05. Summed intersection area (polygons) or length (lines) per cell."""
-    bins = bin_objects(objects, areas, size_m, scope)
-    sums = bins.groupBy(*scope.keys, "grid_col", "grid_row").agg(F.sum("measure").alias("object_measure"))
+    sums = _per_cell(objects, areas, size_m, scope, F.sum("measure").alias("object_measure"))
     return _on_cells(cells, sums, ["object_measure"], scope)
 
 
 def cell_features(cells: DataFrame, objects: DataFrame, areas: DataFrame, size_m: float = CELL_SIZE, scope: Scope = AREA) -> DataFrame:
     """G08. Fifteen features of every cell from one pass over all layers; empty cells get zeros."""
-    bins = levels(use_flags(bin_objects(objects, areas, size_m, scope)))
+    flagged = levels(use_flags(objects)).drop("tags")  # once per object, not once per cell it meets
     layer = F.col("layer")
     m = F.col("measure")
     count = lambda cond: F.count_if(cond).cast("double")
     total = lambda cond, v=m: F.coalesce(F.sum(F.when(cond, v)), F.lit(0.0))
     is_b = layer == "buildings"
-    sums = bins.groupBy(*scope.keys, "grid_col", "grid_row").agg(
+    sums = _per_cell(
+        flagged,
+        areas,
+        size_m,
+        scope,
         count(is_b).alias("building_count"),
         total(is_b).alias("building_area"),
         total(is_b & F.col("is_residential")).alias("residential_area"),
@@ -367,6 +418,7 @@ def knn_access(
         .agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("m"))
         .withColumns({"bx": F.floor(F.col("x") / base_m), "by": F.floor(F.col("y") / base_m)})
     )
+    spots = materialize(spots)  # every level of the pyramid reads them
     if levels is None:
         span = lambda c: F.max(c) - F.min(c)
         widest = spots.groupBy(*keys).agg(F.greatest(span("x"), span("y")).alias("_e")).agg(F.max("_e")).first()[0]

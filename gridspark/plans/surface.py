@@ -24,8 +24,9 @@ def build_cells(areas: DataFrame, objects: DataFrame, size_m: float = P.CELL_SIZ
     as partial aggregates.
     """
     grid = P.make_grid(areas, size_m, clip)
-    featured = P.cell_features(grid, objects, areas, size_m, scope)
-    placed = P.knn_access(P.centroids(featured), P.poi_points(objects), scope=scope)
+    # the objects are measured once: neighbours and scaling read the written cells
+    featured = materialize(P.centroids(P.cell_features(grid, objects, areas, size_m, scope)))
+    placed = materialize(P.knn_access(featured, P.poi_points(objects), scope=scope))
     return P.feature_output(combined_index(placed, scope=scope), areas, scope)
 
 

@@ -251,3 +251,22 @@ def test_long_objects_cost_the_cells_they_cross(spark):
                     want[(name, c, r)] = inside
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_plain_objects_measure_as_cut_ones_and_the_plan_measures_once(spark):
+    """A box, flat line and point give the bins of the same shapes with a vertex more, with and without a boundary; built cells read no object again."""
+    shape = "area_id long, obj_id string, layer string, kind string, geom array<struct<x:double,y:double>>, tags map<string,string>"
+    box, line = [(90.0, 110.0), (320.0, 110.0), (320.0, 260.0), (90.0, 260.0)], [(40.0, 150.0), (410.0, 150.0)]
+    rows = [(1, "box", "buildings", "polygon", box, {"building": "house"}), (1, "line", "roads", "line", line, None), (1, "dot", "shops", "point", [(200.0, 200.0)], None)]
+    more = {"box": [*box[:1], (200.0, 110.0), *box[1:]], "line": [line[0], (205.0, 150.0), line[1]], "dot": [(200.0, 200.0)] * 2}
+    plain, cut = (spark.createDataFrame(r, shape) for r in (rows, [(a, o, y, k, more[o], t) for a, o, y, k, _, t in rows]))
+    open_area = spark.createDataFrame([(1, 0.0, 0.0, 500.0, 500.0)], "area_id long, minx double, miny double, maxx double, maxy double")
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (350.0, 0.0), (350.0, 220.0), (0.0, 350.0))])
+    found = lambda objects, area: {(r.obj_id, r.grid_col, r.grid_row): round(r.measure, 6) for r in P.bin_objects(objects, area, 100.0).collect()}
+    for area in (open_area, open_area.withColumn("boundary", ring)):
+        assert found(plain, area) == found(cut, area) != {}
+    from gridspark.plans.surface import build_cells
+
+    cells = build_cells(open_area, plain, 100.0, scope=Scope(groups=1))
+    assert "Generate" not in cells._jdf.queryExecution().optimizedPlan().toString()
+    assert cells.agg(F.sum("building_area")).first()[0] == 230.0 * 150.0
