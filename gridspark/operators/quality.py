@@ -17,7 +17,7 @@ from gridspark.contracts import (
     SURFACE_COLUMNS,
     missing_columns,
 )
-from gridspark.functions.scalars import clip, to_bool, to_num
+from gridspark.functions.scalars import clip, to_bool, to_num, to_num_of
 from gridspark.scope import AREA, Scope, attach, group_agg, quantiles, with_rank
 
 CRITICAL_ZERO_COLUMNS = ("road_length", "poi_access_index")
@@ -31,11 +31,11 @@ def sanitize(df: DataFrame, cols: Sequence[str] = MODEL_FEATURES, coordinates: S
     if coords:
         out = out.dropna(subset=coords)
     present = [c for c in cols if c in df.columns]
-    return out.withColumns({c: clip(F.coalesce(to_num(F.col(c)), F.lit(0.0))) for c in present})
+    return out.withColumns({c: clip(F.coalesce(to_num_of(df, c), F.lit(0.0))) for c in present})
 
 
 def _long(df: DataFrame, cols: Sequence[str], scope: Scope) -> DataFrame:
-    items = F.array(*[F.struct(F.lit(c).alias("column"), to_num(F.col(c)).alias("value")) for c in cols])
+    items = F.array(*[F.struct(F.lit(c).alias("column"), to_num_of(df, c).alias("value")) for c in cols])
     return df.select(*scope.keys, F.explode(items).alias("_e")).select(*scope.keys, "_e.*")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.contracts import MODEL_FEATURES
-from gridspark.functions.scalars import clip, forward_target, inverse_target, log_distance, to_num
+from gridspark.functions.scalars import clip, forward_target, inverse_target, log_distance, to_num_of
 from gridspark.operators.moments import Moments, training_moments
 from gridspark.operators.quality import sanitize, validate
 from gridspark.operators.scaling import allocate, calibrate
@@ -168,7 +168,7 @@ def predict_raw(model, cells: DataFrame, features: Sequence[str] = MODEL_FEATURE
     lost = [c for c in features if c not in cells.columns]
     if lost:
         raise ValueError("cells are missing model columns: " + ", ".join(lost))
-    ready = cells.withColumns({c: F.coalesce(to_num(F.col(c)), F.lit(0.0)) for c in features})
+    ready = cells.withColumns({c: F.coalesce(to_num_of(cells, c), F.lit(0.0)) for c in features})
     scored = model.transform(ready)
     helpers = [c for c in scored.columns if c.startswith("_f_") or c in ("_raw", "features", "prediction")]
     return scored.withColumn(out, clip(inverse_target(F.col("prediction"), log_target))).drop(*helpers)
@@ -258,7 +258,7 @@ def _training_moments(rows: DataFrame, config: TrainingConfig, features: Sequenc
 def predict_linear(rows: DataFrame, models: DataFrame, config: TrainingConfig, keys: Sequence[str], out: str) -> DataFrame:
     """Predictions by ``intercept`` and ``slopes`` of the model that the keys name: one join for all models."""
     chosen = models.select(*keys, F.col("intercept").alias("_b"), F.col("slopes").alias("_w"))
-    ready = rows.withColumns({c: F.coalesce(to_num(F.col(c)), F.lit(0.0)) for c in config.features})
+    ready = rows.withColumns({c: F.coalesce(to_num_of(rows, c), F.lit(0.0)) for c in config.features})
     ready = attach(ready, chosen, Scope(tuple(keys), ("cell_id",)), "inner")
     linear = reduce(lambda a, b: a + b, [F.col("_w")[i] * F.col(c) for i, c in enumerate(config.features)], F.col("_b"))
     return ready.withColumn(out, clip(inverse_target(linear, config.log_target))).drop("_b", "_w")

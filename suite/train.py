@@ -10,7 +10,7 @@ from gridspark.operators import training as T
 from gridspark.operators import uncertainty as U
 from gridspark.operators.scaling import combined_index
 from gridspark.plans import surface as S
-from gridspark.scope import Scope
+from gridspark.scope import Scope, materialize
 from suite import views as V
 from suite.registry import pick, query, r, rnd, rs
 
@@ -24,13 +24,15 @@ def five(spark, sf):
     c = V.cells(spark, sf).join(n, "area_id").drop("area_id").withColumnRenamed("region", "area_id")
     t = V.totals(spark, sf).join(n, "area_id").groupBy(F.col("region").alias("area_id")).agg(F.sum("official_total").alias("official_total"))
     r_ = V.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("area_id"), F.col("r_name").alias("area_name"))
+    # read by validation, labels, fits and predictions: the order lines are joined and summed once
+    c = materialize(c)
     scope = Scope.measured(c.select("area_id"))
-    return combined_index(c, scope=scope), t.join(r_, "area_id"), scope
+    return materialize(combined_index(c, scope=scope)), materialize(t.join(r_, "area_id")), scope
 
 
 def labelled(spark, sf):
     c, t, scope = five(spark, sf)
-    return T.training_set(c, t, scope=scope)[0], scope
+    return materialize(T.training_set(c, t, scope=scope)[0]), scope
 
 
 @query(
@@ -237,7 +239,7 @@ def u15(spark, sf):
 )
 def i03(spark, sf):
     c, t, scope = five(spark, sf)
-    rows = T.training_set(c, t, scope=scope)[0]
+    rows = materialize(T.training_set(c, t, scope=scope)[0])
     out = S.build_surface(c, t, T.fit(rows, RIDGE), "ridge", scope=scope)
     return out["surface"].groupBy("area_id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("surface_value")).alias("total"))
 

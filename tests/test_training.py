@@ -110,3 +110,14 @@ def test_members_from_weighted_moments_equal_fits_on_copies(spark, holes):
     assert got.keys() == want.keys()
     for c, (low, high) in got.items():
         assert low == pytest.approx(want[c][0], rel=1e-6) and high == pytest.approx(want[c][1], rel=1e-6)
+
+
+def test_training_rows_are_read_not_derived_again(spark):
+    """Fits and predictions read written rows: no order line is joined again. Doubles and whole numbers turn into numbers as their texts do."""
+    from gridspark.functions.scalars import to_num, to_num_of
+    from suite.train import labelled
+
+    rows, _ = labelled(spark, "/root/testdata/sf0.001")
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    df = spark.sql("select * from values (0.1d, 7L), (double('NaN'), -3L), (double('inf'), null), (null, 9007199254740993L), (1e-300d, 0L) t(a, b)")
+    assert df.where(~to_num_of(df, "a").eqNullSafe(to_num(df["a"])) | ~to_num_of(df, "b").eqNullSafe(to_num(df["b"]))).count() == 0
