@@ -34,7 +34,8 @@ def correlations(df: DataFrame, pairs: Mapping[str, tuple[str, str, str]], scope
     A Spearman side is a column seen under a null mask (the rows in which both sides are numbers). Equal sides are
     ranked once. All sides are rows of one long table ``(group, side, value)`` that holds nothing else, so all of
     them are ranked in one go, after equal values were counted (a map-side combine); a pair's ranks meet again by
-    its two values, of which equal ones are counted as well.
+    its two values, of which equal ones are counted as well. The columns are written first: values that are sums of
+    doubles differ in their last bits each time they are computed, and would not meet.
     """
     keys = list(scope.keys)
     columns = list(dict.fromkeys(c for a, b, _ in pairs.values() for c in (a, b)))
@@ -42,6 +43,8 @@ def correlations(df: DataFrame, pairs: Mapping[str, tuple[str, str, str]], scope
     work = df.select(*keys, *[_finite(F.col(c)).alias(n) for c, n in number.items()])
     plain = {n: p for n, p in pairs.items() if p[2] == "pearson"}
     ranked = {n: p for n, p in pairs.items() if p[2] != "pearson"}
+    if ranked:
+        work = materialize(work)
     out = group_agg(work, scope, F.count(F.lit(1)).alias("_rows"), *[_pearson(F.col(number[a]), F.col(number[b])).alias(n) for n, (a, b, _) in plain.items()])
     if ranked:
         wide = _rank_correlations(work, {n: (number[a], number[b]) for n, (a, b, _) in ranked.items()}, scope)
@@ -211,6 +214,7 @@ def interval_columns(districts: DataFrame) -> DataFrame:
 
 def district_interval_metrics(districts: DataFrame, scope: Scope) -> DataFrame:
     """B07. Coverage, median widths, p50 error and correlations over flagged districts."""
+    districts = materialize(districts)  # every part reads it again
     used = districts.where(
         F.coalesce(F.col("use_in_metrics"), F.lit(False))
         & F.col("official_population").isNotNull()
