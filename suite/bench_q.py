@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspark.operators import stats as B
-from gridspark.scope import AREA, Scope
+from gridspark.scope import AREA, Scope, materialize
 from suite import views as V
 from suite.registry import pick, query, r, rnd, rs
 
@@ -278,7 +278,7 @@ def _rounded_for_order(df):
 )
 def b11m(spark, sf):
     scope = V.scope_of(spark, sf)
-    diag = V.diagnostics(spark, sf, scope)
+    diag = materialize(V.diagnostics(spark, sf, scope).select("area_id", "cell_id", "relative_uncertainty", "absolute_error_p50"))
     out = B.monotonicity_metrics(diag, B.monotonicity_buckets(diag))
     return pick(out, [], ["mean_abs_error_lowest_bucket", "mean_abs_error_highest_bucket", "monotonic_non_decreasing", "error_uncertainty_pearson", "error_uncertainty_spearman"])
 

@@ -1,7 +1,5 @@
 """Values whose last bits change with every evaluation, as those of sums of doubles over a cluster do."""
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,11 +7,11 @@ from gridspark.operators import stats as B
 from gridspark.scope import AREA, Scope
 
 def unsteady(c):
-    return F.udf(lambda v: v + random.random() * 1e-6, "double").asNondeterministic()(c)
+    return (F.col(c) if isinstance(c, str) else c) + F.expr("cast(java_method('java.lang.Math', 'random') as double)") * 1e-6
 
 
 def cells(spark, n=60):
-    df = spark.range(n).select(F.lit(1).cast("long").alias("area_id"), F.format_string("Z%04d", "id").alias("cell_id"), F.col("id").cast("double").alias("v"))
+    df = spark.range(n).select((F.col("id") % 1).alias("area_id"), F.format_string("Z%04d", "id").alias("cell_id"), F.col("id").cast("double").alias("v"))
     return df.repartition(3)
 
 
@@ -36,3 +34,9 @@ def test_district_intervals_of_unsteady_sums(spark):
     scope = Scope(("area_id",), ("district_name",), 1, 5)
     row = B.district_interval_metrics(B.interval_columns(d), scope).first()
     assert row["district_count_compared"] == 5 and row["coverage_rate"] == 1.0 and abs(row["p50_spearman_r"] - 1) < 1e-9
+
+
+def test_monotonicity_of_unsteady_values(spark):
+    df = cells(spark).select("area_id", "cell_id", unsteady("v").alias("relative_uncertainty"), unsteady(F.col("v") * 2).alias("absolute_error_p50"))
+    row = B.monotonicity_metrics(df, B.monotonicity_buckets(df)).first()
+    assert row["monotonic_non_decreasing"] == 1.0 and abs(row["error_uncertainty_spearman"] - 1) < 1e-9
