@@ -18,7 +18,7 @@ from gridspark.contracts import (
     missing_columns,
 )
 from gridspark.functions.scalars import clip, to_bool, to_num, to_num_of
-from gridspark.scope import AREA, Scope, attach, group_agg, quantiles, with_rank
+from gridspark.scope import AREA, Scope, attach, group_agg, materialize, quantiles, with_rank
 
 CRITICAL_ZERO_COLUMNS = ("road_length", "poi_access_index")
 SPARSE_SHARE = 0.98
@@ -270,6 +270,20 @@ def validate_interval(df: DataFrame, scope: Scope = AREA) -> DataFrame:
     return validate(df, INTERVAL_COLUMNS, INTERVAL_NON_NEGATIVE, "surface_value", ("centroid_latitude", "centroid_longitude"), "cell_id", scope, extra)
 
 
+# Columns that the consistency checks of a ranked surface read.
+CHECKED = (
+    "p10",
+    "p50",
+    "p90",
+    "uncertainty_width",
+    "confidence_score",
+    "confidence_band",
+    "hotspot_priority_class",
+    "official_total",
+    "hotspot_rank",
+)
+
+
 def _consistency(df: DataFrame, scope: Scope, total_tolerance: float, tolerance: float, ranked: bool, finite: bool) -> DataFrame:
     bad = lambda c: F.coalesce(c, F.lit(True))
     p10, p50, p90 = F.col("p10"), F.col("p50"), F.col("p90")
@@ -284,7 +298,8 @@ def _consistency(df: DataFrame, scope: Scope, total_tolerance: float, tolerance:
     if finite:
         rel = F.col("relative_uncertainty")
         checks["finite_relative"] = bad(F.isnan(rel) | (F.abs(rel) == float("inf")))
-    work = df
+    # ranks and values of neighbours meet in a join: both sides must read the same doubles
+    work = materialize(df.select(*scope.keys, *CHECKED)) if ranked else df
     aggs = [F.count_if(c).alias(n) for n, c in checks.items()]
     gap = F.abs(F.sum("p50") - F.max("official_total"))
     limit = F.greatest(F.lit(total_tolerance), F.max("official_total") * 1e-9)

@@ -1,8 +1,10 @@
 """Values whose last bits change with every evaluation, as those of sums of doubles over a cluster do."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridspark.operators import quality as Q
 from gridspark.operators import stats as B
 from gridspark.scope import AREA, Scope
 
@@ -40,3 +42,22 @@ def test_monotonicity_of_unsteady_values(spark):
     df = cells(spark).select("area_id", "cell_id", unsteady("v").alias("relative_uncertainty"), unsteady(F.col("v") * 2).alias("absolute_error_p50"))
     row = B.monotonicity_metrics(df, B.monotonicity_buckets(df)).first()
     assert row["monotonic_non_decreasing"] == 1.0 and abs(row["error_uncertainty_spearman"] - 1) < 1e-9
+
+
+def test_ranked_surface_of_unsteady_values(spark):
+    """Neighbours are closer than what an evaluation changes; ranks fit the values of one evaluation."""
+    dealt = cells(spark).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("area_id")))  # what follows is no part of the shuffle
+    p50 = dealt.select("area_id", "cell_id", unsteady(F.col("n") / 60.0).alias("p50"))
+    surface = p50.select(
+        "area_id",
+        "cell_id",
+        *[(F.col("p50") + d).alias(p) for p, d in (("p10", -0.5), ("p50", 0.0), ("p90", 0.5))],
+        F.lit(1.0).alias("uncertainty_width"),
+        F.lit(0.5).alias("confidence_score"),
+        F.lit("medium").alias("confidence_band"),
+        F.lit("not_priority").alias("hotspot_priority_class"),
+        F.lit(60.0).alias("official_total"),
+        F.dense_rank().over(Window.partitionBy("area_id").orderBy(F.desc("p50"))).alias("hotspot_rank"),
+    )
+    found = Q.validate_ranked(surface, Scope(groups=1, max_rows=60))
+    assert [r["check"] for r in found.collect() if r["check"] != "total_gap"] == []
