@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridspark.operators.retrieval import store_answers
 from gridspark.operators.textaudit import request_key
+from gridspark.scope import unsent
 from gridspark.storage import drop_table, write_table
 
 BUCKETS = 256
@@ -76,4 +77,4 @@ def batch_entries(answered: DataFrame, packs: DataFrame, created_at: Column) ->
     fresh = answered.where(~F.col("cache_hit")).select("request_id", "mode", "language", "question", *fields)
     given = packs.select("request_id", "area", "evidence_hash", created_at.alias("created_at"))
     key = request_key(F.col("area"), F.col("mode"), F.col("language"), F.col("question"), F.col("evidence_hash"))
-    return store_answers(fresh.join(given, "request_id").withColumn("cache_id", key), None)
+    return store_answers(fresh.join(unsent(given), "request_id").withColumn("cache_id", key), None)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.scalars import norm_question
 from gridspark.operators.textaudit import STORE_VERSION, check_responses
-from gridspark.scope import Scope, materialize, spread, top_k
+from gridspark.scope import Scope, materialize, spread, top_k, unsent
 
 SIMILARITY = 0.86
 CONTEXT = ("area_norm", "mode", "language", "evidence_hash")
@@ -276,7 +276,7 @@ def close_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     both = F.col("_na") + F.col("_nb")
     fits = 2 * F.least("_na", "_nb") >= threshold * both - 1e-9
     apart = sum((F.bit_count(F.col(f"_a{m}").bitwiseXOR(F.col(f"_b{m}"))) for m in marks), F.lit(0))
-    return a.join(b, keys).where(fits & (apart <= (1 - threshold) * both + 1e-9)).select("a", "asked", "b", "stored")
+    return a.join(unsent(b), keys).where(fits & (apart <= (1 - threshold) * both + 1e-9)).select("a", "asked", "b", "stored")
 
 
 def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -294,7 +294,7 @@ def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIM
 
     # entries of the same context and question: the most recent one stands for all
     distinct = store.groupBy(*ctx, "question_norm").agg(F.max_by("cache_id", F.struct("created_at", "cache_id")).alias("cache_id"))
-    exact = req.join(distinct, [*ctx, "question_norm"]).select("request_id", "cache_id", F.lit(1.0).alias("similarity"), F.lit("exact").alias("match_type"))
+    exact = req.join(unsent(distinct), [*ctx, "question_norm"]).select("request_id", "cache_id", F.lit(1.0).alias("similarity"), F.lit("exact").alias("match_type"))
     open_q = req.where(F.col("question_norm") != "").join(exact.select("request_id"), "request_id", "left_anti")
     asked = open_q.select(*ctx, "question_norm").distinct().withColumn("request_id", F.sha2(F.concat_ws("\x1f", *ctx, "question_norm"), 256))
 
@@ -307,7 +307,7 @@ def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIM
     best = scored.groupBy("request_id").agg(F.min_by("cache_id", F.struct(-F.col("similarity"), F.col("cache_id"))).alias("cache_id"), F.max("similarity").alias("similarity"))
     similar = (
         open_q.join(
-            asked.withColumnRenamed("request_id", "_ask").join(best.withColumnRenamed("request_id", "_ask"), "_ask"),
+            unsent(asked.withColumnRenamed("request_id", "_ask").join(unsent(best.withColumnRenamed("request_id", "_ask")), "_ask")),
             [*ctx, "question_norm"],
         )
         .select("request_id", "cache_id", F.round("similarity", 4).alias("similarity"), F.lit("similarity").alias("match_type"))
@@ -316,7 +316,7 @@ def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIM
     # stored answers are checked again with the rules of today before they are handed out
     body = check_responses(store).where(F.col("passed") & F.col("severity").isin("none", "low"))
     fields = ["answer", "evidence_used", "claim_boundary_notes", "missing_artifacts", "structured_sections", "fallback_used"]
-    safe = hits.join(body.select("cache_id", *fields), "cache_id")
+    safe = hits.join(unsent(body.select("cache_id", *fields)), "cache_id")
     found = safe.withColumn("hit", F.lit(True))
     return req.select("request_id").join(found, "request_id", "left").withColumns(
         {

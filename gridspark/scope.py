@@ -105,6 +105,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return write_table(df)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """Side of a join that grows with the input: the join is never a broadcast.
+
+    Spark goes by the size of a table's files. Texts that repeat are a few per cent of their size there, so a table of
+    any size would be taken for a small one and gathered in the driver.
+    """
+    return df.hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out over all cores where they lie in fewer partitions: small files of one row group, and only those."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -81,3 +81,42 @@ def _exact(requests, held):
     asked = requests.select("request_id", norm_question(F.col("question")).alias("question_norm"))
     fields = ["answer", "evidence_used", "claim_boundary_notes", "missing_artifacts", "structured_sections", "fallback_used"]
     return asked.join(held, "question_norm").select("request_id", *fields, F.lit(True).alias("hit"), F.lit("exact").alias("match_type"), F.lit(1.0).alias("similarity"))
+
+
+def test_evaluation_sends_no_table_to_the_driver(spark, monkeypatch):
+    """Neither answers nor requests are broadcast, however small their files are."""
+    from pyspark.sql import functions as F
+
+    from gridspark.operators import answers as A
+
+    fields = "question_id string, area_id long, mode string, language string, question string, category string, must_mention string, forbidden_claim_trigger string"
+    cases = spark.createDataFrame([(f"q{i}", 1, "city_brief", "en", f"What is shown by {i}?", "brief", "", "") for i in range(4)], fields)
+    more = {
+        "area": F.lit("a"),
+        "area_name": F.lit("Area"),
+        "evidence_hash": F.lit("h"),
+        "evidence_sources": F.array(F.lit("registry")),
+        "missing_artifacts": F.array().cast("array<string>"),
+        "city_summary": F.struct(F.lit("full").alias("support_level")),
+    }
+    packs_of = lambda asked: asked.withColumns(more)
+    even = packs_of(cases.where("question_id in ('q0', 'q2')").withColumn("request_id", F.col("question_id")))
+    store = A.materialize(ST.batch_entries(A.answer_batch(even), even, F.lit(1)))
+    text = '{"answer": "A bounded reading of limited evidence for the area; values are proxy estimates and need manual review before use.", "claim_boundary_notes": ["limited"]}'
+    outputs = spark.createDataFrame([("q0", text), ("q1", text)], "question_id string, raw_text string")
+    plans, write = [], A.materialize
+    plan_of = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(A, "materialize", lambda df: plans.append(plan_of(df)) or write(df))
+    monkeypatch.setattr(A, "lookup_answers", lambda requests, held: write(_exact(requests, held)))
+    scored = A.run_eval(cases, packs_of, store=store, outputs=outputs)
+    joins = [line.strip()[:90] for plan in [*plans, plan_of(scored)] for line in plan.splitlines() if "Join" in line]
+    assert len(joins) >= 8 and [x for x in joins if "Broadcast" in x] == []
+    got = sorted((r["config"], r["provider_used"]) for r in scored.collect())
+    assert got == sorted(
+        [("fallback_only", "fallback")] * 4
+        + [("model_with_fallback", "model")] * 2
+        + [("model_with_fallback", "fallback")] * 2
+        + [("fallback_with_cache", "cache")] * 2
+        + [("fallback_with_cache", "fallback")] * 2
+        + [("claim_checker_only", "fallback")] * 4
+    )
