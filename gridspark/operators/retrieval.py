@@ -295,7 +295,7 @@ def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIM
     # entries of the same context and question: the most recent one stands for all
     distinct = store.groupBy(*ctx, "question_norm").agg(F.max_by("cache_id", F.struct("created_at", "cache_id")).alias("cache_id"))
     exact = req.join(unsent(distinct), [*ctx, "question_norm"]).select("request_id", "cache_id", F.lit(1.0).alias("similarity"), F.lit("exact").alias("match_type"))
-    open_q = req.where(F.col("question_norm") != "").join(exact.select("request_id"), "request_id", "left_anti")
+    open_q = req.where(F.col("question_norm") != "").join(unsent(exact.select("request_id")), "request_id", "left_anti")
     asked = open_q.select(*ctx, "question_norm").distinct().withColumn("request_id", F.sha2(F.concat_ws("\x1f", *ctx, "question_norm"), 256))
 
     context = F.sha2(F.concat_ws("\x1f", *ctx), 256)
@@ -318,7 +318,7 @@ def lookup_answers(requests: DataFrame, store: DataFrame, threshold: float = SIM
     fields = ["answer", "evidence_used", "claim_boundary_notes", "missing_artifacts", "structured_sections", "fallback_used"]
     safe = hits.join(unsent(body.select("cache_id", *fields)), "cache_id")
     found = safe.withColumn("hit", F.lit(True))
-    return req.select("request_id").join(found, "request_id", "left").withColumns(
+    return req.select("request_id").join(unsent(found), "request_id", "left").withColumns(
         {
             "hit": F.coalesce("hit", F.lit(False)),
             "match_type": F.coalesce("match_type", F.lit("none")),

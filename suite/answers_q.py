@@ -257,7 +257,7 @@ def x16(spark, sf):
     )
     known = answer_packs(spark, sf).groupBy("area_id").agg(*[F.first(c).alias(c) for c in ("area_name", "city_summary", "hotspot_summary", "confidence_summary", "uncertainty_summary")])
     extra = {"area": F.col("area_id").cast("string"), "evidence_hash": F.lit("h"), "missing_artifacts": F.array().cast("array<string>"), "evidence_sources": F.array(F.lit("registry"))}
-    packs_of = lambda asked: asked.join(known, "area_id").withColumns(extra)
+    packs_of = lambda asked: asked.join(F.broadcast(known), "area_id").withColumns(extra)  # one row per nation
     even = packs_of(cases.where("cast(question_id as bigint) % 2 = 0").withColumn("request_id", F.col("question_id")))
     store = ST.batch_entries(A.answer_batch(even), even, F.lit(1))
     outputs = cases.where("cast(question_id as bigint) % 3 = 0").select("question_id", F.lit(OUTPUT).alias("raw_text"))

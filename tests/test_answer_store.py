@@ -120,3 +120,40 @@ def test_evaluation_sends_no_table_to_the_driver(spark, monkeypatch):
         + [("fallback_with_cache", "fallback")] * 2
         + [("claim_checker_only", "fallback")] * 4
     )
+
+
+def test_lookup_sends_no_table_to_the_driver(spark):
+    """Only the grid of blocks, a few numbers a context and band, may be broadcast."""
+    from pyspark.sql import functions as F
+
+    from gridspark.operators import retrieval as R
+
+    context = {"area": F.lit("a"), "mode": F.lit("ask"), "language": F.lit("en"), "evidence_hash": F.lit("h")}
+    asked = spark.range(4).select(F.col("id").cast("string").alias("request_id"), F.format_string("what is shown by the map %s", "id").alias("question")).withColumns(context)
+    store = spark.range(2).select(
+        F.format_string("k%s", "id").alias("cache_id"),
+        F.lit(1).alias("created_at"),
+        F.lit("a").alias("area_norm"),
+        *[F.lit(v).alias(n) for n, v in (("mode", "ask"), ("language", "en"), ("evidence_hash", "h"))],
+        F.format_string("what is shown by the map %s", "id").alias("question_norm"),
+        F.lit("A bounded reading of limited evidence.").alias("answer"),
+        *[F.array(F.lit("x")).alias(n) for n in ("evidence_used", "claim_boundary_notes", "missing_artifacts")],
+        F.struct(F.lit("s").alias("summary"), *[F.array(F.lit("e")).alias(n) for n in ("evidence", "cautions", "next_checks")]).alias("structured_sections"),
+        F.lit(True).alias("fallback_used"),
+    )
+    plan = R.lookup_answers(asked, store).where("hit")._jdf.queryExecution().sparkPlan().toString()
+    joins = [line.strip() for line in plan.splitlines() if "Join" in line]
+    assert len(joins) >= 6 and [x for x in joins if "Broadcast" in x and "band#" not in x] == []
+
+
+def test_cases_meet_the_figures_of_their_area_without_being_sent(spark, monkeypatch):
+    from suite import answers_q as Q
+
+    seen = []
+    monkeypatch.setattr(Q.A, "answer_batch", lambda packs: seen.append(packs))
+    monkeypatch.setattr(Q.ST, "batch_entries", lambda *_: None)
+    monkeypatch.setattr(Q.A, "run_eval", lambda *_, **__: spark.createDataFrame([], "config string, provider_used string, passed boolean"))
+    Q.x16(spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().sparkPlan().toString()
+    first = next(line for line in plan.splitlines() if "Join" in line)
+    assert "area_id" in first and "BuildRight" in first
