@@ -23,6 +23,7 @@ from gridspark.operators.scaling import allocate, calibrate
 from gridspark.operators.spatial import spatial_blocks
 from gridspark.operators.stats import concentration
 from gridspark.scope import AREA, Scope, attach, group_agg, materialize, quantiles, with_group, with_rank
+from gridspark.storage import shared_dir
 
 
 @dataclass(frozen=True)
@@ -160,6 +161,9 @@ def fit(df: DataFrame, config: TrainingConfig):
     labelled = df.select(*config.features, forward_target(F.col(config.target).cast("double"), config.log_target).alias("_label"))
     if config.model == "ridge":
         return fit_ridge(labelled, config.features, "_label", config.alpha)
+    context = df.sparkSession.sparkContext
+    if config.model != "random_forest" and context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))  # each tree adds to the lineage of the next; MLlib cuts it every ten trees
     return make_estimator(config.model, config.features, config.seed, config.trees, config.min_leaf, config.max_depth).fit(labelled)
 
 

@@ -121,3 +121,16 @@ def test_training_rows_are_read_not_derived_again(spark):
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
     df = spark.sql("select * from values (0.1d, 7L), (double('NaN'), -3L), (double('inf'), null), (null, 9007199254740993L), (1e-300d, 0L) t(a, b)")
     assert df.where(~to_num_of(df, "a").eqNullSafe(to_num(df["a"])) | ~to_num_of(df, "b").eqNullSafe(to_num(df["b"]))).count() == 0
+
+
+def test_boosted_query_fits_the_whole_of_its_config(spark, monkeypatch):
+    """No fewer trees and no less depth than the config has by default."""
+    from suite import train as Q
+
+    seen, rows = [], spark.range(1).withColumn("area_id", F.lit(1))
+    monkeypatch.setattr(Q, "labelled", lambda *_: (rows, None))
+    monkeypatch.setattr(Q.T, "fit", lambda df, config: seen.append(config))
+    monkeypatch.setattr(Q.T, "predict_raw", lambda model, df, features: df)
+    monkeypatch.setattr(Q.T, "reg_metrics", lambda df, *_: df)
+    Q.t05(spark, "")
+    assert seen == [T.TrainingConfig(model="boosted_trees")] and (seen[0].trees, seen[0].max_depth) == (400, None)
