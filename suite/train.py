@@ -1,4 +1,4 @@
-"""Training, ensemble, inference and study queries. Fits use few shallow trees to stay small."""
+"""Training, ensemble, inference and study queries. Forests are few shallow trees; boosted trees are fitted whole."""
 
 from __future__ import annotations
 
